@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from .store import drop, fresh, materialize
 
 WHITESPACE = " \t\n\u000b\f\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store's provider, and no preallocated files: each partition would hold megabytes of empty ones.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -33,8 +38,7 @@ def stream_state(spark: SparkSession, digests_path: str, schema, files_per_batch
 
     Updates of batch n go to their own folder, overwritten if the batch is repeated; the largest group_size of a digest is
     its last update, since groups only grow."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
+    before = {k: spark.conf.get(k, None) for k in STORE}
     out, at = fresh(spark, "state"), fresh(spark, "stream")
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -43,7 +47,8 @@ def stream_state(spark: SparkSession, digests_path: str, schema, files_per_batch
         F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("neg_id"), (-F.col("uid")).alias("neg_uid"), "locator")).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    spark.conf.set(key, ROCKSDB)
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -54,7 +59,8 @@ def stream_state(spark: SparkSession, digests_path: str, schema, files_per_batch
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     drop(spark, at)
     return (
         spark.read.schema("digest string, best struct<n_chars:int,neg_id:bigint,neg_uid:bigint,locator:string>, group_size bigint")
