@@ -22,7 +22,7 @@ from .labelled import logistic, remainder, sample, sigmoid
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Labelled rows that the fit uses at most (about): toxic and clean.
-SAMPLE = {1: 2500, 0: 4500}
+SAMPLE = {1: 1500, 0: 3000}
 STEMS = range(4, 8)
 WINDOW = 6
 MARKS = '"“”„«»'
@@ -155,23 +155,36 @@ class Scorer:
         return [total, rate, math.log1p(len(got)), max(got, default=0.0), total * rate, rate * rate, math.log1p(n) * bool(got)]
 
 
+def entries(word: str) -> tuple[str, ...]:
+    """What may enter the lexicon of a word: itself, marked by a blank, and its stems."""
+    return (f"{word} ", *(word[:n] for n in STEMS if len(word) >= n))
+
+
 def lexicon(texts: list[str], y: list[int], share: float = 0.02, odds: float = 1.5) -> Scorer:
     """Words and stems whose log odds reach `odds` and whose different neighbours number `share` of the toxic documents."""
+    toxic = sum(y)
+    met_in: Counter = Counter()
+    for text, label in zip(texts, y, strict=True):
+        if label:
+            met_in.update({e for t in set(TOKEN(text.lower())) - set(MARKS) for e in entries(t)})
+    held = {e for e, n in met_in.items() if n >= max(4, share * toxic)}
+    del met_in
     counts, total = [Counter(), Counter()], [1, 1]
+    vocabulary = [Counter(), Counter()]
     around: dict[str, set] = defaultdict(set)
     for text, label in zip(texts, y, strict=True):
         tokens = [t for t in TOKEN(text.lower()) if t not in MARKS]
         total[label] += len(tokens)
+        vocabulary[label].update(tokens)
         own: Counter = Counter()
         for i, t in enumerate(tokens):
-            entries = (f"{t} ", *(t[:n] for n in STEMS if len(t) >= n))
-            for e in entries:
-                own[e] += 1
-                if label and own[e] <= 2:
-                    around[e].add(hash((tokens[i - 1] if i else "", t, tokens[i + 1] if i + 1 < len(tokens) else "")))
+            for e in entries(t):
+                if e in held:
+                    own[e] += 1
+                    if label and own[e] <= 2:
+                        around[e].add(hash((tokens[i - 1] if i else "", t, tokens[i + 1] if i + 1 < len(tokens) else "")))
         for e, n in own.items():
             counts[label][e] += min(n, 8)
-    toxic = sum(y)
     strong = {}
     for e, near in around.items():
         if len(near) >= max(4, share * toxic):
@@ -180,14 +193,13 @@ def lexicon(texts: list[str], y: list[int], share: float = 0.02, odds: float = 1
                 strong[e] = x
     words = {e[:-1]: x for e, x in strong.items() if e[-1] == " "}
     stems = {e: x for e, x in strong.items() if e[-1] != " "}
-    clean = frozenset(e[:-1] for e, n in counts[0].items() if e[-1] == " " and n >= 2 and e[:-1] not in words)
+    clean = frozenset(w for w, n in vocabulary[0].items() if n >= 2 and w not in words)
     sure = {w: x for w, x in words.items() if len(w) >= 5 and len(around[f"{w} "]) >= 0.1 * toxic and counts[0][f"{w} "] * 20 <= counts[1][f"{w} "]}
     # misspellings of a term count only if they are met in toxic rows at least as often as in clean ones
     probe, met = Scorer({}, {}, {w: 1.0 for w in sure}, clean), {w: [0, 0] for w in sure}
     for label in (0, 1):
-        for e, n in counts[label].items():
-            w = e[:-1]
-            if e[-1] == " " and w not in words and w not in clean and len(w) >= 4 and (m := min((m for a in probe.automata if (m := a.match(w))), default=None)):
+        for w, n in vocabulary[label].items():
+            if w not in words and w not in clean and len(w) >= 4 and (m := min((m for a in probe.automata if (m := a.match(w))), default=None)):
                 met[probe.terms[m[1]]][label] += n
     fuzzy = {w: x for w, x in sure.items() if met[w][0] * total[1] <= met[w][1] * total[0] or met[w][0] <= 1}
     return Scorer(words, stems, fuzzy, clean)
