@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, quality, toxicity, warc
+from . import exact_dedup, media, mixing, near_dedup, packing, quality, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_mixing, op5_packing, op7_warc, op8_near_dedup, op9_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_mixing, op4_suffix_dedup, op5_packing, op7_warc, op8_near_dedup, op9_exact_dedup, op10_quality)}
 
 
 OP9_SQL = r"""
