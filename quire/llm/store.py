@@ -42,9 +42,12 @@ def drop(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps, which otherwise wait for a collection on the driver."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees what Python held, the cleaner works beside it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def tasks(spark: SparkSession, wanted: int) -> int:

@@ -432,8 +432,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     answers = materialize(spark, send_anchors(spread, folder, buckets).groupBy("bucket").applyInArrow(meet_anchors, ROWS), "anchors")
     release(spark)
     every = shards.select(F.lit(-1).cast("long").alias("bucket"), "shard", F.lit(None).cast("binary").alias("data"))
-    strings = answers.unionByName(every).groupBy("shard").applyInArrow(send_strings(folder, buckets, buckets), ROWS)
+    n = tasks(spark, 1)
+    strings = answers.unionByName(every).repartition(n, "shard").groupBy("shard").applyInArrow(send_strings(folder, buckets, buckets), ROWS)
     late = materialize(spark, strings.groupBy("bucket").applyInArrow(meet_strings, ROWS), "strings")
     release(spark)
     told = every.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1))).unionByName(late.withColumn("kind", F.lit(2)))
-    return told.groupBy("shard").applyInArrow(finish(folder, buckets, buckets), RESULT)
+    return told.repartition(n, "shard").groupBy("shard").applyInArrow(finish(folder, buckets, buckets), RESULT)
