@@ -2,10 +2,465 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import blocks as B
+from quire.operators import layout as G
+from quire.operators import lines as L
+from quire.operators import rules as R
+from quire.operators import streams as S
+
+from . import views as V
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+X = F.col("text")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def line_query(name: str, spark_columns: dict[str, Column], sql_columns: dict[str, str], raw: bool = False) -> None:
+    """A query of columns over the marked lines."""
+    source = V.marked if raw else V.marked_lines
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return source(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), *[c.alias(n) for n, c in spark_columns.items()])
+
+    listed = ", ".join(f"{c} AS {n}" for n, c in sql_columns.items())
+    _queries[name] = run
+    _sql[name] = f"WITH {V.MARK if raw else V.LINES} SELECT doc_id, line_no, {listed} FROM {'marked' if raw else 'lines'}"
+
+
+# ---- text functions ----
+line_query(
+    "normalized_lines",
+    {"trimmed": T.trim(F.col("raw")), "collapsed": T.collapse(F.col("raw")), "typography": T.normalize_typography(F.col("raw")), "lower_text": T.ascii_lower(F.col("raw")), "n_bytes": T.size(F.col("raw")).cast("long")},
+    {"trimmed": V.d_trim("raw"), "collapsed": V.d_collapse("raw"), "typography": V.d_typography("raw"), "lower_text": V.d_low("raw"), "n_bytes": "strlen(raw)"},
+    raw=True,
+)
+line_query("footnote_detach", {"detached": T.detach_footnote(F.col("raw"))}, {"detached": V.d_detach("raw")}, raw=True)
+line_query("stream_lines", {"text": X}, {"text": "text"})
+line_query(
+    "doi_extract", {"doi": T.extract_doi(X), "doi_like": T.looks_like_doi(X)},
+    {
+        "doi": r"regexp_replace(regexp_extract(text, '(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)', 1), '[.,]+$', '')",
+        "doi_like": f"starts_with({V.d_low(V.d_trim('text'))}, '10.') OR contains({V.d_low(V.d_trim('text'))}, 'doi:') OR contains({V.d_low(V.d_trim('text'))}, 'doi.org/')",
+    },
+)
+line_query(
+    "author_lists", {"authors": T.joined(T.authors(X), "|")},
+    {"authors": "array_to_string(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[;,]'), lambda p: string_split(" + V.d_trim("p") + ", ' and '))), lambda p: " + V.d_trim("p") + "), lambda p: p <> ''), '|')"},
+)
+YAML_SQL = r"""CASE WHEN {x} = '' OR regexp_matches({x}, '[:"''#{{}}\[\],&*?|>!%@`\\]') OR {x} LIKE ' %' OR {x} LIKE '% ' OR contains({x}, chr(10)) THEN '"' || replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' ELSE {x} END"""
+line_query("yaml_scalars", {"yaml": T.yaml_escape(F.col("raw"))}, {"yaml": YAML_SQL.format(x="raw")}, raw=True)
+line_query(
+    "sentence_end", {"ends": T.ends_sentence(X), "digits": T.is_digits(X), "mostly": T.mostly_digits(X)},
+    {"ends": rf"""regexp_matches({V.d_trim('text')}, '[.!?]["'')\]*]*$')""", "digits": f"regexp_matches({V.d_trim('text')}, '^[0-9]+$')", "mostly": r"regexp_matches(text, '^[0-9\s/-]*[0-9][0-9\s/-]*$')"},
+)
+line_query("split_word_repair", {"repaired": T.fix_split_word(X)}, {"repaired": rf"regexp_replace({V.d_collapse('text')}, '(?i)\bprofes-\s*sional\b|\bprofes\s+sional\b', 'professional', 'g')"})
+
+LOW, TRIM = V.d_low(V.d_trim("text")), V.d_trim("text")
+D_CAPTION = f"regexp_matches({LOW}, '^(figure |fig\\. |table )')"
+D_FOOTNOTE = rf"(regexp_matches({TRIM}, '^(\[\d+\]|\d+)\s+\S') AND strlen({TRIM}) >= 2 AND strlen({TRIM}) < 300)"
+D_BOILER = f"({V.d_in(LOW, R.BOILERPLATE_EXACT)} OR regexp_matches({LOW}, '^[a-z]$') OR {V.d_starts(LOW, R.BOILERPLATE_STARTS)} OR {V.d_any(LOW, R.BOILERPLATE_CONTAINS)} OR regexp_matches({LOW}, '{R.PUBLICATION_DATE}'))"
+D_ANCILLARY = f"({LOW} <> '' AND ({V.d_any(LOW, R.ANCILLARY_CONTAINS)} OR (starts_with({LOW}, 'american psychological') AND strlen({LOW}) < 80) OR (contains({LOW}, 'american psychological association') AND contains({LOW}, 'subscription'))))"
+D_LEVEL = rf"""CASE WHEN {V.d_in(LOW, R.SECTIONS_EXACT)} OR starts_with({LOW}, 'appendix ') THEN 1 WHEN {LOW} IN ('keywords', 'key words') THEN 2
+ WHEN {LOW} IN ('general terms', 'categories and subject descriptors') THEN 1
+ WHEN regexp_matches({TRIM}, '{R.NUMBERED}') THEN least(6, len(regexp_extract_all(regexp_extract({TRIM}, '{R.NUMBERED}', 1), '\.')) + 1)
+ WHEN {V.d_in(LOW, [*R.SECTIONS, 'references'])} OR {V.d_starts(LOW, [f'{s} ' for s in [*R.SECTIONS, 'references']])} THEN 1
+ WHEN strlen({TRIM}) < 80 AND NOT contains({TRIM}, '.') AND len(regexp_extract_all({TRIM}, '[A-Za-z]')) >= 4 AND len(regexp_extract_all({TRIM}, '[A-Z]')) >= len(regexp_extract_all({TRIM}, '[A-Za-z]')) // 2 THEN 1 ELSE 0 END"""
+D_ACCEPT = rf"(({D_LEVEL}) > 0 AND strlen({TRIM}) < 120 AND (regexp_matches({TRIM}, '{R.NUMBERED}') OR NOT contains({TRIM}, ' ') OR strlen({TRIM}) < 90 OR {LOW} IN ('abstract', 'keywords', 'references', 'conclusion')))"
+NAMES = "|".join(s.replace("(", r"\(").replace(")", r"\)") for s in R.SECTIONS)
+D_NAME = f"regexp_extract({V.d_low('text')}, '^({NAMES})', 1)"
+D_GLUED = f"({D_NAME} <> '' AND ({V.d_low('text')} = {D_NAME} OR strlen(text) > strlen({D_NAME}) + 1))"
+PAIRS = " OR ".join(f"(contains({LOW}, '{a}') AND contains({LOW}, '{b}'))" for a, b in R.ROSTER_PAIRS)
+D_ROSTER = rf"""(strlen({TRIM}) BETWEEN 10 AND 280 AND NOT {V.d_any(LOW, R.PROSE)} AND ({PAIRS} OR (len(regexp_extract_all({TRIM}, ',')) >= 3 AND contains({LOW}, ' and ')
+ AND len(regexp_extract_all({TRIM}, '(?:^|[^A-Za-z])[A-Z]')) >= 6 AND regexp_matches({TRIM}, '^[A-Z]') AND strlen({TRIM}) < 200)))"""
+line_query("boilerplate_lines", {"boilerplate": R.is_boilerplate(X), "ancillary": R.is_ancillary(X)}, {"boilerplate": D_BOILER, "ancillary": D_ANCILLARY})
+line_query("heading_levels", {"level": R.heading_level(X).cast("long"), "accepted": R.is_accepted_heading(X)}, {"level": f"CAST({D_LEVEL} AS BIGINT)", "accepted": D_ACCEPT})
+line_query("caption_footnote_lines", {"caption": T.is_caption(X), "footnote": T.is_footnote(X)}, {"caption": D_CAPTION, "footnote": D_FOOTNOTE})
+line_query("author_roster", {"roster": R.is_author_roster(X)}, {"roster": D_ROSTER})
+line_query(
+    "glued_heading", {"heading": R.glued_heading(X)["heading"], "rest": R.glued_heading(X)["rest"]},
+    {"heading": f"CASE WHEN {D_GLUED} THEN left(text, length({D_NAME})) ELSE '' END", "rest": f"CASE WHEN {D_GLUED} THEN {V.d_trim(f'substring(text, length({D_NAME}) + 1)')} ELSE text END"},
+)
+D_REFS = f"({V.d_in(LOW, ['references', 'bibliography', 'works cited'])} OR (starts_with({LOW}, 'references') AND strlen({LOW}) <= 14))"
+line_query("references_heading", {"refs": R.is_references_heading(X)}, {"refs": D_REFS})
+
+
+def _d_cut(x: str) -> str:
+    for phrase in R.CHROME_CUT:
+        x = f"CASE WHEN position('{phrase}' IN {V.d_low(x)}) > 1 THEN {V.d_trim(f"left({x}, position('{phrase}' IN {V.d_low(x)}) - 1)")} ELSE {x} END"
+    return x
+
+
+def _d_head(x: str) -> str:
+    t = V.d_collapse(x)
+    low = V.d_low(t)
+    under = " OR ".join(f"(contains({low}, '{p}') AND strlen({t}) < {n})" for p, n in R.CHROME_UNDER)
+    return rf"""({t} = '' OR {V.d_any(low, R.CHROME_CONTAINS)} OR {V.d_in(low, R.CHROME_EXACT)} OR (contains({low}, 'vol.') AND contains({low}, 'no.')) OR contains({low}, '/vol.') OR {under}
+ OR (regexp_matches({t}, '^[0-9\s/-]*[0-9][0-9\s/-]*$') AND strlen({t}) <= 3) OR (strlen({t}) = 1 AND NOT regexp_matches({t}, '^[0-9aAiI]$')))"""
+
+
+CUT_SQL = f"""{V.LINES}, c0 AS (SELECT doc_id, line_no, {_d_cut('text')} AS text FROM lines),
+cut AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(text, '[\\s\\x0B][B-HJ-Zb-hj-z]$') AND strlen(text) >= 3 THEN {V.d_trim("regexp_replace(text, '[A-Za-z]$', '')")} ELSE text END AS text FROM c0),
+clean AS (SELECT doc_id, line_no, text FROM cut WHERE NOT {_d_head('text')})"""
+
+
+@query(f"WITH {CUT_SQL} SELECT doc_id, line_no, text FROM clean")
+def chrome_filter(spark, sf_dir):
+    """Lines without running heads and feet."""
+    return L.without_chrome(V.marked_lines(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+QUALITY_SQL = f"""SELECT doc_id, words, suspect, CASE WHEN words < 8 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - least(0.75::DOUBLE, 4.0::DOUBLE * suspect / words) END AS quality FROM
+(SELECT doc_id, count(w) AS words, count(*) FILTER ({V.d_suspect('w')}) AS suspect FROM (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS w FROM (SELECT doc_id, {V.d_words('text')} AS l FROM lines)) GROUP BY doc_id)"""
+
+
+@query(f"WITH {V.RAW}, {V.d_stream('raw_lines')} {QUALITY_SQL}")
+def doc_quality(spark, sf_dir):
+    """A3, the flagship: quality of each document's line stream."""
+    return L.quality(L.stream_lines(L.physical_lines(V.documents(spark, sf_dir))))
+
+
+@query(f"WITH {V.WORDS} SELECT doc_id, count(*) AS n, sum(strlen(word))::BIGINT AS n_bytes, count(DISTINCT word) AS n_distinct FROM words GROUP BY doc_id")
+def word_tokens(spark, sf_dir):
+    """T5: words of each document."""
+    w = V.documents(spark, sf_dir).select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
+    return w.groupBy("doc_id").agg(F.count("w").alias("n"), F.sum(T.size(F.col("w"))).alias("n_bytes"), F.countDistinct("w").alias("n_distinct"))
+
+
+RUN_SQL = """, r1 AS (SELECT *, coalesce(lag(text) OVER w LIKE '%-' AND regexp_matches(text, '^[a-z]'), false) AS can FROM {src} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+r2 AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS chain FROM r1),
+r3 AS (SELECT *, {joins} AS joins FROM r2), r4 AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run, lead(joins) OVER (PARTITION BY doc_id ORDER BY line_no) AS goes_on FROM r3)
+SELECT doc_id, min(line_no) AS line_no, string_agg(CASE WHEN goes_on THEN regexp_replace(text, '-$', '') ELSE text END, '' ORDER BY line_no) AS text FROM r4 GROUP BY doc_id, run"""
+PLAIN = f"{V.MARK}, plain AS (SELECT doc_id, line_no, {V.d_collapse('raw')} AS text FROM marked WHERE {V.d_collapse('raw')} <> '')"
+
+
+def _plain(spark, sf_dir):
+    return V.marked(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.collapse(F.col("raw")).alias("text")).filter("text <> ''")
+
+
+@query(f"WITH {PLAIN}{RUN_SQL.format(src='plain', joins='can')}")
+def hyphen_rejoin(spark, sf_dir):
+    """Chains of lines that end in a hyphen."""
+    return L.rejoin_hyphens(_plain(spark, sf_dir))
+
+
+@query(f"WITH {PLAIN}{RUN_SQL.format(src='plain', joins='can AND row_number() OVER (PARTITION BY doc_id, chain ORDER BY line_no) % 2 = 0')}")
+def hyphen_pairs(spark, sf_dir):
+    """The same, pair by pair."""
+    return L.stitch_pairs(_plain(spark, sf_dir))
+
+
+SCORE_SQL = f"""WITH {V.LINES}, a AS (SELECT doc_id, {V.d_low('text')} AS low, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS share FROM lines)
+SELECT doc_id, CAST(sum(CASE WHEN starts_with(low, 'abstract') THEN CASE WHEN share < 0.25 THEN 50 ELSE -20 END ELSE 0 END + CASE WHEN starts_with(low, '1. introduction') OR low = '1. storyspace' THEN CASE WHEN share < 0.4 THEN 30 ELSE -10 END ELSE 0 END
+ - CASE WHEN contains(low, 'permission to make digital') THEN 25 ELSE 0 END + CASE WHEN starts_with(low, 'what explains') THEN 20 ELSE 0 END + CASE WHEN starts_with(low, 'perseus and other') THEN 20 ELSE 0 END) + least(count(*), 200) AS BIGINT) AS score FROM a GROUP BY doc_id"""
+
+
+@query(SCORE_SQL)
+def stream_score(spark, sf_dir):
+    """Marks of a line stream."""
+    return L.stream_score(V.marked_lines(spark, sf_dir))
+
+
+# ---- blocks ----
+T_SQL = rf"regexp_replace({V.d_collapse(V.d_typography('text'))}, '(?i)\bprofes-\s*sional\b|\bprofes\s+sional\b', 'professional', 'g')"
+BLOCK_SQL = f"""{V.LINES}, b0 AS (SELECT doc_id, line_no, {T_SQL} AS text FROM lines), b1 AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY doc_id) AS n_all,
+ bool_or({V.d_low('text')} IN ('abstract', 'keywords') OR {V.d_starts(V.d_low('text'), B.ANCHORS)}) OVER w AS begun, {D_BOILER} AS skips, {D_GLUED} AS glues, {D_ACCEPT} AS accepted FROM b0 WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+b2 AS (SELECT *, begun AND NOT skips AS live, accepted AND NOT glues AS heading FROM b1),
+b3 AS (SELECT *, coalesce(bool_or(live AND heading AND {V.d_low('text')} IN ('references', 'bibliography', 'works cited')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM b2),
+b4 AS (SELECT *, bool_or(seen AND {D_ANCILLARY}) OVER (PARTITION BY doc_id ORDER BY line_no) AS dropped FROM b3),
+b5 AS (SELECT *, CASE WHEN {D_CAPTION} THEN 'Skip' WHEN heading THEN 'Heading' WHEN {D_FOOTNOTE} AND n > 1 AND n + 2 > n_all THEN 'Footnote' ELSE 'Paragraph' END AS kind FROM b4 WHERE live AND NOT dropped),
+b6 AS (SELECT doc_id, line_no, n, 0 AS part, CASE WHEN glues THEN 'Heading' ELSE kind END AS kind, CASE WHEN glues THEN 1 WHEN kind = 'Heading' THEN {D_LEVEL} ELSE 0 END AS level, CASE WHEN glues THEN left(text, length({D_NAME})) ELSE text END AS text FROM b5 WHERE kind <> 'Skip'
+ UNION ALL SELECT doc_id, line_no, n, 1, 'Paragraph', 0, {V.d_trim(f'substring(text, length({D_NAME}) + 1)')} FROM b5 WHERE kind <> 'Skip' AND glues),
+b7 AS (SELECT *, lag(kind) OVER w AS before, lag(text) OVER w AS said, lag(n) OVER w AS n_before FROM b6 WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no, part)),
+b8 AS (SELECT *, sum(CASE WHEN kind <> 'Paragraph' OR before IS NULL OR before <> 'Paragraph' OR (n - n_before > 1 AND regexp_matches({V.d_trim('said')}, '[.!?]["'')\\]*]*$')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no, part) AS run FROM b7),
+b9 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no DESC, part DESC) = 1 AS at_end FROM b8),
+blocks AS (SELECT doc_id, run AS block_no, min(line_no) AS line_no, min(kind) AS kind, CAST(min(level) AS BIGINT) AS level, string_agg(CASE WHEN at_end OR text LIKE '%-' THEN text ELSE text || ' ' END, '' ORDER BY line_no, part) AS text FROM b9 GROUP BY doc_id, run)"""
+
+
+def _blocks(spark, sf_dir):
+    return B.generic_blocks(V.marked_lines(spark, sf_dir))
+
+
+@query(f"WITH {BLOCK_SQL} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, line_no, kind, level, text FROM blocks")
+def generic_blocks(spark, sf_dir):
+    """Blocks of the generic layout."""
+    return _blocks(spark, sf_dir).select("doc_id", "block_no", F.col("line_no").cast("long").alias("line_no"), "kind", F.col("level").cast("long").alias("level"), "text")
+
+
+TITLE_SQL = "SELECT doc_id, arg_min(text, block_no) AS title FROM blocks WHERE kind = 'Heading' AND strlen(text) >= 8 AND {low} NOT IN ('abstract', 'keywords', 'references') GROUP BY doc_id".format(low=V.d_low("text"))
+
+
+@query(f"WITH {BLOCK_SQL} {TITLE_SQL}")
+def title_fallback(spark, sf_dir):
+    """Titles from headings."""
+    return B.title_of(_blocks(spark, sf_dir))
+
+
+@query(f"""WITH {BLOCK_SQL}, u AS (SELECT *, last_value(CASE WHEN kind = 'Heading' THEN {V.d_low('text')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no) AS under FROM blocks)
+SELECT doc_id, arg_min(text, block_no) AS abstract FROM u WHERE kind = 'Paragraph' AND under = 'abstract' AND len({V.d_words('text')}) >= 40 GROUP BY doc_id""")
+def abstract_extract(spark, sf_dir):
+    """Abstracts."""
+    return B.abstract_of(_blocks(spark, sf_dir))
+
+
+@query(f"""WITH {BLOCK_SQL}, u AS (SELECT *, lag(kind) OVER w AS k0, lag(text) OVER w AS x0 FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+f AS (SELECT doc_id, arg_min(text, block_no) AS t FROM u WHERE k0 = 'Heading' AND {V.d_low('x0')} IN ('keywords', 'key words') AND kind IN ('Paragraph', 'Heading') GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda p: {V.d_trim('p')}), lambda p: p <> '' AND strlen(p) < 80), '|') AS keywords FROM f""")
+def keywords_split(spark, sf_dir):
+    """Keywords."""
+    return B.keywords_of(_blocks(spark, sf_dir)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query(f"WITH {BLOCK_SQL} SELECT doc_id, 1::BIGINT AS pages, count(*) FILTER (kind = 'Heading') AS headings, count(*) FILTER (kind = 'Table') AS tables, count(*) FILTER (kind = 'Footnote') AS footnotes FROM blocks GROUP BY doc_id")
+def doc_stats(spark, sf_dir):
+    """A13 and SNK9: counts of each document."""
+    return B.counts(_blocks(spark, sf_dir))
+
+
+MERGE_SQL = f"""WITH {V.LINES}, k AS (SELECT doc_id, line_no, CASE WHEN {D_ACCEPT} THEN 'Heading' ELSE 'Paragraph' END AS kind, text FROM lines),
+f AS (SELECT *, coalesce(kind = 'Paragraph' AND lag(kind) OVER w = 'Paragraph' AND NOT regexp_matches({V.d_trim('lag(text) OVER w')}, '[.!?]["'')\\]*]*$'), false) AS follows FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+g AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run, coalesce(lead(follows) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS goes_on FROM f)
+SELECT doc_id, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, string_agg(CASE WHEN goes_on AND text NOT LIKE '%-' THEN text || ' ' ELSE text END, '' ORDER BY line_no) AS text FROM g GROUP BY doc_id, run"""
+
+
+@query(MERGE_SQL)
+def paragraph_merge(spark, sf_dir):
+    """Paragraphs that don't end a sentence take on the next."""
+    rows = V.marked_lines(spark, sf_dir).withColumn("kind", F.when(R.is_accepted_heading(X), "Heading").otherwise("Paragraph"))
+    return L.merge_paragraphs(rows).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind", "text")
+
+
+@query(f"""WITH {BLOCK_SQL}, titles AS ({TITLE_SQL}), m AS (SELECT b.*, {V.d_low('b.text')} AS low FROM blocks b LEFT JOIN titles t USING (doc_id) WHERE coalesce(t.title, '') = '' OR {V.d_low('b.text')} <> {V.d_low('t.title')}),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY block_no) AS note FROM m),
+o AS (SELECT doc_id, block_no, low, kind, CASE WHEN kind = 'Heading' THEN repeat('#', greatest(1, least(CASE WHEN low = 'abstract' THEN 1 WHEN low IN ('keywords', 'key words') THEN 2 ELSE level END, 6))::INT) || ' ' || text || chr(10) || chr(10) WHEN kind = 'Paragraph' THEN text || chr(10) || chr(10) ELSE '' END AS md,
+ CASE WHEN kind = 'Footnote' THEN '[^' || note || ']: ' || text || chr(10) || chr(10) ELSE '' END AS fn FROM n),
+p AS (SELECT doc_id, string_agg(md, '' ORDER BY block_no) AS body, string_agg(fn, '' ORDER BY block_no) AS notes, bool_or(kind = 'Heading' AND low = 'references') AS refs FROM o GROUP BY doc_id)
+SELECT doc_id, body || CASE WHEN notes = '' THEN '' WHEN refs THEN chr(10) || notes ELSE chr(10) || chr(10) || notes END AS markdown FROM p""")
+def markdown_body(spark, sf_dir):
+    """SNK1, SNK3, SNK5 to SNK7: Markdown of each document."""
+    found = _blocks(spark, sf_dir)
+    return B.markdown_of(found, B.title_of(found))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang || ': ' || source AS title, [source, lang || ' "x"'] AS authors, CASE WHEN doc_id % 2 = 0 THEN '10.1000/' || doc_id ELSE '' END AS doi FROM documents)
+SELECT doc_id, '---' || chr(10) || 'title: ' || {YAML_SQL.format(x='title')} || chr(10) || 'authors:' || chr(10) || array_to_string(list_transform(authors, lambda a: '  - ' || {YAML_SQL.format(x='a')} || chr(10)), '')
+ || CASE WHEN doi <> '' THEN 'object-url: ' || {YAML_SQL.format(x="('https://doi.org/' || doi)")} || chr(10) ELSE '' END || 'source-format: pdf' || chr(10) || CASE WHEN doi <> '' THEN 'doi: ' || {YAML_SQL.format(x='doi')} || chr(10) ELSE '' END || '---' || chr(10) || chr(10) AS head FROM d""")
+def yaml_front_matter(spark, sf_dir):
+    """SNK1, SNK2, W16: heads of Markdown files."""
+    d = V.documents(spark, sf_dir)
+    doi = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1000/"), F.col("doc_id").cast("string"))).otherwise("")
+    return d.select("doc_id", B.front_matter(F.concat("lang", F.lit(": "), "source"), F.array("source", F.concat("lang", F.lit(' "x"'))), doi).alias("head"))
+
+
+FAMILY = "CASE " + " ".join(f"WHEN {V.d_any(V.d_low("path || ' ' || title"), p)} THEN '{n}'" for n, p in R.FAMILIES) + " ELSE 'generic' END"
+PATHS = "concat('/in/Sub.', cast(doc_id as string), '/', element_at(array('CCP_Addis2000', 'acm_bernstein2002', 'paper', 'candidate_paper'), cast(doc_id % 4 as int) + 1), '.PDF')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, '/in/Sub.' || doc_id || '/' || ['CCP_Addis2000', 'acm_bernstein2002', 'paper', 'candidate_paper'][doc_id % 4 + 1] || '.PDF' AS path, CASE WHEN doc_id % 5 = 0 THEN 'Drudgery' ELSE lang END AS title FROM documents)
+SELECT doc_id, {FAMILY} AS family, {V.d_low('path')} LIKE '%.pdf' AS is_pdf, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, '/out/' || regexp_replace(substring(path, 5), '\\.[^./]*$', '.md') AS output_path FROM d""")
+def layout_family(spark, sf_dir):
+    """P18, SRC1, SRC3, T12: families and output places of input paths."""
+    from quire.sources import jobs
+
+    d = V.documents(spark, sf_dir).select("doc_id", F.expr(PATHS).alias("path"), F.when(F.col("doc_id") % 5 == 0, "Drudgery").otherwise(F.col("lang")).alias("title"))
+    return d.select("doc_id", R.layout_family(F.col("path"), F.col("title")).alias("family"), jobs.is_pdf(F.col("path")).alias("is_pdf"), T.stem(F.col("path")).alias("stem"), jobs.output_path(F.col("path"), "/in", "/out").alias("output_path"))
+
+
+# ---- geometry ----
+MEDIANS = """med AS (SELECT doc_id, page, coalesce(list_sort(list(font_size) FILTER (font_size > 0))[count(*) FILTER (font_size > 0) // 2 + 1], 0.0::DOUBLE) AS median_font,
+ coalesce(list_sort(list(y1 - y0) FILTER (y1 - y0 > 0))[count(*) FILTER (y1 - y0 > 0) // 2 + 1], 0.0::DOUBLE) AS median_height FROM boxes GROUP BY doc_id, page)"""
+HIST = """enough AS (SELECT doc_id, page FROM boxes WHERE x1 - x0 <= 360 GROUP BY doc_id, page HAVING count(*) >= 30),
+cov AS (SELECT doc_id, page, unnest(range(greatest(0, floor(x0 * 240 / 600))::INT, least(240, ceil(x1 * 240 / 600))::INT)) AS bin FROM boxes WHERE x1 - x0 <= 360),
+bins AS (SELECT e.doc_id, e.page, g.bin, coalesce(c.n, 0) AS n FROM enough e CROSS JOIN (SELECT unnest(range(240))::INT AS bin) g LEFT JOIN (SELECT doc_id, page, bin, count(*) AS n FROM cov GROUP BY ALL) c ON c.doc_id = e.doc_id AND c.page = e.page AND c.bin = g.bin)"""
+CUTS = """fr AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS island FROM bins WHERE bin >= 67 AND bin < 172 AND n <= 1),
+ru AS (SELECT doc_id, page, min(bin) AS a, count(*) AS k FROM fr GROUP BY doc_id, page, island), be AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k DESC, a) AS r FROM ru),
+cuts AS (SELECT doc_id, page, k * 600.0::DOUBLE / 240 AS gap, (2 * a + k) * 600.0::DOUBLE / 240 / 2 AS cut FROM be WHERE r = 1 AND k * 600.0::DOUBLE / 240 >= 12)"""
+
+
+@query(f"WITH {V.BOX}, {MEDIANS} SELECT * FROM med")
+def box_medians(spark, sf_dir):
+    """A1, A2."""
+    return G.medians(V.boxes(spark, sf_dir))
+
+
+@query(f"WITH {V.BOX}, {HIST} SELECT doc_id, page, bin, n FROM bins")
+def column_histogram(spark, sf_dir):
+    """A6."""
+    return G.histogram(V.boxes(spark, sf_dir))
+
+
+@query(f"WITH {V.BOX}, {HIST}, {CUTS} SELECT doc_id, page, gap, cut FROM cuts")
+def column_cut(spark, sf_dir):
+    """A7."""
+    return G.column_cut(G.histogram(V.boxes(spark, sf_dir)))
+
+
+@query(f"""WITH {V.BOX}, g AS (SELECT *, lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0, box_id) AS x_before, count(*) OVER (PARTITION BY doc_id, page) AS n_all FROM boxes),
+f AS (SELECT doc_id, page, (x_before + x0) / 2 AS m FROM g WHERE n_all >= 20 AND x0 - x_before >= 12 AND (x_before + x0) / 2 > 168 AND (x_before + x0) / 2 < 432), c AS (SELECT doc_id, page, (min(row(abs(m - 300), m)))[2] AS cut FROM f GROUP BY ALL)
+SELECT b.doc_id, b.page, c.cut FROM boxes b JOIN c ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY ALL HAVING count(*) FILTER (b.x0 < c.cut) > 15 AND count(*) FILTER (b.x0 >= c.cut) > 15""")
+def x_gap_columns(spark, sf_dir):
+    """A8."""
+    return G.gap_column(V.boxes(spark, sf_dir))
+
+
+STARTS = """fs AS (SELECT b.doc_id, b.page, coalesce(min(y0) FILTER (hit AND (x0 + x1) / 2 < 300), 801.0::DOUBLE) AS start_left, coalesce(min(y0) FILTER (hit AND NOT (x0 + x1) / 2 < 300), 801.0::DOUBLE) AS start_right FROM
+ (SELECT boxes.*, regexp_matches(text, '^[0-9]+$') AND strlen(text) <= 2 AND y0 >= 800 * 0.68::DOUBLE AND (median_height <= 0 OR y1 - y0 <= median_height * 0.82::DOUBLE) AND (x0 / 600 < 0.15 OR abs(x0 / 600 - 0.53::DOUBLE) < 0.055) AS hit FROM boxes JOIN med USING (doc_id, page)) b GROUP BY ALL)"""
+SEEDS = r"""seeds AS (SELECT s.doc_id, s.page, s.box_id FROM (SELECT * FROM boxes WHERE regexp_matches(text, '(?i)^(figure|fig\.|table)(?:\s+\d+[a-z]?[\.:]?)?$')) s LEFT JOIN boxes o ON s.doc_id = o.doc_id AND s.page = o.page
+ AND ((s.x0 + s.x1) / 2 < 300) = ((o.x0 + o.x1) / 2 < 300) AND abs(o.y0 - s.y0) <= 2.5 AND o.box_id <> s.box_id GROUP BY ALL
+ HAVING bool_or(regexp_matches(s.text, '\d') OR coalesce(o.x0 > s.x1 AND o.x0 - s.x1 < 45 AND regexp_matches(o.text, '^\d+[A-Za-z]?[\.:]?$'), false)) AND NOT bool_or(coalesce(o.x1 < s.x0, false)))"""
+
+
+@query(f"WITH {V.BOX}, {MEDIANS}, {STARTS} SELECT * FROM fs")
+def footnote_start(spark, sf_dir):
+    """A5."""
+    b = V.boxes(spark, sf_dir)
+    return G.footnote_start(b, G.medians(b))
+
+
+@query(f"WITH {V.BOX}, {SEEDS} SELECT * FROM seeds")
+def caption_seed(spark, sf_dir):
+    """J3."""
+    return G.caption_seeds(V.boxes(spark, sf_dir))
+
+
+LOWB = V.d_low("text")
+REGIONS = f"""reg AS (SELECT b.*, median_height, CASE WHEN text = '' THEN 'Metadata' WHEN rotation <> 0 OR ((x0 < 27 OR x1 > 573) AND {V.d_any(LOWB, G.MARGIN_WORDS)}) THEN 'MarginOverlay'
+ WHEN y0 < 48 AND (regexp_matches(text, '^[0-9]+$') OR {V.d_any(LOWB, G.HEADER_WORDS)}) THEN 'Header' WHEN y1 > 800 * (1 - 0.06::DOUBLE) AND (regexp_matches(text, '^[0-9]+$') OR {V.d_any(LOWB, G.FOOTER_WORDS)}) THEN 'Footer'
+ WHEN s.box_id IS NOT NULL THEN 'Float' WHEN CASE WHEN (x0 + x1) / 2 < 300 THEN start_left ELSE start_right END <= 800 AND y0 >= CASE WHEN (x0 + x1) / 2 < 300 THEN start_left ELSE start_right END - 1 THEN 'Footnote'
+ WHEN {V.d_any(LOWB, G.METADATA_WORDS)} THEN 'Metadata' WHEN y0 > 800 * 0.82::DOUBLE AND median_font > 0 AND font_size > 0 AND font_size < median_font * 0.82::DOUBLE THEN 'Footnote' ELSE 'Body' END AS region
+ FROM boxes b JOIN med USING (doc_id, page) JOIN fs USING (doc_id, page) LEFT JOIN seeds s ON s.doc_id = b.doc_id AND s.page = b.page AND s.box_id = b.box_id)"""
+REG = f"{V.BOX}, {MEDIANS}, {STARTS}, {SEEDS}, {REGIONS}"
+
+
+@query(f"WITH {REG} SELECT doc_id, page, box_id, region FROM reg")
+def region_classify(spark, sf_dir):
+    """P24, J2 aside."""
+    return G.classify(V.boxes(spark, sf_dir)).select(*G.PAGE, "box_id", "region")
+
+
+ISLANDS = f"""WITH {REG}, sd AS (SELECT DISTINCT doc_id, page, (x0 + x1) / 2 < 300 AS l, y0 AS start, median_height FROM reg WHERE region = 'Float'), ro AS (SELECT DISTINCT doc_id, page, (x0 + x1) / 2 < 300 AS l, y0 FROM reg),
+dn AS (SELECT *, y0 - coalesce(lag(y0) OVER (PARTITION BY doc_id, page, l, start ORDER BY y0), start) > greatest(18.0::DOUBLE, median_height * 1.8::DOUBLE) AS gap FROM sd JOIN ro USING (doc_id, page, l) WHERE y0 >= start),
+br AS (SELECT *, bool_or(gap) OVER (PARTITION BY doc_id, page, l, start ORDER BY y0) AS broken FROM dn), bd AS (SELECT doc_id, page, l, start, max(y0) + max(median_height) * 1.2::DOUBLE AS finish FROM br WHERE NOT broken GROUP BY ALL)
+SELECT doc_id, page, box_id, CASE WHEN EXISTS (SELECT 1 FROM bd WHERE bd.doc_id = reg.doc_id AND bd.page = reg.page AND bd.l = ((reg.x0 + reg.x1) / 2 < 300) AND reg.y0 >= bd.start - 2 AND reg.y0 <= bd.finish) THEN 'Float' ELSE region END AS region FROM reg"""
+
+
+@query(ISLANDS)
+def float_islands(spark, sf_dir):
+    """W5."""
+    return G.float_islands(G.classify(V.boxes(spark, sf_dir))).select(*G.PAGE, "box_id", "region")
+
+
+REGION_ROWS = "(0, 1, 'header', 0.0, 0.0, 1.0, 0.1, true, true), (0, 2, 'margin_overlay', 300.0, 80.0, 400.0, 200.0, false, true), (0, 3, 'unknown', 0.0, 0.0, 600.0, 120.0, false, false), (1, 1, 'sidebar', 0.4, 0.9, 0.1, 0.2, true, false)"
+REGION_NAMES = "page, region_ord, role, x0, y0, x1, y1, fractional, top_origin"
+
+
+@query(f"""WITH {V.BOX}, o AS (SELECT page, region_ord, CASE role WHEN 'header' THEN 'Header' WHEN 'margin_overlay' THEN 'MarginOverlay' WHEN 'sidebar' THEN 'Sidebar' ELSE 'Float' END AS role, x0::DOUBLE * w AS a, x1::DOUBLE * w AS b, CASE WHEN top_origin THEN y0::DOUBLE * h ELSE 800 - y0::DOUBLE * h END AS c, CASE WHEN top_origin THEN y1::DOUBLE * h ELSE 800 - y1::DOUBLE * h END AS d
+ FROM (SELECT *, CASE WHEN fractional THEN 600.0::DOUBLE ELSE 1 END AS w, CASE WHEN fractional THEN 800.0::DOUBLE ELSE 1 END AS h FROM (VALUES {REGION_ROWS}) t({REGION_NAMES})))
+SELECT bx.doc_id, bx.page, bx.box_id, arg_min(o.role, o.region_ord) AS role FROM boxes bx JOIN o ON o.page = bx.page AND (bx.x0 + bx.x1) / 2 BETWEEN least(a, b) AND greatest(a, b) AND (bx.y0 + bx.y1) / 2 BETWEEN least(c, d) AND greatest(c, d) GROUP BY ALL""")
+def override_regions(spark, sf_dir):
+    """J1, J2, P20, P21, T18."""
+    regions = spark.sql(f"SELECT * FROM VALUES {REGION_ROWS} AS t({REGION_NAMES})")
+    regions = regions.select("page", "region_ord", R.region_kind(F.col("role")).alias("role"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "fractional", "top_origin")
+    return G.override_hits(V.boxes(spark, sf_dir), G.page_points(regions))
+
+
+LEAN = r"""(regexp_matches(text, '^[.,;:)\]}?!%'']') OR text LIKE '-%' OR before LIKE '%-')"""
+VISUAL = f"""v0 AS (SELECT *, lag(y0) OVER w AS y_before, lag(region) OVER w AS r_before FROM reg WHERE region <> 'Body' WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, box_id)),
+v1 AS (SELECT *, sum(CASE WHEN y_before IS NULL OR abs(y0 - y_before) > 2.5 OR region <> r_before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, box_id) AS line FROM v0),
+v2 AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, page, line ORDER BY y0, x0, box_id) AS before FROM v1),
+visual AS (SELECT doc_id, page, CAST(line AS BIGINT) AS line, min(region) AS region, string_agg(CASE WHEN before IS NULL OR {LEAN} THEN text ELSE ' ' || text END, '' ORDER BY y0, x0, box_id) AS text FROM v2 GROUP BY ALL)"""
+
+
+@query(f"WITH {REG}, {VISUAL} SELECT * FROM visual")
+def visual_lines(spark, sf_dir):
+    """A15, T11."""
+    return G.visual_lines(G.classify(V.boxes(spark, sf_dir)))
+
+
+LINEAR = f"""l0 AS (SELECT r.*, CASE WHEN c.cut IS NULL THEN 0 WHEN x1 - x0 > 360 THEN -1 WHEN (x0 + x1) / 2 < c.cut THEN 0 ELSE 1 END AS col FROM reg r LEFT JOIN cuts c ON c.doc_id = r.doc_id AND c.page = r.page WHERE region = 'Body'),
+l1 AS (SELECT *, lag(y0) OVER w AS y_before, lag(col) OVER w AS c_before FROM l0 WINDOW w AS (PARTITION BY doc_id, page ORDER BY col, y0, x0, box_id)),
+l2 AS (SELECT *, sum(CASE WHEN y_before IS NULL OR abs(y0 - y_before) > 2.5 OR col <> c_before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY col, y0, x0, box_id) - 1 AS line_no FROM l1),
+l3 AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, box_id) AS before FROM l2),
+linear AS (SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, string_agg(CASE WHEN before IS NULL OR {LEAN} THEN text ELSE ' ' || text END, '' ORDER BY x0, box_id) AS text FROM l3 GROUP BY ALL)"""
+
+
+def _linear(spark, sf_dir):
+    b = V.boxes(spark, sf_dir)
+    return G.linearize(G.classify(b), G.column_cut(G.histogram(b)))
+
+
+@query(f"WITH {REG}, {HIST}, {CUTS}, {LINEAR} SELECT * FROM linear")
+def linearize(spark, sf_dir):
+    """W1, W2."""
+    return _linear(spark, sf_dir)
+
+
+@query(f"WITH {REG}, {HIST}, {CUTS}, {LINEAR}, {VISUAL} SELECT * FROM linear WHERE NOT EXISTS (SELECT 1 FROM visual v WHERE v.doc_id = linear.doc_id AND v.page = linear.page AND {V.d_low(V.d_collapse('v.text'))} = {V.d_low(V.d_collapse('linear.text'))})")
+def quarantine_exact(spark, sf_dir):
+    """J4, equal lines."""
+    b = G.classify(V.boxes(spark, sf_dir))
+    return S.quarantine(_linear(spark, sf_dir), G.visual_lines(b)).select(*G.PAGE, "line_no", "text")
+
+
+PAGES_SQL = f"{V.LINES}, pg AS (SELECT doc_id, line_no // 4 AS page, text FROM lines)"
+
+
+def _pages(spark, sf_dir):
+    return V.marked_lines(spark, sf_dir).select("doc_id", F.floor(F.col("line_no") / 4).cast("long").alias("page"), "text")
+
+
+@query(f"WITH {PAGES_SQL}, h AS (SELECT doc_id, page, bool_or({D_REFS}) AS has FROM pg GROUP BY ALL) SELECT doc_id, page, bool_or(has) OVER (PARTITION BY doc_id ORDER BY page) AS active FROM h")
+def references_active(spark, sf_dir):
+    """W6, P17."""
+    return S.references_active(_pages(spark, sf_dir))
+
+
+@query(f"WITH {V.BOX} SELECT doc_id, page, sum(strlen(text))::BIGINT AS bytes FROM boxes GROUP BY ALL HAVING sum(strlen(text)) < 40")
+def ocr_requests(spark, sf_dir):
+    """P23, W18."""
+    return S.ocr_requests(V.boxes(spark, sf_dir))
+
+
+CAND = "SELECT doc_id, doc_id % 3 AS page, stream, (doc_id * k) % 4 AS lines, ((doc_id * 13 + k * 7) % 20) / 20.0D AS quality FROM documents CROSS JOIN (VALUES ('flow', 1), ('geometry', 2), ('raw', 3)) AS t(stream, k)"
+
+
+@query(f"WITH c AS ({CAND.replace('20.0D', '20.0::DOUBLE')}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY quality DESC, stream) AS r FROM c WHERE lines > 0 AND stream <> 'raw') SELECT doc_id, page, stream FROM r WHERE r = 1")
+def stream_select(spark, sf_dir):
+    """W17, generic family."""
+    d = V.documents(spark, sf_dir).select("doc_id")
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("stream"), F.lit(k).alias("k")) for k, s in enumerate(("flow", "geometry", "raw"), 1)]))
+    c = d.select("doc_id", kinds.alias("t")).selectExpr("doc_id", "doc_id % 3 AS page", "t.stream", "(doc_id * t.k) % 4 AS lines", "((doc_id * 13 + t.k * 7) % 20) / 20.0D AS quality")
+    return S.select_stream(c)
+
+
+@query("""WITH n AS (SELECT doc_id, doc_id % 3 AS page, (doc_id % 20) / 20.0::DOUBLE AS quality, doc_id % 7 = 0 AS direct FROM documents), o AS (SELECT doc_id, doc_id % 3 AS page, (doc_id * 3 % 20) / 20.0::DOUBLE AS ocr_quality FROM documents WHERE doc_id % 5 > 0 AND doc_id % 2 = 0)
+SELECT n.doc_id, n.page, CASE WHEN coalesce(direct AND ocr_quality IS NOT NULL OR ocr_quality > quality + 0.04::DOUBLE, false) THEN 'ocr' ELSE 'native' END AS source, CASE WHEN coalesce(direct AND ocr_quality IS NOT NULL OR ocr_quality > quality + 0.04::DOUBLE, false) THEN ocr_quality ELSE quality END AS quality FROM n LEFT JOIN o ON n.doc_id = o.doc_id AND n.page = o.page""")
+def ocr_arbitrate(spark, sf_dir):
+    """J5."""
+    d = V.documents(spark, sf_dir)
+    native = d.selectExpr("doc_id", "doc_id % 3 AS page", "(doc_id % 20) / 20.0D AS quality", "doc_id % 7 = 0 AS direct")
+    ocr = d.filter("doc_id % 5 > 0").selectExpr("doc_id", "doc_id % 3 AS page", "(doc_id * 3 % 20) / 20.0D AS ocr_quality", "CAST(1 - doc_id % 2 AS INT) AS ocr_lines")
+    return S.arbitrate(native, ocr)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
