@@ -167,7 +167,7 @@ def lexicon(texts: list[str], y: list[int], share: float = 0.02, odds: float = 1
     for text, label in zip(texts, y, strict=True):
         if label:
             met_in.update({e for t in set(TOKEN(text.lower())) - set(MARKS) for e in entries(t)})
-    held = {e for e, n in met_in.items() if n >= max(4, share * toxic)}
+    held = {e for e, n in met_in.items() if 2 * n >= max(4, share * toxic)}  # a document gives two neighbours at most
     del met_in
     counts, total = [Counter(), Counter()], [1, 1]
     vocabulary = [Counter(), Counter()]
