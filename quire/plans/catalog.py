@@ -18,7 +18,6 @@ from . import views as V
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-X = F.col("text")
 
 
 def query(sql: str | None = None):
@@ -31,12 +30,12 @@ def query(sql: str | None = None):
     return add
 
 
-def line_query(name: str, spark_columns: dict[str, Column], sql_columns: dict[str, str], raw: bool = False) -> None:
+def line_query(name: str, spark_columns: Callable[[], dict[str, Column]], sql_columns: dict[str, str], raw: bool = False) -> None:
     """A query of columns over the marked lines."""
     source = V.marked if raw else V.marked_lines
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), *[c.alias(n) for n, c in spark_columns.items()])
+        return source(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), *[c.alias(n) for n, c in spark_columns().items()])
 
     listed = ", ".join(f"{c} AS {n}" for n, c in sql_columns.items())
     _queries[name] = run
@@ -46,30 +45,30 @@ def line_query(name: str, spark_columns: dict[str, Column], sql_columns: dict[st
 # ---- text functions ----
 line_query(
     "normalized_lines",
-    {"trimmed": T.trim(F.col("raw")), "collapsed": T.collapse(F.col("raw")), "typography": T.normalize_typography(F.col("raw")), "lower_text": T.ascii_lower(F.col("raw")), "n_bytes": T.size(F.col("raw")).cast("long")},
+    lambda: {"trimmed": T.trim(F.col("raw")), "collapsed": T.collapse(F.col("raw")), "typography": T.normalize_typography(F.col("raw")), "lower_text": T.ascii_lower(F.col("raw")), "n_bytes": T.size(F.col("raw")).cast("long")},
     {"trimmed": V.d_trim("raw"), "collapsed": V.d_collapse("raw"), "typography": V.d_typography("raw"), "lower_text": V.d_low("raw"), "n_bytes": "strlen(raw)"},
     raw=True,
 )
-line_query("footnote_detach", {"detached": T.detach_footnote(F.col("raw"))}, {"detached": V.d_detach("raw")}, raw=True)
-line_query("stream_lines", {"text": X}, {"text": "text"})
+line_query("footnote_detach", lambda: {"detached": T.detach_footnote(F.col("raw"))}, {"detached": V.d_detach("raw")}, raw=True)
+line_query("stream_lines", lambda: {"text": F.col("text")}, {"text": "text"})
 line_query(
-    "doi_extract", {"doi": T.extract_doi(X), "doi_like": T.looks_like_doi(X)},
+    "doi_extract", lambda: {"doi": T.extract_doi(F.col("text")), "doi_like": T.looks_like_doi(F.col("text"))},
     {
         "doi": r"regexp_replace(regexp_extract(text, '(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)', 1), '[.,]+$', '')",
         "doi_like": f"starts_with({V.d_low(V.d_trim('text'))}, '10.') OR contains({V.d_low(V.d_trim('text'))}, 'doi:') OR contains({V.d_low(V.d_trim('text'))}, 'doi.org/')",
     },
 )
 line_query(
-    "author_lists", {"authors": T.joined(T.authors(X), "|")},
+    "author_lists", lambda: {"authors": T.joined(T.authors(F.col("text")), "|")},
     {"authors": "array_to_string(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[;,]'), lambda p: string_split(" + V.d_trim("p") + ", ' and '))), lambda p: " + V.d_trim("p") + "), lambda p: p <> ''), '|')"},
 )
 YAML_SQL = r"""CASE WHEN {x} = '' OR regexp_matches({x}, '[:"''#{{}}\[\],&*?|>!%@`\\]') OR {x} LIKE ' %' OR {x} LIKE '% ' OR contains({x}, chr(10)) THEN '"' || replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' ELSE {x} END"""
-line_query("yaml_scalars", {"yaml": T.yaml_escape(F.col("raw"))}, {"yaml": YAML_SQL.format(x="raw")}, raw=True)
+line_query("yaml_scalars", lambda: {"yaml": T.yaml_escape(F.col("raw"))}, {"yaml": YAML_SQL.format(x="raw")}, raw=True)
 line_query(
-    "sentence_end", {"ends": T.ends_sentence(X), "digits": T.is_digits(X), "mostly": T.mostly_digits(X)},
+    "sentence_end", lambda: {"ends": T.ends_sentence(F.col("text")), "digits": T.is_digits(F.col("text")), "mostly": T.mostly_digits(F.col("text"))},
     {"ends": rf"""regexp_matches({V.d_trim('text')}, '[.!?]["'')\]*]*$')""", "digits": f"regexp_matches({V.d_trim('text')}, '^[0-9]+$')", "mostly": r"regexp_matches(text, '^[0-9\s/-]*[0-9][0-9\s/-]*$')"},
 )
-line_query("split_word_repair", {"repaired": T.fix_split_word(X)}, {"repaired": rf"regexp_replace({V.d_collapse('text')}, '(?i)\bprofes-\s*sional\b|\bprofes\s+sional\b', 'professional', 'g')"})
+line_query("split_word_repair", lambda: {"repaired": T.fix_split_word(F.col("text"))}, {"repaired": rf"regexp_replace({V.d_collapse('text')}, '(?i)\bprofes-\s*sional\b|\bprofes\s+sional\b', 'professional', 'g')"})
 
 LOW, TRIM = V.d_low(V.d_trim("text")), V.d_trim("text")
 D_CAPTION = f"regexp_matches({LOW}, '^(figure |fig\\. |table )')"
@@ -88,16 +87,16 @@ D_GLUED = f"({D_NAME} <> '' AND ({V.d_low('text')} = {D_NAME} OR strlen(text) >
 PAIRS = " OR ".join(f"(contains({LOW}, '{a}') AND contains({LOW}, '{b}'))" for a, b in R.ROSTER_PAIRS)
 D_ROSTER = rf"""(strlen({TRIM}) BETWEEN 10 AND 280 AND NOT {V.d_any(LOW, R.PROSE)} AND ({PAIRS} OR (len(regexp_extract_all({TRIM}, ',')) >= 3 AND contains({LOW}, ' and ')
  AND len(regexp_extract_all({TRIM}, '(?:^|[^A-Za-z])[A-Z]')) >= 6 AND regexp_matches({TRIM}, '^[A-Z]') AND strlen({TRIM}) < 200)))"""
-line_query("boilerplate_lines", {"boilerplate": R.is_boilerplate(X), "ancillary": R.is_ancillary(X)}, {"boilerplate": D_BOILER, "ancillary": D_ANCILLARY})
-line_query("heading_levels", {"level": R.heading_level(X).cast("long"), "accepted": R.is_accepted_heading(X)}, {"level": f"CAST({D_LEVEL} AS BIGINT)", "accepted": D_ACCEPT})
-line_query("caption_footnote_lines", {"caption": T.is_caption(X), "footnote": T.is_footnote(X)}, {"caption": D_CAPTION, "footnote": D_FOOTNOTE})
-line_query("author_roster", {"roster": R.is_author_roster(X)}, {"roster": D_ROSTER})
+line_query("boilerplate_lines", lambda: {"boilerplate": R.is_boilerplate(F.col("text")), "ancillary": R.is_ancillary(F.col("text"))}, {"boilerplate": D_BOILER, "ancillary": D_ANCILLARY})
+line_query("heading_levels", lambda: {"level": R.heading_level(F.col("text")).cast("long"), "accepted": R.is_accepted_heading(F.col("text"))}, {"level": f"CAST({D_LEVEL} AS BIGINT)", "accepted": D_ACCEPT})
+line_query("caption_footnote_lines", lambda: {"caption": T.is_caption(F.col("text")), "footnote": T.is_footnote(F.col("text"))}, {"caption": D_CAPTION, "footnote": D_FOOTNOTE})
+line_query("author_roster", lambda: {"roster": R.is_author_roster(F.col("text"))}, {"roster": D_ROSTER})
 line_query(
-    "glued_heading", {"heading": R.glued_heading(X)["heading"], "rest": R.glued_heading(X)["rest"]},
+    "glued_heading", lambda: {"heading": R.glued_heading(F.col("text"))["heading"], "rest": R.glued_heading(F.col("text"))["rest"]},
     {"heading": f"CASE WHEN {D_GLUED} THEN left(text, length({D_NAME})) ELSE '' END", "rest": f"CASE WHEN {D_GLUED} THEN {V.d_trim(f'substring(text, length({D_NAME}) + 1)')} ELSE text END"},
 )
 D_REFS = f"({V.d_in(LOW, ['references', 'bibliography', 'works cited'])} OR (starts_with({LOW}, 'references') AND strlen({LOW}) <= 14))"
-line_query("references_heading", {"refs": R.is_references_heading(X)}, {"refs": D_REFS})
+line_query("references_heading", lambda: {"refs": R.is_references_heading(F.col("text"))}, {"refs": D_REFS})
 
 
 def _d_cut(x: str) -> str:
@@ -241,7 +240,7 @@ SELECT doc_id, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, string_a
 @query(MERGE_SQL)
 def paragraph_merge(spark, sf_dir):
     """Paragraphs that don't end a sentence take on the next."""
-    rows = V.marked_lines(spark, sf_dir).withColumn("kind", F.when(R.is_accepted_heading(X), "Heading").otherwise("Paragraph"))
+    rows = V.marked_lines(spark, sf_dir).withColumn("kind", F.when(R.is_accepted_heading(F.col("text")), "Heading").otherwise("Paragraph"))
     return L.merge_paragraphs(rows).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind", "text")
 
 
