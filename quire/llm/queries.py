@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, quality, suffixes, toxicity, warc
+from . import exact_dedup, lm_scoring, media, mixing, near_dedup, packing, quality, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(table(spark, sf_dir, "pages"))
 
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_mixing, op4_suffix_dedup, op5_packing, op7_warc, op8_near_dedup, op9_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_mixing, op4_suffix_dedup, op5_packing, op6_lm_scoring, op7_warc, op8_near_dedup, op9_exact_dedup, op10_quality)}
 
 
 OP9_SQL = r"""

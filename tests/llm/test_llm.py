@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import components, exact_dedup, media, mixing, near_dedup, packing, quality, suffixes, toxicity, warc
+from quire.llm import components, exact_dedup, lm_scoring, media, mixing, near_dedup, packing, quality, suffixes, toxicity, warc
 from quire.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, h long, score double, uid long"
@@ -248,3 +248,24 @@ def test_empty_tables(spark):
     for f in (exact_dedup.dedup, near_dedup.components_of, suffixes.deduplicated, media.stored, lambda d: packing.pack(d, tokenizer_path())):
         assert f(none).count() == 0
     assert warc.deduplicated(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lm_scoring(spark):
+    texts = [None, "", "a b a b", "a b c a", "c d c d", "x y", "a b a b"]
+    labels = spark.createDataFrame([(2, 1), (3, 1), (4, 0), (5, None)], "doc_id long, quality int")
+    got = rows(lm_scoring.score(make(spark, texts), labels))
+    assert [got[i].n_words for i in range(7)] == [0, 0, 4, 4, 4, 2, 4] and got[0].score == got[1].score == 0 and got[2].score == got[6].score
+    words = [(t or "").split() for t in texts]
+    good = [w for i, w in enumerate(words) if i in (2, 3)]
+
+    def loss(model, w, before):
+        total, one = sum(map(len, model)), sum(x.count(w) for x in model)
+        first = sum(x.count(before) for x in model) if before else 0
+        two = sum(sum((([None] + x)[k], x[k]) == (before, w) for k in range(len(x))) for x in model)
+        after = two / max(1, first, two)
+        return -np.log(0.4 * after + 0.6 * (one + 0.5) / (total + 0.5 * lm_scoring.UNIGRAMS))
+
+    for i, w in enumerate(words):
+        want = sum(loss(words, x, b) - loss(good, x, b) for x, b in zip(w, [None, *w], strict=False)) / max(1, len(w))
+        assert abs(want - got[i].score) < 1e-9
+    assert got[2].score > got[4].score
