@@ -155,7 +155,9 @@ def rewrite(resolved: DataFrame, folder: str, to_folder: str) -> DataFrame:
         to.close()
         return pa.table({"archive": pa.array(list(made), pa.string()), "records": pa.array(list(made.values()), pa.int64())})
 
-    return resolved.select("archive", "at", "record_type", "refers_to").groupBy("archive").applyInArrow(run, "archive string, records long")
+    # headers are few, so AQE would put all archives' work into one task
+    spread = resolved.select("archive", "at", "record_type", "refers_to").repartition(tasks(resolved.sparkSession, 1), "archive")
+    return spread.groupBy("archive").applyInArrow(run, "archive string, records long")
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
