@@ -463,3 +463,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from . import overleaf  # noqa: E402, F401  adds its queries to these

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.operators import blocks, layout, lines
+from quire.operators import blocks, layout, lines, overleaf
 from quire.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,19 @@ def test_caption_seed(spark):
     boxes = [(1, 0, 0, "Figure", 60.0, 300.0, 95.0, 310.0), (1, 0, 1, "2", 100.0, 300.0, 106.0, 310.0), (2, 0, 0, "Figure", 60.0, 300.0, 95.0, 310.0), (2, 0, 1, "2", 100.0, 300.0, 106.0, 310.0), (2, 0, 2, "see", 40.0, 300.0, 55.0, 310.0)]
     df = spark.createDataFrame(boxes, "doc_id long, page int, box_id int, text string, x0 double, y0 double, x1 double, y1 double")
     assert [r.doc_id for r in layout.caption_seeds(df).collect()] == [1]
+
+
+def test_lines_overleaf(spark):
+    # pages of one line give by turns; a missing page breaks the chain
+    rows = [(1, 0, 0, "a-"), (1, 1, 1, "b-"), (1, 2, 2, "c-"), (1, 3, 3, "d"), (1, 3, 4, "e-"), (1, 5, 5, "f"), (2, 0, 0, "x"), (2, 1, 1, "y")]
+    got = overleaf.stitch_lines(spark.createDataFrame(rows, "doc_id long, page long, line_no long, text string")).orderBy("doc_id", "line_no").collect()
+    assert [(r.page, r.text) for r in got] == [(0, "ab-"), (2, "cd"), (3, "e-"), (5, "f"), (0, "x"), (1, "y")]
+
+
+def test_row_bands_drift(spark):
+    # the second box moves the row to 101.5, so the third is within three points of it
+    boxes = [(1, 0, k, "word", x, y, x + 40, y + 10, "Body") for k, (x, y) in enumerate([(50.0, 100.0), (350.0, 103.0), (100.0, 104.0), (50.0, 120.0)])]
+    df = spark.createDataFrame(boxes, "doc_id long, page int, box_id int, text string, x0 double, y0 double, x1 double, y1 double, region string")
+    floors = spark.createDataFrame([(1, 0, 0.0)], "doc_id long, page int, floor double")
+    got = overleaf.row_bands(df, floors).orderBy("y").collect()
+    assert [(r.y, r.left, r.right) for r in got] == [(102.75, True, True), (120.0, True, False)]
