@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -269,3 +270,31 @@ def test_lm_scoring(spark):
         want = sum(loss(words, x, b) - loss(good, x, b) for x, b in zip(w, [None, *w], strict=False)) / max(1, len(w))
         assert abs(want - got[i].score) < 1e-9
     assert got[2].score > got[4].score
+
+
+def test_lm_scoring_counts_true_words(spark):
+    # more distinct words and pairs than any fixed number of buckets keeps apart; small shards, so that counts meet across them
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(150_000)}" if rng.random() < 0.8 else rng.choice("abcdef") for _ in range(9000)) for _ in range(40)]
+    texts += [texts[3], None, " \n"]
+    docs = make(spark, texts).withColumn("doc_id", F.expr("CASE WHEN doc_id <> 7 THEN doc_id END"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id long, quality int")
+    got = rows(lm_scoring.score(docs, labels, tokens=40_000))
+    words = [(t or "").split() for t in texts]
+    models = []
+    for own in ([w for i, w in enumerate(words) if i < 30 and i % 3 == 0 and i != 7], words):
+        models.append((Counter(x for w in own for x in w), Counter(p for w in own for p in zip([None, *w], w, strict=False)), sum(map(len, own))))
+    vocabulary = max(lm_scoring.UNIGRAMS, len(models[1][0]))
+    assert vocabulary > 100_000
+
+    def loss(model, w, before):
+        one, two, total = model
+        after = two[before, w] / max(1, two[before, w], one[before] if before else 0)
+        return -np.log(0.4 * after + 0.6 * (one[w] + 0.5) / (total + 0.5 * vocabulary))
+
+    for i, w in enumerate(words):
+        r = got[None if i == 7 else i]
+        want = sum(loss(models[1], x, b) - loss(models[0], x, b) for x, b in zip(w, [None, *w], strict=False)) / max(1, len(w))
+        assert r.n_words == len(w) and abs(want - r.score) < 1e-9
+    assert len(got) == len(texts) and got[3].score == got[40].score
+    assert lm_scoring.score(docs.limit(0), labels).count() == 0
