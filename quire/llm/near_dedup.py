@@ -3,9 +3,10 @@
 1. Each text becomes its set of distinct word shingles, hashed once; the set is written to the shared folder and its RETAINED
    smallest values are its sketch. Equal sets collapse to one class.
 2. Inverted lists of retained values give candidates. Values in more than HOT sketches rank after all others: a set is listed
-   under its KEYS smallest other values, and under hot ones only if most of its sketch is hot (families of many copies).
+   under its KEYS smallest other values, and under as many hot ones if most of its sketch is hot (families of many copies).
    Two sets of similarity 0.8 share each such value with chance 0.8 or more, so they miss each other with chance under
-   0.2 ** KEYS; sets of at most KEYS * 5 values never do.
+   0.2 ** KEYS where few or most of their values are hot. Where just under HOT_SHARE of them are and all edits lie among the
+   others, about half of the others are shared and the chance is up to 0.5 ** KEYS (2e-4).
 3. Within a list, the sketches' overlap estimates the similarity of the union and filters; the full sets decide. Only the links
    that join two components of a list are passed on, so a group of copies gives a tree, not all pairs. Lists of over BLOCK
    members are dealt to blocks, each with the list's first member; members not linked to it are then held against every block.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import drop, filesystem, fresh, materialize, release, tasks
 
-RETAINED, KEYS, HOT_KEYS = 32, 12, 6
+RETAINED, KEYS = 32, 12
 HOT = BLOCK = 1000
 HOT_SHARE = 0.6
 #: Overlap of two full sketches under which sets aren't compared; similarity 0.8 has 25.6 of 32 on average, deviation 2.3.
@@ -183,7 +184,7 @@ def links_of(classes: DataFrame, folder: str, percent: int) -> DataFrame:
         .withColumn("hot_all", F.sum(F.col("hot").cast("int")).over(own))
     )
     most_hot = F.col("hot_all") >= HOT_SHARE * F.col("kept")
-    few = F.col("hot_before") <= HOT_KEYS
+    few = F.col("hot_before") <= KEYS
     chosen = ranked.filter((~F.col("hot") & (F.col("pos") - F.col("hot_before") < KEYS)) | (F.col("hot") & few & most_hot))
     chosen = materialize(spark, chosen.select("value", "doc_id"), "chosen")
     # lists with the same members are one

@@ -298,3 +298,19 @@ def test_lm_scoring_counts_true_words(spark):
         assert r.n_words == len(w) and abs(want - r.score) < 1e-9
     assert len(got) == len(texts) and got[3].score == got[40].score
     assert lm_scoring.score(docs.limit(0), labels).count() == 0
+
+
+def test_near_dedup_of_hot_sets(spark, tmp_path, monkeypatch):
+    # a pair of similarity 54 / 66 whose retained values are all hot and whose first six differ
+    monkeypatch.setattr(near_dedup, "HOT", 10)
+    sets = [[*range(1, 7), *range(20, 74)], [*range(7, 13), *range(20, 74)]]
+    sets += [[*(range(1, 13) if k % 2 else ()), *range(20, 40 if k % 2 else 52), *range(1000 * (k + 1), 1000 * (k + 1) + 200)] for k in range(24)]
+    made, at = [], 0
+    with open(tmp_path / "sets", "wb") as f:
+        for i, x in enumerate(sets):
+            f.write(np.array(x, "<u8").tobytes())
+            made.append((i, len(x), x[: near_dedup.RETAINED], "sets", at))
+            at += 8 * len(x)
+    classes = spark.createDataFrame(made, "doc_id long, n long, keys array<long>, file string, at long")
+    links = near_dedup.links_of(classes, str(tmp_path), 80).collect()
+    assert {frozenset(r) for r in links} == {frozenset((0, 1))}
