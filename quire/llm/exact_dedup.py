@@ -5,7 +5,7 @@ RocksDB and without expiry, the row that stays and the group's size. On every hi
 normalised bytes of all members are compared; a digest whose members differ is split by the bytes themselves.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; of rows repeated with the same doc_id
-and text one stays; an empty table gives an empty result; further columns are ignored (`dedup`) or passed on (`kept_rows`).
+and text one stays, null doc_ids being equal to each other; an empty table gives an empty result; further columns are ignored (`dedup`) or passed on (`kept_rows`).
 """
 
 from __future__ import annotations
@@ -131,5 +131,5 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     names = docs.columns
     stay = members(docs).filter("kept").groupBy(F.col("doc_id").alias("keep__id"), F.col("text_sha256").alias("keep__sha")).agg(F.count(F.lit(1)).alias("n"))
     rows = docs.withColumn("keep__id", F.col("doc_id").cast("long")).withColumn("keep__sha", digest_of(F.col("text")))
-    once = rows.join(stay, ["keep__id", "keep__sha"], "left_semi")
+    once = rows.join(stay, rows.keep__id.eqNullSafe(stay.keep__id) & (rows.keep__sha == stay.keep__sha), "left_semi")
     return once.dropDuplicates(["keep__id", "keep__sha"]).select(*names)

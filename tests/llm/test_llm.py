@@ -314,3 +314,10 @@ def test_near_dedup_of_hot_sets(spark, tmp_path, monkeypatch):
     classes = spark.createDataFrame(made, "doc_id long, n long, keys array<long>, file string, at long")
     links = near_dedup.links_of(classes, str(tmp_path), 80).collect()
     assert {frozenset(r) for r in links} == {frozenset((0, 1))}
+
+
+def test_exact_kept_rows_without_doc_ids(spark):
+    # null ids: a unique text, the longest copy of a group, and two equal rows
+    made = [(None, "only"), (None, "a  b"), (1, "a b"), (2, "ab"), (None, "twice"), (None, "twice"), (3, "c"), (None, None)]
+    got = exact_dedup.kept_rows(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("3", "c"), ("None", "None"), ("None", "a  b"), ("None", "only"), ("None", "twice")]
