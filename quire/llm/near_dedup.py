@@ -13,7 +13,8 @@
 4. Components of the links, classes included, give each document the smallest doc_id that it reaches.
 
 Defined results: null, empty and blank texts have no shingles and are alone; rows that repeat a doc_id count as one document
-in links; an empty table gives an empty result; further columns are ignored (`components_of`) or passed on (`kept_rows`).
+in links; a row without a doc_id belongs to its class's component and isn't kept where a row of the class has a doc_id (`kept_rows`
+can't name it and passes it on), and classes of such rows alone are their own, without links, and kept; an empty table gives an empty result; further columns are ignored (`components_of`) or passed on (`kept_rows`).
 """
 
 from __future__ import annotations
@@ -218,9 +219,10 @@ def classes_of(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     filesystem_ready(spark, folder)
     made = materialize(spark, sketch(docs, width, folder), "sketches")
     some = made.filter("n > 0")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "file", "at")).alias("r"), F.min_by("keys", F.struct("doc_id", "file", "at")).alias("keys"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at")  # null would sort before all doc_ids
+    classes = some.groupBy("h1", "h2", "n").agg(F.min(first).alias("r"), F.min_by("keys", first).alias("keys"))
     classes = materialize(spark, classes.select("h1", "h2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.file").alias("file"), F.col("r.at").alias("at"), "keys"), "classes")
-    links = materialize(spark, links_of(classes, folder, percent), "confirmed")
+    links = materialize(spark, links_of(classes.filter("doc_id IS NOT NULL"), folder, percent), "confirmed")
     # rows that repeat a doc_id with other words tie their classes together
     found = components(links)
     release(spark)
@@ -244,7 +246,7 @@ def filesystem_ready(spark, folder: str) -> None:
 def components_of(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     found = classes_of(docs, width, percent)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

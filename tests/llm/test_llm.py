@@ -321,3 +321,12 @@ def test_exact_kept_rows_without_doc_ids(spark):
     made = [(None, "only"), (None, "a  b"), (1, "a b"), (2, "ab"), (None, "twice"), (None, "twice"), (3, "c"), (None, None)]
     got = exact_dedup.kept_rows(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("3", "c"), ("None", "None"), ("None", "a  b"), ("None", "only"), ("None", "twice")]
+
+
+def test_near_dedup_without_doc_ids(spark):
+    # copies of one text, one of them without a doc_id, and a near copy of them
+    text = " ".join(f"w{i}" for i in range(80))
+    made = [(5, text), (None, text), (6, text), (3, text + " end"), (None, "quite another text than those above"), (None, None), (9, "alone here with some words")]
+    got = near_dedup.components_of(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    want = [("3", "3", True), ("5", "3", False), ("6", "3", False), ("9", "9", True), ("None", "3", False), ("None", "None", True), ("None", "None", True)]
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == want
