@@ -30,6 +30,10 @@ MARKS = '"“”„«»'
 REPORTING = frozenset("said says saying quote quoted quotes quoting called calling wrote word words term terms phrase slur insult reported according".split())
 LEET = str.maketrans("0134578@$", "oieastbas")
 TOKEN = re.compile(rf"[^\W_]+|[{MARKS}]").findall
+#: A word with signs between its letters, and the letters they stand for; the last is any, so one edit.
+SIGNS = frozenset("@$*_")
+SIGNED = re.compile(r"[^\W_]+(?:[@$*_]+[^\W_]+)+").sub
+LETTERS = str.maketrans("@$*_", "asʘʘ")
 QUOTED, REPORTED = 0.2, 0.5
 CACHED = 400_000
 
@@ -101,10 +105,10 @@ class Scorer:
         long = {t: i for i, t in enumerate(self.terms) if len(t) >= 8}
         short = {t: i for i, t in enumerate(self.terms) if 5 <= len(t) < 8}
         self.automata = [Automaton(x, k) for x, k in ((short, 1), (long, 2)) if x]
-        self.hits, self.seen = {}, set()
+        self.hits, self.seen, self.signed = {}, set(), {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("automata", "hits", "seen")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automata", "hits", "seen", "signed")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -124,9 +128,20 @@ class Scorer:
         found = min((m for a in self.automata if (m := a.match(plain))), default=None)
         return self.fuzzy[self.terms[found[1]]] / (1 + 0.15 * found[0]) if found else 0.0
 
+    def spelled(self, found: re.Match) -> str:
+        """A word with signs in letters, if only so it is a term; else as it is."""
+        word = found[0]
+        if word not in self.signed:
+            if len(self.signed) > CACHED:
+                self.signed.clear()
+            plain = word.translate(LETTERS)
+            self.signed[word] = plain if self.weigh(plain) and not any(map(self.weigh, TOKEN(word))) else word
+        return self.signed[word]
+
     def matches(self, text: str) -> tuple[list[float], int]:
         """The weight of each match in its context, and the number of words."""
-        tokens = TOKEN(text.lower())
+        text = text.lower()
+        tokens = TOKEN(text if SIGNS.isdisjoint(text) else SIGNED(self.spelled, text))
         different = set(tokens)
         if new := different - self.seen:
             if len(self.seen) > CACHED:

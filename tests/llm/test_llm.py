@@ -330,3 +330,9 @@ def test_near_dedup_without_doc_ids(spark):
     got = near_dedup.components_of(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
     want = [("3", "3", True), ("5", "3", False), ("6", "3", False), ("9", "9", True), ("None", "3", False), ("None", "None", True), ("None", "None", True)]
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == want
+
+
+def test_toxicity_signs_in_words():
+    scorer = toxicity.Scorer({"idiot": 2.0, "trash": 1.5, "asshole": 3.0}, {}, {"idiot": 2.0, "trash": 1.5, "asshole": 3.0}, frozenset())
+    for text, want in (("an Idi@t he is", [2.0 / 1.15]), ("tra$h", [1.5]), ("a$$hole", [3.0]), ("id*ot", [2.0 / 1.15]), ("tr_sh", [1.5 / 1.15]), ("idiot@home and my_trash", [2.0, 1.5]), ("snake_case me@home $5 a*b", [])):
+        assert scorer.matches(text)[0] == want, text
