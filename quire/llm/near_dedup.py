@@ -3,18 +3,26 @@
 1. Each text becomes its set of distinct word shingles, hashed once; the set is written to the shared folder and its RETAINED
    smallest values are its sketch. Equal sets collapse to one class.
 2. Inverted lists of retained values give candidates. Values in more than HOT sketches rank after all others: a set is listed
-   under its KEYS smallest other values, and under as many hot ones if most of its sketch is hot (families of many copies).
-   Two sets of similarity 0.8 share each such value with chance 0.8 or more, so they miss each other with chance under
-   0.2 ** KEYS where few or most of their values are hot. Where just under HOT_SHARE of them are and all edits lie among the
+   under its KEYS smallest other values. Two sets of similarity 0.8 share each with chance 0.8 or more, so they miss each other
+   with chance under 0.2 ** KEYS where few values are hot; where just under HOT_SHARE of them are and all edits lie among the
    others, about half of the others are shared and the chance is up to 0.5 ** KEYS (2e-4).
+   Sets whose sketch is mostly hot (texts around a common passage, families of copies) are listed by prefix filtering over their
+   DEEP smallest values: in the order of how many such sets hold a value, rarest first, two sets of similarity t share one of the
+   first n - ceil(t n) + 1. For sets of DEEP values or fewer this is exact; for larger ones SLACK more are taken (four deviations).
+   A set is heavy in a list whose value stands so late in its order that what follows can't make it similar to one of its size or
+   larger (the first n / 9 + 1 are early enough); two heavy sets aren't compared. Texts that share a passage and differ beyond the
+   bound thus aren't compared with one another, however many they are.
 3. Within a list, the sketches' overlap estimates the similarity of the union and filters; the full sets decide. Only the links
    that join two components of a list are passed on, so a group of copies gives a tree, not all pairs. Lists of over BLOCK
-   members are dealt to blocks, each with the list's first member; members not linked to it are then held against every block.
+   members are dealt to blocks, each with the list's smallest set as its hub. Members that the hub doesn't reach are dealt to
+   blocks again, and each two of those blocks, and each of them with each other block, meet in one group of their own: none holds
+   more than about two blocks, two members are compared once, and blocks of heavy members don't meet each other.
 4. Components of the links, classes included, give each document the smallest doc_id that it reaches.
 
 Defined results: null, empty and blank texts have no shingles and are alone; rows that repeat a doc_id count as one document
-in links; a row without a doc_id belongs to its class's component and isn't kept where a row of the class has a doc_id (`kept_rows`
-can't name it and passes it on), and classes of such rows alone are their own, without links, and kept; an empty table gives an empty result; further columns are ignored (`components_of`) or passed on (`kept_rows`).
+in links; a row without a doc_id belongs to its class's component and isn't kept where a row of the class has a doc_id, and classes
+of such rows alone are their own, without links, and kept (`kept_rows` keeps one row of each text among those); an empty table gives
+an empty result; further columns are ignored (`components_of`) or passed on (`kept_rows`).
 """
 
 from __future__ import annotations
@@ -25,14 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import drop, filesystem, fresh, materialize, release, tasks
+from .store import drop, filesystem, fresh, materialize, release, tasks, unused
 
 RETAINED, KEYS = 32, 12
 HOT = BLOCK = 1000
 HOT_SHARE = 0.6
+DEEP, SLACK = 256, 26
 #: Overlap of two full sketches under which sets aren't compared; similarity 0.8 has 25.6 of 32 on average, deviation 2.3.
 OVERLAP = 8
-SETS = "doc_id long, n long, h1 long, h2 long, keys array<long>, file string, at long"
+SETS = "doc_id long, text_key long, n long, h1 long, h2 long, keys array<long>, file string, at long"
 
 
 def sketch(docs: DataFrame, width: int, folder: str) -> DataFrame:
@@ -48,23 +57,28 @@ def sketch(docs: DataFrame, width: int, folder: str) -> DataFrame:
         name, out, at = uuid.uuid4().hex, None, 0
         try:
             for batch in batches:
-                rows = [[] for _ in range(7)]
-                for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
+                rows = [[] for _ in range(8)]
+                for doc_id, key, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
                     h = mix(own + np.uint64(width))
-                    row = (doc_id, len(own), h.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(mix(h + np.uint64(1)), initial=np.uint64(0)).view(np.int64), own[:RETAINED].view(np.int64), name, at)
+                    row = (doc_id, key, len(own), h.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(mix(h + np.uint64(1)), initial=np.uint64(0)).view(np.int64), own[:RETAINED].view(np.int64), name, at)
                     for column, x in zip(rows, row, strict=True):
                         column.append(x)
                     if len(own):
                         out = out or fs.open_output_stream(f"{base}/{name}")
                         out.write(own.astype("<u8").tobytes())
                         at += 8 * len(own)
-                types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], ["doc_id", "n", "h1", "h2", "keys", "file", "at"])
+                types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], ["doc_id", "text_key", "n", "h1", "h2", "keys", "file", "at"])
         finally:
             if out:
                 out.close()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key")).mapInArrow(run, SETS)
+
+
+def text_key():
+    """What names a row's text where its doc_id does not."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 class Sets:
@@ -100,50 +114,43 @@ def similar(a, b, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link_group(ids: list[int], sets: list, percent: int, queries: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that join the components of one list, each confirmed on full sets; with queries only those members are held
-    against the others."""
+def link_group(ids: list[int], sets: list, percent: int, heavy: list[bool], asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that join the components of one list, each confirmed on full sets. Two heavy members aren't held against each other,
+    and with asks two that don't ask neither; every member meets the first before the others."""
     import numpy as np
 
     n = len(ids)
-    parent = list(range(n))
+    asking = np.ones(n, bool) if asks is None else np.array(asks)
+    burdened, size, component = np.array(heavy), np.array([len(s) for s in sets]), np.arange(n)
+    full = size >= RETAINED
+    links, by = [], {}
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def link(i: int, j: int):
+        if similar(sets[i], sets[j], percent):
+            component[component == component[i]] = component[j]
+            links.append((ids[i], ids[j]))
 
-    links, by = [], {}
-    size = np.array([len(s) for s in sets])
-    full = size >= RETAINED
-    order = range(n) if queries is None else sorted(range(n), key=lambda i: queries[i])
-    done: list[int] = []
-    for i in order:
+    order = sorted(range(n), key=lambda i: asking[i])
+    for k, i in enumerate(order):
         own = sets[i][:RETAINED].tolist()
-        if done and (queries is None or queries[i]):
-            if similar(sets[i], sets[done[0]], percent):
-                if root(i) != root(done[0]):
-                    parent[root(i)] = root(done[0])
-                    links.append((ids[i], ids[done[0]]))
-            if len(done) > 1:
-                mine = root(i)
-                others = [j for j in done if root(j) != mine]
-                if others:
-                    met = np.bincount(np.array([j for v in own for j in by.get(v, ())], np.int64), minlength=n)
-                    others = [j for j in others if met[j] >= (OVERLAP if full[i] and full[j] else 1) and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j])]
-                    for j in sorted(others, key=lambda j: -met[j]):
-                        if root(j) != root(i) and similar(sets[i], sets[j], percent):
-                            parent[root(i)] = root(j)
-                            links.append((ids[i], ids[j]))
+        if k and asking[i]:
+            if not (burdened[i] and burdened[order[0]]):
+                link(i, order[0])
+            if k > 1 and (met := [x for v in own if (x := by.get(v))]):
+                count = np.bincount(np.concatenate(met), minlength=n)
+                near = (count >= np.where(full & full[i], OVERLAP, 1)) & (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+                if burdened[i]:
+                    near &= ~burdened
+                for j in sorted(np.flatnonzero(near).tolist(), key=lambda j: -count[j]):
+                    if component[j] != component[i]:
+                        link(i, j)
         for v in own:
             by.setdefault(v, []).append(i)
-        done.append(i)
     return links
 
 
-def _link(lists: DataFrame, folder: str, percent: int, query: str | None = None) -> DataFrame:
-    """(a, b, value) for rows (value, block, doc_id, n, file, at), which stand together and in order."""
+def _link(lists: DataFrame, folder: str, percent: int, asks: bool = False) -> DataFrame:
+    """(a, b, value) for rows (value, block, doc_id, n, file, at, heavy[, asks]) of lists and their blocks."""
 
     def run(batches):
         import pyarrow as pa
@@ -152,10 +159,10 @@ def _link(lists: DataFrame, folder: str, percent: int, query: str | None = None)
 
         def flush():
             if len(rows) > 1:
-                q = None if query is None else [r[-1] for r in rows]
-                out.extend((a, b, key[0]) for a, b in link_group([r[2] for r in rows], [read(r[4], r[5], r[3]) for r in rows], percent, q))
+                found = link_group([r[2] for r in rows], [read(r[4], r[5], r[3]) for r in rows], percent, [r[6] for r in rows], [r[7] for r in rows] if asks else None)
+                out.extend((a, b, key[0]) for a, b in found)
 
-        names = ["value", "block", "doc_id", "n", "file", "at", *([query] if query else [])]
+        names = ["value", "block", "doc_id", "n", "file", "at", "heavy", *(["asks"] if asks else [])]
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if r[:2] != key:
@@ -170,7 +177,30 @@ def _link(lists: DataFrame, folder: str, percent: int, query: str | None = None)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "value"])
 
     n = tasks(lists.sparkSession, 1)
-    return lists.repartition(n, "value", "block").sortWithinPartitions("value", "block", "doc_id").mapInArrow(run, "a long, b long, value long")
+    # a list's smallest set comes first
+    return lists.repartition(n, "value", "block").sortWithinPartitions("value", "block", "n", "doc_id").mapInArrow(run, "a long, b long, value long")
+
+
+def deep_keys(hot: DataFrame, folder: str, percent: int) -> DataFrame:
+    """value, doc_id, heavy: the lists of mostly hot sets (doc_id, n, file, at), by prefix filtering over their DEEP smallest values."""
+    spark = hot.sparkSession
+
+    def run(batches):
+        import pyarrow as pa
+
+        read = Sets(folder)
+        for batch in batches:
+            rows = [read(f, at, min(n, DEEP)).view("<i8") for f, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n", "deep"])
+
+    deep = hot.select("doc_id", "n", "file", "at").mapInArrow(run, "doc_id long, n long, deep array<long>")
+    posted = materialize(spark, deep.select("doc_id", "n", F.explode("deep").alias("value")), "deep")
+    df = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "value"))
+    k, slack = F.least(F.col("n"), F.lit(DEEP)), F.when(F.col("n") > DEEP, SLACK).otherwise(0)
+    first = k - F.ceil(k * percent / 100) + 1 + slack
+    early = k - F.ceil(k * 2 * percent / (100 + percent)) + 1 + slack
+    return posted.join(df, "value").withColumn("rank", order).filter((F.col("rank") <= first) & (F.col("df") > 1)).select("value", "doc_id", (F.col("rank") > early).alias("heavy"))
 
 
 def links_of(classes: DataFrame, folder: str, percent: int) -> DataFrame:
@@ -182,34 +212,55 @@ def links_of(classes: DataFrame, folder: str, percent: int) -> DataFrame:
     ranked = (
         posted.join(shared, "value")
         .withColumn("hot_before", F.sum(F.col("hot").cast("int")).over(own.orderBy("pos")))
-        .withColumn("hot_all", F.sum(F.col("hot").cast("int")).over(own))
+        .withColumn("most_hot", F.sum(F.col("hot").cast("int")).over(own) >= HOT_SHARE * F.col("kept"))
     )
-    most_hot = F.col("hot_all") >= HOT_SHARE * F.col("kept")
-    few = F.col("hot_before") <= KEYS
-    chosen = ranked.filter((~F.col("hot") & (F.col("pos") - F.col("hot_before") < KEYS)) | (F.col("hot") & few & most_hot))
-    chosen = materialize(spark, chosen.select("value", "doc_id"), "chosen")
+    few = ~F.col("hot") & (F.col("pos") - F.col("hot_before") < KEYS)
+    chosen = materialize(spark, ranked.filter(few | (F.col("hot") & F.col("most_hot"))).select("value", "doc_id", "hot"), "chosen")
+    most_hot = classes.join(chosen.filter("hot").select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = chosen.filter("NOT hot").select("value", "doc_id", F.lit(False).alias("heavy"))
+    if most_hot.head(1):
+        chosen = chosen.unionByName(deep_keys(most_hot, folder, percent)).groupBy("value", "doc_id").agg(F.min("heavy").alias("heavy"))
+    members = materialize(spark, chosen.join(classes.select("doc_id", "n", "file", "at"), "doc_id"), "members")
     # lists with the same members are one
-    alike = chosen.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("m > 1")
-    one = alike.groupBy("m", "x", "hub", "top").agg(F.min("value").alias("value")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    rows = chosen.join(one.select("value", "hub", "blocks"), "value").join(classes.select("doc_id", "n", "file", "at"), "doc_id")
+    alike = members.groupBy("value").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc_id", "heavy")).alias("x"), F.min(F.struct("n", "doc_id")).alias("hub"), F.max("doc_id").alias("top")
+    ).filter("m > 1")
+    one = alike.groupBy("m", "x", "hub", "top").agg(F.min("value").alias("value")).select("value", F.col("hub.doc_id").alias("hub"), F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    rows = members.join(one, "value")
     block = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
     rows = materialize(spark, rows.withColumn("block", F.explode(block)), "lists")
     links = materialize(spark, _link(rows, folder, percent), "first")
     many = rows.filter("blocks > 1")
     if not many.head(1):
         return links.select("a", "b")
-    # members of long lists that their first member doesn't reach, against every block
-    reach = components(links.unionByName(many.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "value")))
-    at = reach.withColumnRenamed("component", "own")
+    return links.unionByName(_link(_meetings(many, links), folder, percent, asks=True)).select("a", "b")
+
+
+def _meetings(many: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of long lists once for each meeting that they attend. Members whom the hub doesn't reach ask. A list's members are
+    dealt to cells of about BLOCK: those that ask (light, heavy), then those that don't (light, heavy). Cell i meets cell j >= i if i asks,
+    and one of them is light."""
+    spark = many.sparkSession
+    reach = materialize(spark, components(links.unionByName(many.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "value"))), "reach")
     rest = (
-        many.filter("doc_id <> hub").join(at.select(F.col("node").alias("doc_id"), "own"), "doc_id", "left")
+        many.filter("doc_id <> hub").join(reach.select(F.col("node").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left")
         .join(reach.select(F.col("node").alias("hub"), F.col("component").alias("hub_own")), "hub", "left")
-        .filter(~F.coalesce(F.col("own"), F.col("doc_id")).eqNullSafe(F.coalesce(F.col("hub_own"), F.col("hub"))))
+        .withColumn("asks", ~F.coalesce(F.col("own"), F.col("doc_id")).eqNullSafe(F.coalesce(F.col("hub_own"), F.col("hub"))))
+        .withColumn("kind", F.when(F.col("asks"), 0).otherwise(2) + F.col("heavy").cast("int"))
     )
-    asked = rest.select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id", "n", "file", "at", F.lit(True).alias("asks"))
-    held = many.join(rest.select("value").distinct(), "value", "left_semi").join(rest.select("value", "doc_id"), ["value", "doc_id"], "left_anti")
-    held = held.select("value", "block", "doc_id", "n", "file", "at", F.lit(False).alias("asks"))
-    return links.unionByName(_link(asked.unionByName(held), folder, percent, "asks")).select("a", "b")
+    cells = [F.ceil(F.count_if(F.col("kind") == i) / BLOCK).alias(f"c{i}") for i in range(4)]
+    rest = materialize(spark, rest.join(rest.groupBy("value").agg(*cells).filter("c0 + c1 > 0"), "value"), "rest")
+    c = [F.col(f"c{i}") for i in range(4)]
+    start = [F.lit(0).cast("long"), c[0], c[0] + c[1], c[0] + c[1] + c[2]]
+    kind, every = F.col("kind"), c[0] + c[1] + c[2] + c[3]
+    pick = lambda xs: F.when(kind == 0, xs[0]).when(kind == 1, xs[1]).when(kind == 2, xs[2]).otherwise(xs[3])
+    rest = rest.withColumn("cell", pick(start) + F.pmod(F.xxhash64("doc_id", F.lit(1)), pick(c)))
+    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))  # noqa: E731  from a to before b
+    met_by = F.transform(upto(start[0], pick([F.col("cell"), c[0], c[0] + c[1], c[0]])), lambda i: i * every + F.col("cell"))
+    meets = F.transform(pick([upto(F.col("cell"), every), upto(start[2], start[3]), upto(every, every), upto(every, every)]), lambda j: F.col("cell") * every + j)
+    rows = rest.withColumn("block", F.explode(F.concat(met_by, meets)))
+    # of two cells that ask the first does; in a meeting of a cell with itself all do
+    return rows.select("value", "block", "doc_id", "n", "file", "at", "heavy", (F.floor(F.col("block") / every) == F.col("cell")).alias("asks"))
 
 
 def classes_of(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -230,7 +281,7 @@ def classes_of(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     named = named.select("h1", "h2", "n", "rep", F.coalesce("component", "rep").alias("component_id"))
     out = materialize(
         spark,
-        made.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component_id", "doc_id").alias("component_id")),
+        made.join(named, ["h1", "h2", "n"], "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component_id", "doc_id").alias("component_id")),
         "components",
     )
     drop(spark, folder)
@@ -251,5 +302,13 @@ def components_of(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFra
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with the smallest doc_id of each component, with all their columns."""
-    gone = components_of(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias("gone__id")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone.gone__id, "left_anti")
+    found = classes_of(docs, width, percent)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = gone.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone__id")).distinct()
+    id_ = docs.doc_id.cast("long")
+    kept = docs.filter(id_.isNotNull()).join(named, id_ == named.gone__id, "left_anti")
+    # rows without a doc_id go with their class, and among themselves one of each text stays
+    key = unused(docs, "key")
+    texts = gone.filter("doc_id IS NULL").select(F.col("text_key").alias(key)).distinct()
+    nameless = docs.filter(id_.isNull()).withColumn(key, text_key()).join(texts, key, "left_anti").dropDuplicates([key])
+    return kept.unionByName(nameless.select(*docs.columns))

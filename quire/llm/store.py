@@ -50,6 +50,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    names = {c.lower() for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def tasks(spark: SparkSession, wanted: int) -> int:
     """A number of partitions: what the data want, but no fewer than the session's."""
     return max(int(wanted), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -63,4 +71,7 @@ def filesystem(uri: str):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+    except (ValueError, OSError):  # a scheme that only Hadoop knows
+        return fs.HadoopFileSystem("default"), uri

@@ -6,6 +6,8 @@ shards of about SHARD_BYTES. Shipping every suffix would multiply the input, so
 1. Every SPAN-byte string holds an anchor, the KGRAM-byte string of least hash in it, so equal strings share an anchor at one
    offset. Shards send each different (anchor, surroundings) pair once, with its smallest doc_id; surroundings are all bytes
    that a SPAN-byte string with this anchor can reach. Where equal surroundings come from a smaller document, all of them go.
+   Anchors with very many surroundings, found by counting those of one shard in SAMPLED, are dealt by their surroundings instead
+   of by themselves, so that no task gets a common phrase whole; they have several surroundings by what was counted.
 2. An anchor with several surroundings stays open for the first document of each. Each shard sorts the suffixes of its open
    regions (Larsson-Sadakane refinement: only groups not yet told apart are sorted again, by the rank of what
    follows), takes common prefixes by Kasai's bound, and sends each different SPAN-byte string once, in sorted runs of 96-bit
@@ -13,8 +15,12 @@ shards of about SHARD_BYTES. Shipping every suffix would multiply the input, so
 
 Common passages and groups of copies thus send one entry per shard, whatever their size, and no pairs are made.
 
+Surroundings and strings are told apart by 96 bits of two hashes. With 7e12 different surroundings (100 TB) the odds that any two
+of them are taken for equal are about 7e12 ** 2 / 2 ** 97, 3e-4.
+
 Defined results: a null or empty text and texts under SPAN bytes lose nothing; of rows that repeat a doc_id none is smaller,
-so they don't shorten each other; an empty table gives an empty result; further columns are ignored.
+so they don't shorten each other; a row without a doc_id comes after all others and is never smaller than another; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +38,10 @@ from .store import filesystem, fresh, materialize, release, tasks
 
 SPAN, KGRAM = 50, 24
 SHARD_BYTES = 3 << 20
-#: Entries that one bucket holds on average.
-BUCKET = 800_000
+#: Entries that one bucket holds on average; an anchor with over BUCKET / 8 surroundings, by one shard in SAMPLED, is dealt by them.
+BUCKET, SAMPLED = 800_000, 16
+#: Stands for a missing doc_id, after all others.
+NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _BYTE = seeded(256, 9)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -67,11 +75,11 @@ class Shard:
         return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(_U))
 
     def anchors(self):
-        """Positions, hashes of anchors and of their surroundings, and the surroundings' ends."""
+        """Positions, hashes of anchors, two of their surroundings, and the surroundings' ends."""
         n, k, w = len(self.data), self.kgram, self.span - self.kgram + 1
         if n < self.span:
             none = np.zeros(0, np.int64)
-            return none, none.astype(_U), none.astype(_U), none, none
+            return none, none.astype(_U), none.astype(_U), none.astype(np.uint32), none, none
         h = mix((self.total[k:] - self.total[: n - k + 1]) * self.down[: n - k + 1])
         least = sliding(h, w, np.minimum)  # for each start of a string
         least = np.where(self.valid[: len(least)], least, _U(0))
@@ -81,16 +89,19 @@ class Shard:
         lo = np.maximum(at - (self.span - k), self.offsets[own])
         hi = np.minimum(at + self.span, self.offsets[own + 1])
         # equal surroundings have the anchor at one place in them
-        return at, h[at], self.hash(lo, hi) ^ mix((at - lo).astype(_U)), lo, hi
+        place = mix((at - lo).astype(_U))
+        one = self.hash(lo, hi) ^ place
+        two = mix(one + self.hash(lo + 3, hi - 5) * _U(3)).astype(np.uint32)
+        return at, h[at], one, two, lo, hi
 
     def entries(self):
         """anchors(), the order of their different (anchor, surroundings) pairs, and each anchor's pair."""
-        at, h, c, lo, hi = self.anchors()
-        key = mix(h + c * _U(0x9E3779B97F4A7C15))
+        at, h, c, d, lo, hi = self.anchors()
+        key = mix(c + d * _U(0x9E3779B97F4A7C15))  # the surroundings hold the anchor
         first, pair = np.unique(key, return_index=True, return_inverse=True)[1:] if len(at) else (np.zeros(0, np.int64),) * 2
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, pair, self.ids[self.owner[at]])
-        return at, h, c, lo, hi, first, pair, least
+        return at, h, c, d, lo, hi, first, pair, least
 
 
 def cover(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -191,7 +202,9 @@ def load(folder: str, name: str) -> Shard:
     fs, base = filesystem(folder)
     table = pq.read_table(f"{base}/{name}", filesystem=fs)
     data, offsets = column_bytes(table.column("text").combine_chunks() if table.num_rows else table.column("text").chunk(0))
-    return Shard(table.column("doc_id").to_numpy(), data, offsets)
+    import pyarrow.compute as pc
+
+    return Shard(pc.fill_null(table.column("doc_id"), NO_ID).to_numpy(), data, offsets)
 
 
 def store(docs: DataFrame, folder: str) -> DataFrame:
@@ -261,48 +274,83 @@ def _rows(rows):
 ROWS = "bucket long, shard string, data binary"
 
 
-def send_anchors(shards: DataFrame, folder: str, buckets: int) -> DataFrame:
+def hot_anchors(shards: DataFrame, folder: str, total: int, sampled: int = SAMPLED) -> np.ndarray:
+    """Anchors with about BUCKET / 8 surroundings or more, sorted: 8 numbers for each of the buckets at most. Counted in one shard of
+    `sampled`, or in all where an anchor that common would stand in few shards."""
+    share = 1 if total < 4 * sampled * SHARD_BYTES else sampled
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                _, h, _, _, _, _, first, _, _ = load(folder, name).entries()
+                own, n = np.unique(h[first], return_counts=True)
+                own, n = own[n > 1], n[n > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    some = shards.filter(F.pmod(F.xxhash64("shard"), F.lit(share)) == 0).select("shard")
+    found = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= BUCKET // 8 // share)
+    return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64).view(_U))
+
+
+def bucket_of(h: np.ndarray, c: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Where an anchor's entries meet."""
+    own = h % _U(buckets)
+    if len(hot):
+        own = np.where(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h, mix(h + c) % _U(buckets), own)
+    return own.astype(np.int64)
+
+
+def send_anchors(shards: DataFrame, folder: str, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 s = load(folder, name)
-                _, h, c, _, _, first, _, least = s.entries()
-                h, c = h[first], c[first]
-                rows = [(b, name, _packed(h[i], (c[i] >> _U(32)).astype(np.uint32), c[i].astype(np.uint16), least[i])) for b, i in _dealt((h % _U(buckets)).astype(np.int64), buckets)]
+                _, h, c, d, _, _, first, _, least = s.entries()
+                h, c, d = h[first], c[first], d[first]
+                # within a bucket 32 bits tell anchors apart: two taken for one only leaves them open
+                rest = (h // _U(buckets)).astype(np.uint32)
+                rows = [(b, name, _packed(rest[i], c[i], d[i], least[i])) for b, i in _dealt(bucket_of(h, c, hot, buckets), buckets)]
                 if rows:
                     yield _rows(rows)
 
     return shards.select("shard").mapInArrow(run, ROWS)
 
 
-def meet_anchors(keys, table):
-    """Of one bucket's entries: 1 where a smaller document has the pair, 2 where it is the first of several surroundings."""
-    import pyarrow as pa
+def meet_anchors(hot: np.ndarray, buckets: int):
+    hot_rest = np.unique((hot // _U(buckets)).astype(np.uint32))
 
-    names, blobs = table.column("shard").to_pylist(), [_unpacked(x, _U, np.uint32, np.uint16, np.int64) for x in table.column("data").to_pylist()]
-    h, c1, c2, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    sizes = np.array([len(b[0]) for b in blobs])
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    shared = order[np.r_[same, False] | np.r_[False, same]]  # only anchors met twice
-    state = np.zeros(len(h), np.uint8)
-    if len(shared):
-        c = c1[shared].astype(_U) << _U(16) | c2[shared].astype(_U)
-        turn = np.lexsort((doc[shared], c, h[shared]))
-        i, cs = shared[turn], c[turn]
-        new_h = np.r_[True, h[i][1:] != h[i][:-1]]
-        new_c = new_h | np.r_[True, cs[1:] != cs[:-1]]
-        several = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1] > 1
-        lead = doc[i][np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
-        state[i] = np.where(doc[i] > lead, 1, np.where(several, 2, 0))
-    rows, at = [], 0
-    for name, n in zip(names, sizes.tolist(), strict=True):
-        own = state[at : at + n]
-        at += n
-        told = np.flatnonzero(own).astype(np.uint32)
-        if len(told):
-            rows.append((keys[0].as_py(), name, _packed(told, own[told])))
-    return pa.Table.from_batches([_rows(rows)])
+    def run(keys, table):
+        """Of one bucket's entries: 1 where a smaller document has the pair, 2 where it is the first of several surroundings."""
+        import pyarrow as pa
+
+        names, blobs = table.column("shard").to_pylist(), [_unpacked(x, np.uint32, _U, np.uint32, np.int64) for x in table.column("data").to_pylist()]
+        h, c, d, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
+        sizes = [len(b[0]) for b in blobs]
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        dealt = np.isin(h, hot_rest)  # its other surroundings may lie in other buckets
+        shared = order[np.r_[same, False] | np.r_[False, same] | dealt[order]]  # only anchors met twice
+        state = np.zeros(len(h), np.uint8)
+        if len(shared):
+            turn = np.lexsort((doc[shared], d[shared], c[shared], h[shared]))
+            i = shared[turn]
+            new_h = np.r_[True, h[i][1:] != h[i][:-1]]
+            new_c = new_h | np.r_[True, (c[i][1:] != c[i][:-1]) | (d[i][1:] != d[i][:-1])]
+            several = (np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1] > 1) | dealt[i]
+            lead = doc[i][np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
+            state[i] = np.where(doc[i] > lead, 1, np.where(several, 2, 0))
+        rows, at = [], 0
+        for name, n in zip(names, sizes, strict=True):
+            own = state[at : at + n]
+            at += n
+            told = np.flatnonzero(own).astype(np.uint32)
+            if len(told):
+                rows.append((keys[0].as_py(), name, _packed(told, own[told])))
+        return pa.Table.from_batches([_rows(rows)])
+
+    return run
 
 
 def merged(runs: list[tuple]) -> tuple:
@@ -352,11 +400,11 @@ def meet_strings(keys, table):
     return pa.Table.from_batches([_rows(rows)])
 
 
-def judged(shard: Shard, replies: dict[int, bytes], buckets: int):
+def judged(shard: Shard, replies: dict[int, bytes], buckets: int, hot: np.ndarray):
     """(bytes that go, open strings) from the first exchange's replies."""
-    at, h, c, lo, hi, first, pair, least = shard.entries()
+    at, h, c, _, lo, hi, first, pair, least = shard.entries()
     state = np.zeros(len(first), np.uint8)
-    for b, i in _dealt((h[first] % _U(buckets)).astype(np.int64), buckets):
+    for b, i in _dealt(bucket_of(h[first], c[first], hot, buckets), buckets):
         if b in replies:
             told, value = _unpacked(replies[b], np.uint32, np.uint8)
             state[i[told]] = value
@@ -373,13 +421,13 @@ def judged(shard: Shard, replies: dict[int, bytes], buckets: int):
     return gone | cover(n, late, late + shard.span), strings
 
 
-def send_strings(folder: str, buckets: int, string_buckets: int):
+def send_strings(folder: str, buckets: int, string_buckets: int, hot: np.ndarray):
     def run(keys, table):
         import pyarrow as pa
 
         name = keys[0].as_py()
         replies = {b: d for b, d in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True) if b >= 0}
-        _, (_, _, one, two, least) = judged(load(folder, name), replies, buckets)
+        _, (_, _, one, two, least) = judged(load(folder, name), replies, buckets, hot)
         rows = []
         for b, i in _dealt((one % _U(string_buckets)).astype(np.int64), string_buckets):
             i = i[np.argsort(one[i], kind="stable")]
@@ -389,7 +437,7 @@ def send_strings(folder: str, buckets: int, string_buckets: int):
     return run
 
 
-def finish(folder: str, buckets: int, string_buckets: int):
+def finish(folder: str, buckets: int, string_buckets: int, hot: np.ndarray):
     def run(keys, table):
         import pyarrow as pa
 
@@ -400,7 +448,7 @@ def finish(folder: str, buckets: int, string_buckets: int):
             elif kind == 2:
                 late[b] = d
         shard = load(folder, keys[0].as_py())
-        gone, (at, string, one, _, _) = judged(shard, replies, buckets)
+        gone, (at, string, one, _, _) = judged(shard, replies, buckets, hot)
         goes = np.zeros(len(one), bool)
         for b, i in _dealt((one % _U(string_buckets)).astype(np.int64), string_buckets):
             if b in late:
@@ -412,7 +460,7 @@ def finish(folder: str, buckets: int, string_buckets: int):
         out = [[] for _ in range(5)]
         for doc, a, b in zip(shard.ids.tolist(), shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True):
             own, text = gone[a:b], shard.data[a:b]
-            row = (doc, b - a, int(own.sum()), int((own & ~np.r_[False, own[:-1]]).sum()) if b > a else 0, hashlib.sha256(text[~own].tobytes()).hexdigest())
+            row = (None if doc == NO_ID else doc, b - a, int(own.sum()), int((own & ~np.r_[False, own[:-1]]).sum()) if b > a else 0, hashlib.sha256(text[~own].tobytes()).hexdigest())
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         return pa.table({c.split()[0]: pa.array(x, k) for c, x, k in zip(RESULT.split(", "), out, [pa.int64()] * 4 + [pa.string()], strict=True)})
@@ -428,13 +476,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     shards = materialize(spark, store(docs, folder), "shards-of")
     total = shards.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(8, round(total * 2 / (SPAN - KGRAM + 2) / BUCKET))
-    spread = shards.repartition(tasks(spark, 1), "shard")
-    answers = materialize(spark, send_anchors(spread, folder, buckets).groupBy("bucket").applyInArrow(meet_anchors, ROWS), "anchors")
+    n = tasks(spark, total // (4 * SHARD_BYTES))
+    spread = shards.repartition(n, "shard")
+    hot = hot_anchors(spread, folder, total)
+    met = send_anchors(spread, folder, buckets, hot).groupBy("bucket").applyInArrow(meet_anchors(hot, buckets), ROWS)
+    answers = materialize(spark, met, "anchors")
     release(spark)
     every = shards.select(F.lit(-1).cast("long").alias("bucket"), "shard", F.lit(None).cast("binary").alias("data"))
-    n = tasks(spark, 1)
-    strings = answers.unionByName(every).repartition(n, "shard").groupBy("shard").applyInArrow(send_strings(folder, buckets, buckets), ROWS)
+    strings = answers.unionByName(every).repartition(n, "shard").groupBy("shard").applyInArrow(send_strings(folder, buckets, buckets, hot), ROWS)
     late = materialize(spark, strings.groupBy("bucket").applyInArrow(meet_strings, ROWS), "strings")
     release(spark)
     told = every.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1))).unionByName(late.withColumn("kind", F.lit(2)))
-    return told.repartition(n, "shard").groupBy("shard").applyInArrow(finish(folder, buckets, buckets), RESULT)
+    return told.repartition(n, "shard").groupBy("shard").applyInArrow(finish(folder, buckets, buckets, hot), RESULT)

@@ -18,22 +18,28 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import logistic, remainder, sample, sigmoid
+from .labelled import logistic, mapped, remainder, sample, sigmoid
+from .store import unused
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Labelled rows that the fit uses at most (about): toxic and clean.
 SAMPLE = {1: 1500, 0: 3000}
-STEMS = range(4, 8)
+#: Lengths of stems; a term of SHORTEST letters or more is met misspelled, within one edit, from LONG letters within two. Shorter
+#: terms are met as they are only: at four letters most words within one edit are other words.
+STEMS, SHORTEST, LONG = range(4, 8), 5, 8
+#: What an entry needs: the log odds, and different neighbours by toxic document. Of one text it counts PER_TEXT times at most and
+#: gives NEIGHBOURS neighbours, so that no text votes alone.
+ODDS, SHARE, PER_TEXT, NEIGHBOURS = 1.5, 0.02, 8, 2
 WINDOW = 6
 MARKS = '"“”„«»'
 #: Words that report what someone else said.
 REPORTING = frozenset("said says saying quote quoted quotes quoting called calling wrote word words term terms phrase slur insult reported according".split())
 LEET = str.maketrans("0134578@$", "oieastbas")
 TOKEN = re.compile(rf"[^\W_]+|[{MARKS}]").findall
-#: A word with signs between its letters, and the letters they stand for; the last is any, so one edit.
-SIGNS = frozenset("@$*_")
-SIGNED = re.compile(r"[^\W_]+(?:[@$*_]+[^\W_]+)+").sub
-LETTERS = str.maketrans("@$*_", "asʘʘ")
+#: A word with signs between its letters, and the letters they stand for; * and _ are any, so one edit, and full stops none.
+SIGNS = frozenset("@$*_.")
+SIGNED = re.compile(r"[^\W_]+(?:[@$*_.]+[^\W_]+)+").sub
+LETTERS = str.maketrans({"@": "a", "$": "s", "*": "ʘ", "_": "ʘ", ".": ""})
 QUOTED, REPORTED = 0.2, 0.5
 CACHED = 400_000
 
@@ -102,8 +108,8 @@ class Scorer:
         self._ready()
 
     def _ready(self):
-        long = {t: i for i, t in enumerate(self.terms) if len(t) >= 8}
-        short = {t: i for i, t in enumerate(self.terms) if 5 <= len(t) < 8}
+        long = {t: i for i, t in enumerate(self.terms) if len(t) >= LONG}
+        short = {t: i for i, t in enumerate(self.terms) if SHORTEST <= len(t) < LONG}
         self.automata = [Automaton(x, k) for x, k in ((short, 1), (long, 2)) if x]
         self.hits, self.seen, self.signed = {}, set(), {}
 
@@ -114,6 +120,10 @@ class Scorer:
         self.__dict__ |= state
         self._ready()
 
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """(edits, place in terms) of the nearest term that may be met misspelled."""
+        return min((m for a in self.automata if (m := a.match(word))), default=None)
+
     def weigh(self, word: str) -> float:
         if word in self.words:
             return self.words[word]
@@ -123,9 +133,9 @@ class Scorer:
         plain = word.translate(LEET) if not word.isalpha() and not word.isdigit() else word
         if plain != word and plain in self.words:
             return self.words[plain]
-        if len(plain) < 4 or plain in self.clean:
+        if len(plain) < SHORTEST - 1 or plain in self.clean:
             return 0.0
-        found = min((m for a in self.automata if (m := a.match(plain))), default=None)
+        found = self.nearest(plain)
         return self.fuzzy[self.terms[found[1]]] / (1 + 0.15 * found[0]) if found else 0.0
 
     def spelled(self, found: re.Match) -> str:
@@ -175,47 +185,68 @@ def entries(word: str) -> tuple[str, ...]:
     return (f"{word} ", *(word[:n] for n in STEMS if len(word) >= n))
 
 
-def lexicon(texts: list[str], y: list[int], share: float = 0.02, odds: float = 1.5) -> Scorer:
-    """Words and stems whose log odds reach `odds` and whose different neighbours number `share` of the toxic documents."""
-    toxic = sum(y)
-    met_in: Counter = Counter()
-    for text, label in zip(texts, y, strict=True):
-        if label:
-            met_in.update({e for t in set(TOKEN(text.lower())) - set(MARKS) for e in entries(t)})
-    held = {e for e, n in met_in.items() if 2 * n >= max(4, share * toxic)}  # a document gives two neighbours at most
-    del met_in
-    counts, total = [Counter(), Counter()], [1, 1]
-    vocabulary = [Counter(), Counter()]
-    around: dict[str, set] = defaultdict(set)
+def counted(texts: list[str], y: list[int], ids: list[int]) -> tuple[list, ...]:
+    """entry, y, n, near, words: how often each entry stands in the texts of one label, the neighbours met by it, and how many words all
+    texts have (entry null). An entry counts up to PER_TEXT times a text and gives up to NEIGHBOURS neighbours."""
+    import xxhash
+
+    counts, near, total = [Counter(), Counter()], defaultdict(set), [0, 0]
     for text, label in zip(texts, y, strict=True):
         tokens = [t for t in TOKEN(text.lower()) if t not in MARKS]
         total[label] += len(tokens)
-        vocabulary[label].update(tokens)
         own: Counter = Counter()
         for i, t in enumerate(tokens):
             for e in entries(t):
-                if e in held:
-                    own[e] += 1
-                    if label and own[e] <= 2:
-                        around[e].add(hash((tokens[i - 1] if i else "", t, tokens[i + 1] if i + 1 < len(tokens) else "")))
+                own[e] += 1
+                if label and own[e] <= NEIGHBOURS:
+                    around = "\0".join((tokens[i - 1] if i else "", t, tokens[i + 1] if i + 1 < len(tokens) else ""))
+                    near[e].add(xxhash.xxh64_intdigest(around) >> 1)
         for e, n in own.items():
-            counts[label][e] += min(n, 8)
-    strong = {}
-    for e, near in around.items():
-        if len(near) >= max(4, share * toxic):
-            x = math.log((counts[1][e] + 0.5) / total[1]) - math.log((counts[0][e] + 0.5) / total[0])
-            if x >= odds:
-                strong[e] = x
+            counts[label][e] += min(n, PER_TEXT)
+    rows = [(e, label, n, list(near[e]) if label and e in near else []) for label in (0, 1) for e, n in counts[label].items()]
+    rows += [(None, label, total[label], []) for label in (0, 1)]
+    return tuple(zip(*rows, strict=True))
+
+
+def words_of(texts: list[str], y: list[int], ids: list[int]) -> tuple[list, ...]:
+    """word, y, n of the texts."""
+    met = [Counter(), Counter()]
+    for text, label in zip(texts, y, strict=True):
+        met[label].update(t for t in TOKEN(text.lower()) if t not in MARKS)
+    rows = [(w, label, n) for label in (0, 1) for w, n in met[label].items()]
+    return tuple(zip(*rows, strict=True)) if rows else ([], [], [])
+
+
+def lexicon(rows: DataFrame, toxic: int) -> Scorer:
+    """Words and stems whose log odds reach ODDS and whose different neighbours number SHARE of the toxic documents, counted where
+    the sample lies; the driver gets the entries that pass, and the sample's words."""
+    found = mapped(rows, counted, "entry string, y int, n long, near array<long>")
+    sums = found.groupBy("entry").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
+    )
+    least = max(4, SHARE * toxic)
+    total, strong, around, clean_count = [1, 1], {}, {}, {}
+    for r in sums.filter(F.col("entry").isNull() | (F.col("near") >= least)).orderBy("entry").collect():  # null comes first
+        if r.entry is None:
+            total = [r.n0 + 1, r.n1 + 1]
+            continue
+        x = math.log((r.n1 + 0.5) / total[1]) - math.log((r.n0 + 0.5) / total[0])
+        if x >= ODDS:
+            strong[r.entry], around[r.entry], clean_count[r.entry] = x, r.near, (r.n0, r.n1)
     words = {e[:-1]: x for e, x in strong.items() if e[-1] == " "}
     stems = {e: x for e, x in strong.items() if e[-1] != " "}
-    clean = frozenset(w for w, n in vocabulary[0].items() if n >= 2 and w not in words)
-    sure = {w: x for w, x in words.items() if len(w) >= 5 and len(around[f"{w} "]) >= 0.1 * toxic and counts[0][f"{w} "] * 20 <= counts[1][f"{w} "]}
+    vocabulary = mapped(rows, words_of, "word string, y int, n long").groupBy("word").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1")
+    ).collect()
+    clean = frozenset(r.word for r in vocabulary if r.n0 >= 2 and r.word not in words)
+    sure = {w: x for w, x in words.items() if len(w) >= SHORTEST and around[f"{w} "] >= 0.1 * toxic and clean_count[f"{w} "][0] * 20 <= clean_count[f"{w} "][1]}
     # misspellings of a term count only if they are met in toxic rows at least as often as in clean ones
     probe, met = Scorer({}, {}, {w: 1.0 for w in sure}, clean), {w: [0, 0] for w in sure}
-    for label in (0, 1):
-        for w, n in vocabulary[label].items():
-            if w not in words and w not in clean and len(w) >= 4 and (m := min((m for a in probe.automata if (m := a.match(w))), default=None)):
-                met[probe.terms[m[1]]][label] += n
+    for r in vocabulary:
+        if r.word not in words and r.word not in clean and len(r.word) >= SHORTEST - 1 and (m := probe.nearest(r.word)):
+            met[probe.terms[m[1]]][0] += r.n0
+            met[probe.terms[m[1]]][1] += r.n1
     fuzzy = {w: x for w, x in sure.items() if met[w][0] * total[1] <= met[w][1] * total[0] or met[w][0] <= 1}
     return Scorer(words, stems, fuzzy, clean)
 
@@ -224,26 +255,29 @@ def fit(docs: DataFrame, labels: DataFrame):
     """(scorer, coefficients); None without training rows of both classes."""
     import numpy as np
 
-    texts, y, counts = sample(docs, labels, "toxic", FOLDS, HELD, SAMPLE)
-    if len(set(y)) < 2:
+    rows, counts = sample(docs, labels, "toxic", FOLDS, HELD, SAMPLE)
+    toxic = rows.filter("y = 1").count()
+    if not toxic or not rows.filter("y = 0").head(1):
         return None
-    scorer, y = lexicon(texts, y), np.array(y)
-    x = np.array([scorer.features(t) for t in texts])
+    scorer = lexicon(rows, toxic)
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # the sample's words
+    made = mapped(rows, lambda t, y, i: (i, y, [shared.value.features(x) for x in t]), "i long, y int, x array<double>").collect()
+    made.sort(key=lambda r: r.i)
+    x, y = np.array([r.x for r in made]), np.array([r.y for r in made])
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     return scorer, logistic(x, y, weight * len(y) / weight.sum())
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    model = fit(docs, labels)
-    scored = with_score(docs.select("doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), "score")
+    scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels), "score")
     return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def with_score(docs: DataFrame, model) -> DataFrame:
-    """docs with a column score."""
+def with_score(docs: DataFrame, model, name: str) -> DataFrame:
+    """docs with one more column of that name, which docs doesn't have."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of the bounded sample's words
 
     def run(batches):
@@ -253,13 +287,14 @@ def with_score(docs: DataFrame, model) -> DataFrame:
         scorer, w = shared.value
         for batch in batches:
             x = np.array([scorer.features(t.as_py() or "") for t in batch.column("text")]).reshape(-1, 7)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(x @ w[:-1] + w[-1]), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(x @ w[:-1] + w[-1]), pa.float64())], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType().add("score", DoubleType()).fields]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType().add(name, DoubleType()).fields]))
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score under the threshold, with all their columns."""
-    return with_score(docs, fit(docs, labels)).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    name = unused(docs, "score")
+    return with_score(docs, fit(docs, labels), name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
