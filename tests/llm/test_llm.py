@@ -336,3 +336,39 @@ def test_toxicity_signs_in_words():
     scorer = toxicity.Scorer({"idiot": 2.0, "trash": 1.5, "asshole": 3.0}, {}, {"idiot": 2.0, "trash": 1.5, "asshole": 3.0}, frozenset())
     for text, want in (("an Idi@t he is", [2.0 / 1.15]), ("tra$h", [1.5]), ("a$$hole", [3.0]), ("id*ot", [2.0 / 1.15]), ("tr_sh", [1.5 / 1.15]), ("idiot@home and my_trash", [2.0, 1.5]), ("snake_case me@home $5 a*b", [])):
         assert scorer.matches(text)[0] == want, text
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.digest_of, lambda c: F.substring(exact_dedup.digest_of(c), 1, 1)])
+def test_exact_dedup_over_two_runs(spark, tmp_path, digest):
+    # texts of the second run that the first has too, longer copies, and, with a short digest, different texts under one digest
+    first, second = corpus(11, 30), [*corpus(11, 24)[5:], "new one", "x  ", "x", None, *corpus(12, 9)]
+    parts, at = [], 0
+    for k, texts in enumerate((first, second)):
+        path = str(tmp_path / f"in put{k}")
+        make(spark, texts).withColumn("doc_id", F.col("doc_id") + 1000 * (1 - k)).write.parquet(path)
+        parts.append([(i + 1000 * (1 - k), t or "") for i, t in enumerate(texts)])
+        got = {r.doc_id: r for r in exact_dedup.members(spark.read.parquet(path), digest=digest, state=str(tmp_path / "state")).collect()}
+        every = [(i, t, re.sub(r"[\x20\x09-\x0D]", "", t)) for part in parts for i, t in part]
+        assert len(got) == len(texts)
+        for i, t in parts[k]:
+            group = [(j, x) for j, x, n in every if n == re.sub(r"[\x20\x09-\x0D]", "", t)]
+            keep = min(group, key=lambda g: (-len(g[1]), g[0]))[0]
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (keep, len(group), keep == i)
+    with pytest.raises(ValueError):
+        exact_dedup.dedup(make(spark, ["a"]), state=str(tmp_path / "state"))
+
+
+def test_exact_dedup_shuffles_hits_only(spark, tmp_path):
+    make(spark, [f"text number {i} " * 50 for i in range(400)] + ["twice", "twice"]).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    rows, known = exact_dedup.located(docs)
+    assert known
+    hits = rows.filter("doc_id >= 400").select("locator", F.lit(1).alias("uid"))
+    hits.write.parquet(str(tmp_path / "hits"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_dedup.hit_texts(spark, rows.select("locator", "text"), spark.read.parquet(str(tmp_path / "hits")).filter("uid > 0"), ["locator"], "t")
+        assert found.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
