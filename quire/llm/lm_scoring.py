@@ -2,15 +2,16 @@
 
 A target model (documents labelled of good quality) and a background model (all documents) are bigram models of one form over one
 vocabulary, which grows with the corpus: every word and word pair is counted under its own 64-bit hash. A document's score is
-the mean over its words of the background's loss less the target's, in nats: above 0, the text is likelier under the target.
+the mean over its words of the background's loss less the target's, in nats: above 0, the text is likelier under the target. A
+target document is scored without its own words in the target model, as any other document is.
 
 1. Each task writes its rows' words to the shared folder, in shards of about TOKENS words; texts are not shuffled.
 2. Each shard counts its own grams, all and those of target rows, and sends them by ranges of the hash, sorted and packed.
 3. Each range sums them and answers each shard with the corpus's counts of the grams it sent, in the same order.
 4. Each shard scores its rows from the answers.
 
-Defined results: null, empty and blank texts have 0 words and score 0; rows repeated get equal scores; without target
-documents the target model is the background's prior and scores are still defined; an empty table gives an empty result;
+Defined results: null, empty and blank texts have 0 words and score 0; rows that repeat doc_id and text get equal scores, each
+without its own words; without target documents the target model is the background's prior and scores are still defined; an empty table gives an empty result;
 further columns are ignored. The prior is spread over the corpus's distinct words, UNIGRAMS at least.
 """
 
@@ -131,6 +132,9 @@ def sent(marked: DataFrame, folder: str, ranges: int, n: int) -> DataFrame:
         hit = np.zeros(len(shard.counts), bool)
         hit[np.asarray(table["at"].filter(table["hit"]))] = True
         own = np.repeat(hit, shard.counts)
+        fs, base = filesystem(folder)
+        with fs.open_output_stream(f"{base}/{key[0].as_py()}-hit") as f:  # the same whatever attempt writes it
+            f.write(hit.tobytes())
         bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
         out = []
         for kind, places in enumerate((shard.word, shard.pair)):
@@ -171,14 +175,37 @@ def summed(grams: DataFrame, n: int) -> DataFrame:
     return grams.repartition(n, "part").groupBy("part").applyInArrow(run, "part long, shard string, n long, target binary, background binary, distinct long")
 
 
+def probability(one, two, first, total, vocabulary: int):
+    """Of a word met `one` times, `two` times of which after a word met `first` times, by an interpolated bigram model."""
+    import numpy as np
+
+    alone = (one + ADDED) / (total + ADDED * vocabulary)
+    return BACKOFF * two / np.maximum(1, np.maximum(first, two)) + (1 - BACKOFF) * alone
+
+
 def losses(shard: Shard, one, two, total: int, vocabulary: int):
-    """Negative log probability of the word of each of the shard's pairs after the one before, by an interpolated bigram model."""
+    """Negative log probability of the word of each of the shard's pairs after the one before."""
     import numpy as np
 
-    alone = (one[shard.pair_word] + ADDED) / (total + ADDED * vocabulary)
     first = np.where(shard.pair_before < 0, 0, one[shard.pair_before])
-    after = two / np.maximum(1, np.maximum(first, two))
-    return -np.log(BACKOFF * after + (1 - BACKOFF) * alone)
+    return -np.log(probability(one[shard.pair_word], two, first, total, vocabulary))
+
+
+def held_out(shard: Shard, hit, one, two, total: int, vocabulary: int):
+    """(places of the words of the rows in hit, negative log probability of each, by counts without those of its own row)."""
+    import numpy as np
+
+    at = np.flatnonzero(np.repeat(hit, shard.counts))
+    row = np.repeat(np.arange(len(shard.counts)), shard.counts)[at]
+
+    def own(place, kinds: int):
+        return np.unique(row * kinds + place.astype(np.int64), return_inverse=True, return_counts=True)[1:]
+
+    (w, wn), (p, pn) = own(shard.word[at], len(shard.kinds[0])), own(shard.pair[at], len(shard.kinds[1]))
+    alone = one[shard.word[at]] - wn[w]
+    start = np.isin(at, shard.starts)
+    first = np.where(start, 0, np.r_[0, alone[:-1]])
+    return at, -np.log(probability(alone, two[shard.pair[at]] - pn[p], first, total - shard.counts[row], vocabulary))
 
 
 def scored(answers: DataFrame, folder: str, ranges: int, totals: tuple[int, int], vocabulary: int, n: int) -> DataFrame:
@@ -190,10 +217,17 @@ def scored(answers: DataFrame, folder: str, ranges: int, totals: tuple[int, int]
 
         shard, table = Shard(folder, key[0].as_py()), table.sort_by("part")
         cut, sizes, loss = sum(x < ranges for x in table["part"].to_pylist()), table["n"].to_pylist(), []
+        fs, base = filesystem(folder)
+        with fs.open_input_stream(f"{base}/{key[0].as_py()}-hit") as f:
+            hit = np.frombuffer(f.read(), bool)
         for name, total in zip(("target", "background"), totals, strict=True):
             counts = [unpacked(x, k, "<i8") for x, k in zip(table[name].to_pylist(), sizes, strict=True)]
-            loss.append(losses(shard, np.concatenate(counts[:cut]), np.concatenate(counts[cut:]), total, vocabulary))
-        score = np.add.reduceat((loss[1] - loss[0])[shard.pair], shard.starts) / shard.counts
+            one, two = np.concatenate(counts[:cut]), np.concatenate(counts[cut:])
+            loss.append(losses(shard, one, two, total, vocabulary)[shard.pair])
+            if name == "target" and hit.any():
+                at, without = held_out(shard, hit, one, two, total, vocabulary)
+                loss[0][at] = without
+        score = np.add.reduceat(loss[1] - loss[0], shard.starts) / shard.counts
         return pa.Table.from_arrays([pa.array(shard.doc_ids, pa.int64(), mask=shard.null), pa.array(shard.counts, pa.int64()), pa.array(score)], ["doc_id", "n_words", "score"])
 
     return answers.drop("distinct").repartition(n, "shard").groupBy("shard").applyInArrow(run, "doc_id long, n_words long, score double")

@@ -6,7 +6,7 @@ manifest; a range reads the members whose headers begin in it, in batches, and e
 apart from the others.
 
 Defined results: null is an empty text, stored as one row of zeros; equal texts give equal values; rows repeated are stored
-once each; an empty table gives an empty result; further columns are ignored.
+once each; a row without a doc_id keeps none; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def digests(media: DataFrame) -> DataFrame:
                 data = data.as_py()
                 samples = decode(data)
                 payload = samples.tobytes()
-                row = (int(doc_id), int(size), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples))
+                row = (None if doc_id == "None" else int(doc_id), int(size), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2

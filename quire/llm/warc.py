@@ -1,12 +1,14 @@
 """WARC archives: writing, reading, and revisit resolution.
 
 `write` stores one response per page in gzipped archives. `resolve` shuffles only headers by payload digest and joins each
-later record to the first of its payload. `rewrite` copies every archive with fresh headers: first records stay responses,
+later record to the first of its payload; payloads are equal if SHA-1, which the records carry, SHA-256 and length all are, since
+SHA-1 alone can be made to collide. `rewrite` copies every archive with fresh headers: first records stay responses,
 others become revisits without payload. `read` parses archives into rows.
 
 Archives are named by attempt and count only if the manifest that a finished task returned names them, so a task that is run
 again leaves no double. Defined results: null html is an empty payload; of rows that repeat a page_id and payload the first
-written is the response; an empty table gives an empty result; further columns are ignored.
+written is the response; a page without a page_id comes after those that have one, and revisits of it refer to no page; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +29,26 @@ LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 HEADERS = "archive string, at long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+WRITTEN = HEADERS + ", payload_sha256 string, url string"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: int, url: str, payload: bytes, size: int, sha: str, refers_to: int | None = None) -> bytes:
-    """One record; a revisit keeps the HTTP head, with the full payload's length, and no payload."""
+def shown(url: str) -> str:
+    """An address that can stand in a header."""
+    return "".join(c for c in url if c >= " ")
+
+
+def record(kind: str, page_id: int | None, url: str, payload: bytes, size: int, sha: str, refers_to: int | None = None, refers_url: str = "") -> bytes:
+    """One record; a revisit keeps the HTTP head, with the full payload's length, and no payload. DATE is the same for all, so that
+    reruns write the same archives."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = head + (payload if kind == "response" else b"")
-    url = "".join(c for c in url if c >= " ")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{sha}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {shown(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{sha}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", *([f"WARC-Refers-To: <urn:page:{refers_to}>"] if refers_to is not None else []), f"WARC-Refers-To-Target-URI: {shown(refers_url)}", f"WARC-Refers-To-Date: {DATE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -54,8 +62,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return headers, http, payload
 
 
-def number(urn: str) -> int:
-    return int(urn.strip("<>").rpartition(":")[2])
+def number(urn: str) -> int | None:
+    found = urn.strip("<>").rpartition(":")[2]
+    return None if found == "None" else int(found)
 
 
 class Writer:
@@ -99,11 +108,11 @@ def members(folder: str, name: str):
                 start, unzip, out = at, zlib.decompressobj(31), []
 
 
-def _batch(rows: list[tuple]):
+def _batch(rows: list[tuple], written: bool = False):
     import pyarrow as pa
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    names = ["archive", "at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * (2 * written)]
+    names = ["archive", "at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload_sha256", "url"] * written]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
@@ -118,23 +127,24 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 for page_id, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
                     payload = (html.as_py() or "").encode()
                     sha = digest(payload)
-                    rows.append((*to.add(record("response", page_id.as_py(), url.as_py() or "", payload, len(payload), sha)), page_id.as_py(), len(payload), sha, "response", None))
-                yield _batch(rows)
+                    rows.append((*to.add(record("response", page_id.as_py(), url.as_py() or "", payload, len(payload), sha)), page_id.as_py(), len(payload), sha, "response", None, hashlib.sha256(payload).hexdigest(), url.as_py() or ""))
+                yield _batch(rows, True)
         finally:
             to.close()
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, HEADERS)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, WRITTEN)
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """headers with record_type and refers_to: of equal payloads of least_bytes or more the smallest page_id stays a response."""
-    first = headers.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(F.struct("page_id", "archive", "at")).alias("first"))
-    own = F.struct("page_id", "archive", "at")
-    found = headers.drop("record_type", "refers_to").join(first, "payload_digest", "left")
+    """headers with record_type, refers_to and refers_url: of equal payloads of least_bytes or more the smallest page_id stays a response."""
+    same = ["payload_digest", "payload_sha256", "payload_bytes"]
+    own = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "at")
+    first = headers.filter(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.min(own).alias("first"), F.min_by("url", own).alias("first_url"))
+    found = headers.drop("record_type", "refers_to").join(first, same, "left")
     again = (F.col("payload_bytes") >= least_bytes) & (F.col("first") != own)
     return found.select(
         "archive", "at", "page_id", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"),
     )
 
 
@@ -144,19 +154,19 @@ def rewrite(resolved: DataFrame, folder: str, to_folder: str) -> DataFrame:
     def run(keys, table):
         import pyarrow as pa
 
-        as_revisit = {at: to for at, kind, to in zip(*(table.column(c).to_pylist() for c in ("at", "record_type", "refers_to")), strict=True) if kind == "revisit"}
+        as_revisit = {at: (to, url) for at, kind, to, url in zip(*(table.column(c).to_pylist() for c in ("at", "record_type", "refers_to", "refers_url")), strict=True) if kind == "revisit"}
         known, to, made = set(table.column("at").to_pylist()), Writer(to_folder), {}
         for at, data in members(folder, keys[0].as_py()):
             if at in known:
                 headers, http, payload = parse(data)
                 kind = "revisit" if at in as_revisit else "response"
-                name, _ = to.add(record(kind, number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], payload, len(payload), digest(payload), as_revisit.get(at)))
+                name, _ = to.add(record(kind, number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], payload, len(payload), digest(payload), *as_revisit.get(at, ())))
                 made[name] = made.get(name, 0) + 1
         to.close()
         return pa.table({"archive": pa.array(list(made), pa.string()), "records": pa.array(list(made.values()), pa.int64())})
 
     # headers are few, so AQE would put all archives' work into one task
-    spread = resolved.select("archive", "at", "record_type", "refers_to").repartition(tasks(resolved.sparkSession, 1), "archive")
+    spread = resolved.select("archive", "at", "record_type", "refers_to", "refers_url").repartition(tasks(resolved.sparkSession, 1), "archive")
     return spread.groupBy("archive").applyInArrow(run, "archive string, records long")
 
 
