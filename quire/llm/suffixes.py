@@ -59,8 +59,10 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 class Shard:
     """Documents of one shard: ids, all bytes, offsets."""
 
-    def __init__(self, ids, data, offsets, span: int = SPAN, kgram: int = KGRAM):
+    def __init__(self, ids, data, offsets, span: int = SPAN, kgram: int = KGRAM, texts_only: bool = False):
         self.ids, self.data, self.offsets, self.span, self.kgram = ids, data, offsets, span, kgram
+        if texts_only:
+            return
         n = len(data)
         self.owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
         self.valid = np.zeros(n, bool)  # a string of span bytes starts here and ends in the same document
@@ -196,7 +198,7 @@ def open_strings(shard: Shard, gone: np.ndarray, lo, hi):
     return at, string, one, two, least
 
 
-def load(folder: str, name: str) -> Shard:
+def load(folder: str, name: str, texts_only: bool = False) -> Shard:
     import pyarrow.parquet as pq
 
     fs, base = filesystem(folder)
@@ -204,7 +206,7 @@ def load(folder: str, name: str) -> Shard:
     data, offsets = column_bytes(table.column("text").combine_chunks() if table.num_rows else table.column("text").chunk(0))
     import pyarrow.compute as pc
 
-    return Shard(pc.fill_null(table.column("doc_id"), NO_ID).to_numpy(), data, offsets)
+    return Shard(pc.fill_null(table.column("doc_id"), NO_ID).to_numpy(), data, offsets, texts_only=texts_only)
 
 
 def store(docs: DataFrame, folder: str) -> DataFrame:
@@ -421,41 +423,54 @@ def judged(shard: Shard, replies: dict[int, bytes], buckets: int, hot: np.ndarra
     return gone | cover(n, late, late + shard.span), strings
 
 
-def send_strings(folder: str, buckets: int, string_buckets: int, hot: np.ndarray):
+def string_bucket(one: np.ndarray, buckets: int) -> np.ndarray:
+    """Where strings meet: ranges of the fingerprint, so that sorted strings stand by bucket."""
+    return ((one >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def send_strings(folder: str, buckets: int, hot: np.ndarray):
+    """Sends each shard's open strings, and keeps beside the shard what is decided of it: bytes that go, the strings' positions by
+    fingerprint, how many each string has, and where each bucket's strings begin. Whatever attempt writes it, it is the same."""
+
     def run(keys, table):
         import pyarrow as pa
 
         name = keys[0].as_py()
         replies = {b: d for b, d in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True) if b >= 0}
-        _, (_, _, one, two, least) = judged(load(folder, name), replies, buckets, hot)
-        rows = []
-        for b, i in _dealt((one % _U(string_buckets)).astype(np.int64), string_buckets):
-            i = i[np.argsort(one[i], kind="stable")]
-            rows.append((b, name, _packed(one[i], two[i], least[i])))
-        return pa.Table.from_batches([_rows(rows)])
+        gone, (at, string, one, two, least) = judged(load(folder, name), replies, buckets, hot)
+        order = np.argsort(one, kind="stable")
+        one, two, least = one[order], two[order], least[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[string]
+        at = at[np.argsort(place, kind="stable")].astype(np.int32)
+        sent = _dealt(string_bucket(one, buckets), buckets)
+        fs, base = filesystem(folder)
+        with fs.open_output_stream(f"{base}/{name}.judged", compression=None) as f:
+            np.savez(f, gone=np.packbits(gone), at=at, n=np.bincount(place, minlength=len(one)).astype(np.int32), bucket=np.array([x for x, _ in sent], np.int64), start=np.array([i[0] for _, i in sent], np.int64))
+        return pa.Table.from_batches([_rows([(x, name, _packed(one[i], two[i], least[i])) for x, i in sent])])
 
     return run
 
 
-def finish(folder: str, buckets: int, string_buckets: int, hot: np.ndarray):
+def finish(folder: str):
     def run(keys, table):
+        import io
+
         import pyarrow as pa
 
-        replies, late = {}, {}
-        for b, kind, d in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
-            if kind == 1:
-                replies[b] = d
-            elif kind == 2:
-                late[b] = d
-        shard = load(folder, keys[0].as_py())
-        gone, (at, string, one, _, _) = judged(shard, replies, buckets, hot)
-        goes = np.zeros(len(one), bool)
-        for b, i in _dealt((one % _U(string_buckets)).astype(np.int64), string_buckets):
-            if b in late:
-                i = i[np.argsort(one[i], kind="stable")]
-                goes[i[_unpacked(late[b], np.uint32)[0]]] = True
+        name = keys[0].as_py()
+        shard = load(folder, name, texts_only=True)
+        fs, base = filesystem(folder)
+        with fs.open_input_stream(f"{base}/{name}.judged", compression=None) as f:
+            kept = np.load(io.BytesIO(f.read()))
+        gone, start = np.unpackbits(kept["gone"], count=len(shard.data)).astype(bool), dict(zip(kept["bucket"].tolist(), kept["start"].tolist(), strict=True))
+        goes = np.zeros(len(kept["n"]), bool)
+        for b, d in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if b >= 0:
+                goes[start[b] + _unpacked(d, np.uint32)[0].astype(np.int64)] = True
         if goes.any():
-            x = at[goes[string]]
+            x = kept["at"][np.repeat(goes, kept["n"])].astype(np.int64)
             gone |= cover(len(shard.data), x, x + shard.span)
         out = [[] for _ in range(5)]
         for doc, a, b in zip(shard.ids.tolist(), shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True):
@@ -483,8 +498,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     answers = materialize(spark, met, "anchors")
     release(spark)
     every = shards.select(F.lit(-1).cast("long").alias("bucket"), "shard", F.lit(None).cast("binary").alias("data"))
-    strings = answers.unionByName(every).repartition(n, "shard").groupBy("shard").applyInArrow(send_strings(folder, buckets, buckets, hot), ROWS)
+    strings = answers.unionByName(every).repartition(n, "shard").groupBy("shard").applyInArrow(send_strings(folder, buckets, hot), ROWS)
     late = materialize(spark, strings.groupBy("bucket").applyInArrow(meet_strings, ROWS), "strings")
     release(spark)
-    told = every.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1))).unionByName(late.withColumn("kind", F.lit(2)))
-    return told.repartition(n, "shard").groupBy("shard").applyInArrow(finish(folder, buckets, buckets, hot), RESULT)
+    return late.unionByName(every).repartition(n, "shard").groupBy("shard").applyInArrow(finish(folder), RESULT)
