@@ -47,6 +47,11 @@ def joined(parts: Column, separator: str) -> Column:
     return F.array_join(parts, separator)
 
 
+def appended(a: Column, b: Column) -> Column:
+    """Two parts of a paragraph: a hyphen at the first one's end goes, else a blank comes between."""
+    return F.when(b == "", a).when(a.endswith("-"), F.concat(F.regexp_replace(a, "-$", ""), b)).when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))
+
+
 def looks_like_doi(x: Column) -> Column:
     t = ascii_lower(trim(x))
     return t.startswith("10.") | t.contains("doi:") | t.contains("doi.org/")
@@ -128,13 +133,28 @@ def is_caption(x: Column) -> Column:
     return ascii_lower(trim(x)).rlike(r"^(figure |fig\. |table )")
 
 
+def is_caption_word(x: Column) -> Column:
+    """A caption's first words: figure, fig. or table, a number, and what ends it."""
+    return x.rlike(r"(?i)^\s*(figure|fig\.|table)\s+\d+[a-z]?(?:[.:]|\s)")
+
+
+def today() -> Column:
+    """The date in UTC, as text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")
+
+
 def is_footnote(x: Column) -> Column:
     t = trim(x)
     return t.rlike(r"^(\[\d+\]|\d+)\s+\S") & (size(t) >= 2) & (size(t) < 300)
 
 
+def has_suspect_byte(word: Column) -> Column:
+    """Whether one of SUSPECT_BYTES stands in the word's UTF-8: in two steps, for few words have a byte above 127."""
+    return word.rlike(r"[^\x00-\x7F]") & F.hex(F.encode(word, "UTF-8")).rlike(f"^(..)*?({SUSPECT_BYTES})")
+
+
 def is_suspect(word: Column) -> Column:
-    return (size(word) > 24) | F.hex(F.encode(word, "UTF-8")).rlike(f"^(..)*?({SUSPECT_BYTES})")
+    return (size(word) > 24) | has_suspect_byte(word)
 
 
 def letters(x: Column, which: str = "A-Za-z") -> Column:

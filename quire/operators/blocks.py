@@ -2,52 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from . import rules
 
+# What a document's body starts with, and phrases of the layout families.
 ANCHORS = ["1. introduction", "perseus and other", "what explains the"]
+SCAN_TITLE, SCAN_SUBTITLE, SCAN_BODY = "a national survey of practicing psychologists", "psychotherapy treatment manuals", "there has been considerable debate"
+PERMISSION, PERMISSION_END = "permission to make digital", "copyright 2002 acm"
+KEYWORDS, INTRODUCTION, SHORT_FIGURE = ["keywords", "key words", "keywords:"], r"(?i)^1\.?\s+introduction\b", r"(?i)^figure\s+\d+[a-z]?[\.,]?$"
+CLEARING = "managing the texts"
+#: Fields of a document's head behind title and authors, in order.
+FIELDS = ["date-published", "date-received", "date-accepted", "publisher", "object-url", "source-format", "published-formats", "doi", "type", "pages", "date-accessed", "date-extracted"]
+
+
+def pieces_of(lines: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, part, n, kind, level, text, cleared of what each line gives to the blocks; Figure is a caption that is counted
+    only. lines: doc_id, page, line_no, text, and, if known, family and title.
+
+    State that runs down the lines (body begun, references seen, dropping, waiting) is the last or largest event before; it is read over
+    the document, or its pages, from one exchange by doc_id. In rail pages a keywords line behind the references, in a part that goes, is
+    taken for one all the same."""
+    for name, value in (("page", F.lit(0).cast("long")), ("family", F.lit("generic")), ("title", F.lit(""))):
+        lines = lines if name in lines.columns else lines.withColumn(name, value)
+    doc, page = Window.partitionBy("doc_id").orderBy("page", "line_no"), Window.partitionBy("doc_id", "page").orderBy("line_no")
+    upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    last = lambda event, over: F.coalesce(F.last(event, ignorenulls=True).over(over.rowsBetween(*before)), F.lit(False))
+    t, low, family = F.col("t"), F.col("low"), F.col("family")
+    rows = lines.select("doc_id", "page", "line_no", "family", "title", T.fix_split_word(T.normalize_typography(F.col("text"))).alias("t")).filter("t <> ''")
+    rows = rows.withColumn("low", T.ascii_lower(t)).withColumn("n", F.row_number().over(page)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page")))
+    starts, ends = low.contains(PERMISSION), low.contains(PERMISSION_END)
+    rows = rows.withColumn("held", starts | last(F.when(starts, True).when(ends, False), page))
+    keyword, intro = low.isin(KEYWORDS), t.rlike(INTRODUCTION)
+    waits = last(F.when(keyword, True).when(intro, False), doc) & ~keyword & ~intro & ~F.coalesce(F.lag(low).over(page).isin(KEYWORDS), F.lit(False))
+    rail = (family == "frontiers") & (waits | (low.contains("in region") & low.contains("last 36 months")))
+    skip = ((family == "acm") & F.col("held")) | rail | rules.is_boilerplate(t) | ((family == "magazine") & rules.is_author_roster(t))
+    rows = rows.withColumn("skip", skip)
+    titled, rest = rules.is_title_like(t, F.col("title")), rules.without_title(t, F.col("title"))
+    usable = titled & (rest != "") & ~rules.is_title_like(rest, F.col("title"))
+    plain = low.isin("abstract", "keywords") | low.startswith(ANCHORS[0])
+    scan = family == "scan"
+    anchor = ~F.col("skip") & F.when(scan, low.startswith(SCAN_BODY)).otherwise(plain | F.when(titled, usable).otherwise(T.starts_any(low, ANCHORS[1:])))
+    rows = rows.withColumn("anchor", anchor).withColumn("was", F.coalesce(F.max("anchor").over(doc.rowsBetween(*before)), F.lit(False)))
+    rows = rows.withColumn("begun", F.col("was") | F.col("anchor")).withColumn("t", F.when(~F.col("was") & F.col("anchor") & ~plain & ~scan & titled, rest).otherwise(t))
+    rows = rows.withColumn("live", F.col("begun") & ~F.col("skip")).withColumn("caption", T.is_caption(t)).withColumn("glued", rules.glued_heading(t))
+    lower = T.ascii_lower(t)
+    heading = rules.is_accepted_heading(t) & (F.col("glued.heading") == "") & ~F.col("caption")
+    rows = rows.withColumn("seen", F.coalesce(F.max(F.col("live") & heading & lower.isin("references", "bibliography", "works cited")).over(doc.rowsBetween(*before)), F.lit(False)))
+    rows = rows.withColumn("dropped", F.max(F.col("seen") & rules.is_ancillary(t)).over(page.rowsBetween(*upto))).filter("live AND NOT dropped")
+    at_end = (F.col("n") > 1) & (F.col("n") + 2 > F.col("all"))
+    number = F.regexp_extract(t, r"(?i)^\s*(?:figure|fig\.)\s+(\d+)", 1)
+    kind = (
+        F.when(F.col("caption") & (family == "acm"), F.when(number.rlike("^0*6$"), "Sixth").otherwise("Caption"))
+        .when(F.col("caption") & (family == "frontiers") & t.rlike(SHORT_FIGURE), "Reference").when(F.col("caption"), "Figure")
+        .when(heading, "Heading").when(T.is_footnote(t) & at_end, "Footnote").otherwise("Paragraph")
+    )
+    rows = rows.withColumn("kind", kind)
+    none = F.lit(0)
+    both = F.array(
+        F.struct(none.alias("part"), F.lit("Heading").alias("kind"), F.lit(1).alias("level"), F.col("glued.heading").alias("text")),
+        F.struct(F.lit(1).alias("part"), F.when(T.is_footnote(F.col("glued.rest")) & at_end, "Footnote").otherwise("Paragraph").alias("kind"), none.alias("level"), F.col("glued.rest").alias("text")),
+    )
+    one = F.array(F.struct(none.alias("part"), F.col("kind"), F.when(F.col("kind") == "Heading", rules.heading_level(t)).otherwise(0).alias("level"), t.alias("text")))
+    parts = F.when((F.col("glued.heading") != "") & ~F.col("caption"), both).otherwise(one)
+    pieces = rows.select("doc_id", "page", "line_no", "n", "family", F.explode(parts).alias("b")).select("doc_id", "page", "line_no", "n", "family", "b.*").filter("text <> ''")
+    clears = F.when((family == "magazine") & (F.col("kind") == "Heading") & (T.ascii_lower(F.col("text")) == CLEARING), F.col("n"))
+    return pieces.withColumn("cleared", F.coalesce(F.col("n") < F.max(clears).over(Window.partitionBy("doc_id", "page")), F.lit(False))).drop("family")
+
+
+def blocks_of(pieces: DataFrame) -> DataFrame:
+    """doc_id, page, block_no, line_no, kind, level, text of each block; block_no runs through the document. Paragraphs are islands: a line
+    goes on unless the one before ends a sentence and lines between were left out."""
+    page = Window.partitionBy("doc_id", "page").orderBy("line_no", "part")
+    prose = F.col("kind").isin("Paragraph", "Reference")
+    rows = pieces.filter((F.col("kind") != "Figure") & ~F.col("cleared")).withColumn("prose", prose)
+    hole = (F.col("n") - F.lag("n").over(page) > 1) & T.ends_sentence(F.lag("text").over(page)) & (F.col("kind") == "Paragraph")
+    first = ~F.col("prose") | F.coalesce(~F.lag("prose").over(page), F.lit(True)) | hole
+    runs = rows.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(page)).filter("kind <> 'Sixth'")
+    held = runs.groupBy("doc_id", "page", "run").agg(F.sort_array(F.collect_list(F.struct("line_no", "part", "kind", "level", "text"))).alias("p"))
+    joined = F.aggregate("p", F.lit(""), lambda acc, x: F.when(acc == "", x["text"]).when(acc.endswith("-") & (x["kind"] != "Reference"), F.concat(acc, x["text"])).otherwise(F.concat(acc, F.lit(" "), x["text"])))
+    head = F.col("p")[0]
+    kind = F.when(head["kind"] == "Reference", "Paragraph").otherwise(head["kind"])
+    text = F.when(kind == "Paragraph", T.fix_split_word(joined)).otherwise(joined)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "run"))
+    return held.select("doc_id", "page", number.alias("block_no"), head["line_no"].alias("line_no"), kind.alias("kind"), head["level"].alias("level"), text.alias("text"))
 
 
 def generic_blocks(lines: DataFrame) -> DataFrame:
-    """doc_id, block_no, line_no, kind, level, text of each block of the generic layout, one page a document, without a title.
-
-    State that runs down the lines (body begun, references seen, dropping) is a running maximum; paragraphs are islands."""
-    page = Window.partitionBy("doc_id").orderBy("line_no")
-    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = page.rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.select("doc_id", "line_no", T.fix_split_word(T.normalize_typography(F.col("text"))).alias("t")).filter("t <> ''")
-    low = T.ascii_lower(F.col("t"))
-    rows = rows.withColumn("n", F.row_number().over(page)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    rows = rows.withColumn("begun", F.max(low.isin("abstract", "keywords") | T.starts_any(low, ANCHORS)).over(so_far))
-    rows = rows.withColumn("skip", rules.is_boilerplate(F.col("t"))).withColumn("live", F.col("begun") & ~F.col("skip"))
-    rows = rows.withColumn("glued", rules.glued_heading(F.col("t")))
-    heading = rules.is_accepted_heading(F.col("t")) & (F.col("glued.heading") == "")
-    ends = F.col("live") & heading & low.isin("references", "bibliography", "works cited")
-    rows = rows.withColumn("seen", F.coalesce(F.max(ends).over(earlier), F.lit(False)))
-    rows = rows.withColumn("dropped", F.max(F.col("seen") & rules.is_ancillary(F.col("t"))).over(so_far)).filter("live AND NOT dropped")
-    footnote = T.is_footnote(F.col("t")) & (F.col("n") > 1) & (F.col("n") + 2 > F.col("all"))
-    kind = F.when(T.is_caption(F.col("t")), "Skip").when(heading, "Heading").when(footnote, "Footnote").otherwise("Paragraph")
-    rows = rows.withColumn("kind", kind).filter("kind <> 'Skip'")
-    none = F.lit(0)
-    parts = F.when(
-        F.col("glued.heading") != "",
-        F.array(
-            F.struct(F.lit(0).alias("part"), F.lit("Heading").alias("kind"), F.lit(1).alias("level"), F.col("glued.heading").alias("text")),
-            F.struct(F.lit(1).alias("part"), F.lit("Paragraph").alias("kind"), none.alias("level"), F.col("glued.rest").alias("text")),
-        ),
-    ).otherwise(F.array(F.struct(none.alias("part"), F.col("kind"), F.when(F.col("kind") == "Heading", rules.heading_level(F.col("t"))).otherwise(0).alias("level"), F.col("t").alias("text"))))
-    pieces = rows.select("doc_id", "line_no", "n", F.explode(parts).alias("b")).select("doc_id", "line_no", "n", "b.*").filter("text <> ''")
-    order = Window.partitionBy("doc_id").orderBy("line_no", "part")
-    hole = (F.col("n") - F.lag("n").over(order) > 1) & T.ends_sentence(F.lag("text").over(order))
-    first = (F.col("kind") != "Paragraph") | F.coalesce(F.lag("kind").over(order) != "Paragraph", F.lit(True)) | hole
-    runs = pieces.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(order))
-    held = runs.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("line_no", "part", "kind", "level", "text"))).alias("p"))
-    joined = F.aggregate("p", F.lit(""), lambda acc, x: F.when(acc == "", x["text"]).when(acc.endswith("-"), F.concat(acc, x["text"])).otherwise(F.concat(acc, F.lit(" "), x["text"])))
-    head = F.col("p")[0]
-    return held.select("doc_id", F.col("run").alias("block_no"), head["line_no"].alias("line_no"), head["kind"].alias("kind"), head["level"].alias("level"), joined.alias("text"))
+    """Blocks of lines (doc_id, line_no, text): the generic layout, one page a document, without a title."""
+    return blocks_of(pieces_of(lines)).drop("page")
+
+
+def scan_title(lines: DataFrame) -> DataFrame:
+    """doc_id, title of scanned documents: the line of a known title and its second line, before the body begins."""
+    low = T.ascii_lower(T.fix_split_word(T.normalize_typography(F.col("text"))))
+    order = Window.partitionBy("doc_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.filter("family = 'scan'").withColumn("low", low).withColumn("begun", F.max(low.startswith(SCAN_BODY)).over(order)).filter("NOT begun")
+    at = F.struct("page", "line_no")
+    found = rows.groupBy("doc_id").agg(F.max_by("text", F.when(F.col("low").startswith(SCAN_TITLE), at)).alias("a"), F.min_by("text", F.when(F.col("low") == SCAN_SUBTITLE, at)).alias("b"))
+    return found.filter("a IS NOT NULL").select("doc_id", F.concat_ws(": ", "a", "b").alias("title"))
 
 
 def title_of(blocks: DataFrame) -> DataFrame:
@@ -57,37 +112,54 @@ def title_of(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by("text", "block_no").alias("title"))
 
 
+def _with_page(blocks: DataFrame) -> DataFrame:
+    return blocks if "page" in blocks.columns else blocks.withColumn("page", F.lit(0).cast("long"))
+
+
 def abstract_of(blocks: DataFrame, least_words: int = 40) -> DataFrame:
-    """doc_id, abstract: the first paragraph of enough words after a heading Abstract and before the next heading."""
-    order = Window.partitionBy("doc_id").orderBy("block_no")
-    head = F.last(F.when(F.col("kind") == "Heading", T.ascii_lower(F.col("text"))), ignorenulls=True).over(order)
-    rows = blocks.withColumn("under", head).filter((F.col("kind") == "Paragraph") & (F.col("under") == "abstract") & (F.size(T.words(F.col("text"))) >= least_words))
-    return rows.groupBy("doc_id").agg(F.min_by("text", "block_no").alias("abstract"))
+    """doc_id, abstract: of each page the first paragraph after a heading Abstract, with no other heading between; of those with enough
+    words the first page's. A page's first paragraph alone is looked at."""
+    blocks = _with_page(blocks)
+    page = Window.partitionBy("doc_id", "page")
+    order = page.orderBy("block_no")
+    head, named = F.col("kind") == "Heading", T.ascii_lower(F.col("text")) == "abstract"
+    rows = blocks.withColumn("after", F.max(head & named).over(order)).filter("after")
+    # what ends the search on a page: a paragraph, or a heading of another name
+    rows = rows.filter((F.col("kind") == "Paragraph") | (head & ~named))
+    found = rows.groupBy("doc_id", "page").agg(F.min_by(F.struct("kind", "text"), "block_no").alias("b")).filter("b.kind = 'Paragraph'")
+    some = found.filter(F.size(T.words(F.col("b.text"))) >= least_words)
+    return some.groupBy("doc_id").agg(F.min_by("b.text", "page").alias("abstract"))
 
 
 def keywords_of(blocks: DataFrame) -> DataFrame:
-    """doc_id, keywords: the parts under 80 bytes of the block after a heading Keywords, at commas."""
-    order = Window.partitionBy("doc_id").orderBy("block_no")
-    named = (F.lag("kind").over(order) == "Heading") & T.ascii_lower(F.lag("text").over(order)).isin("keywords", "key words")
-    rows = blocks.withColumn("named", named).filter(F.col("named") & F.col("kind").isin("Paragraph", "Heading"))
-    found = rows.groupBy("doc_id").agg(F.min_by("text", "block_no").alias("t"))
+    """doc_id, keywords: of each page the first paragraph or heading of another name after a heading Keywords, at commas, parts under 80
+    bytes; of pages that have any the first."""
+    blocks = _with_page(blocks)
+    order = Window.partitionBy("doc_id", "page").orderBy("block_no")
+    named = (F.col("kind") == "Heading") & T.ascii_lower(F.col("text")).isin("keywords", "key words")
+    rows = blocks.withColumn("named", named).withColumn("after", F.max("named").over(order)).filter(F.col("after") & ~F.col("named") & F.col("kind").isin("Paragraph", "Heading"))
+    found = rows.groupBy("doc_id", "page").agg(F.min_by("text", "block_no").alias("t"))
     parts = F.filter(F.transform(F.split("t", ","), T.trim), lambda p: (p != "") & (T.size(p) < 80))
-    return found.select("doc_id", parts.alias("keywords"))
+    return found.select("doc_id", "page", parts.alias("k")).filter(F.size("k") > 0).groupBy("doc_id").agg(F.min_by("k", "page").alias("keywords"))
 
 
-def counts(blocks: DataFrame, pages: int = 1) -> DataFrame:
-    """doc_id, pages, headings, tables, footnotes."""
+def counts(pieces: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id, pages, headings, tables, figures, footnotes of documents that have pieces: headings and figures as they are met, footnotes
+    that are left. pages: doc_id, pages."""
     kind = F.col("kind")
-    return blocks.groupBy("doc_id").agg(
-        F.lit(pages).cast("long").alias("pages"), F.count_if(kind == "Heading").alias("headings"), F.count_if(kind == "Table").alias("tables"), F.count_if(kind == "Footnote").alias("footnotes")
-    )
+    found = pieces.groupBy("doc_id").agg(
+        F.max("page").alias("last"), F.count_if(kind == "Heading").alias("headings"), F.count_if(kind == "Table").alias("tables"), F.count_if(kind.isin("Figure", "Caption", "Sixth")).alias("figures"),
+        F.count_if((kind == "Footnote") & ~F.col("cleared")).alias("footnotes"),
+    )
+    found = found.withColumn("pages", F.col("last") + 1) if pages is None else found.join(pages, "doc_id")
+    return found.select("doc_id", "pages", "headings", "tables", "figures", "footnotes")
 
 
 def markdown_of(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """doc_id, markdown: the body of each document; a block that repeats the title goes, footnotes follow as endnotes."""
     low = T.ascii_lower(F.col("text"))
     if titles is not None:
-        blocks = blocks.join(titles, "doc_id", "left").filter((F.coalesce("title", F.lit("")) == "") | (low != T.ascii_lower(F.col("title")))).drop("title")
+        blocks = blocks.join(titles, "doc_id", "left").filter((F.coalesce("title", F.lit("")) == "") | (T.ascii_lower(T.collapse(F.col("text"))) != T.ascii_lower(T.collapse(F.col("title"))))).drop("title")
     level = F.when(low == "abstract", 1).when(low.isin("keywords", "key words"), 2).otherwise(F.col("level"))
     body = F.when(F.col("kind") == "Heading", F.concat(T.heading_prefix(level), "text", F.lit("\n\n"))).when(F.col("kind") == "Paragraph", F.concat("text", F.lit("\n\n")))
     body = body.when(F.col("kind") == "Caption", F.concat(F.lit("**"), "text", F.lit("**\n\n"))).when(F.col("kind") == "ListItem", F.concat(F.lit("- "), "text", F.lit("\n"))).otherwise("")
@@ -100,9 +172,28 @@ def markdown_of(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame
     return held.select("doc_id", F.concat(joined, tail).alias("markdown"))
 
 
-def front_matter(title, authors, doi):
-    """The head of a document's Markdown: title, authors, address and DOI, quoted where YAML asks for it."""
-    listed = F.when(F.size(authors) > 0, F.array_join(F.transform(authors, lambda a: F.concat(F.lit("  - "), T.yaml_escape(a), F.lit("\n"))), "")).otherwise("  []\n")
-    url = F.when(doi != "", F.concat(F.lit("object-url: "), T.yaml_escape(F.concat(F.lit("https://doi.org/"), doi)), F.lit("\n"))).otherwise("")
-    named = F.when(doi != "", F.concat(F.lit("doi: "), T.yaml_escape(doi), F.lit("\n"))).otherwise("")
-    return F.concat(F.lit("---\ntitle: "), T.yaml_escape(title), F.lit("\nauthors:\n"), listed, url, F.lit("source-format: pdf\n"), named, F.lit("---\n\n"))
+def object_url(doi: Column) -> Column:
+    """Where a DOI leads; empty without one."""
+    return F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise("")
+
+
+def front_matter(meta: dict[str, Column], authors: Column, keywords: Column, abstract: Column) -> Column:
+    """The head of a document's Markdown, quoted where YAML asks for it. meta: title, and of FIELDS those that are known; a field whose
+    value is empty or null isn't written, the title and the source's format always are."""
+    some = lambda x: F.coalesce(x, F.lit(""))
+    out = [F.lit("---\ntitle: "), T.yaml_escape(some(meta["title"])), F.lit("\nauthors:\n")]
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("  - "), T.yaml_escape(x), F.lit("\n"))), "")
+    out.append(F.when(F.size(authors) > 0, listed(authors)).otherwise("  []\n"))
+    for name in FIELDS:
+        value = some(meta.get(name, F.lit("PDF" if name == "source-format" else "")))
+        line = F.concat(F.lit(f"{name}: "), T.yaml_escape(value), F.lit("\n"))
+        out.append(line if name == "source-format" else F.when(value != "", line).otherwise(""))
+    out.append(F.when(F.size(keywords) > 0, F.concat(F.lit("keywords:\n"), listed(keywords))).otherwise(""))
+    body = F.array_join(F.transform(F.split(F.regexp_replace(some(abstract), "\n$", ""), "\n"), lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), "")
+    out.append(F.when(some(abstract) != "", F.concat(F.lit("abstract: |\n"), body)).otherwise(""))
+    return F.concat(*out, F.lit("---\n\n"))
+
+
+def stats_record() -> Column:
+    """A document's statistics as JSON, of columns input, output, pages, headings, tables, figures, footnotes, title, doi."""
+    return F.to_json(F.struct("input", "output", "pages", "headings", "tables", "figures", "footnotes", "title", "doi"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from . import rules
 
 WIDTH, HEIGHT, BINS = 600.0, 800.0, 240
 PAGE = ["doc_id", "page"]
@@ -15,6 +16,8 @@ BAND, MARGIN, SIDEBAR, FOOTNOTE_ZONE = 0.06, 0.045, 0.30, 0.82
 MARGIN_WORDS = ["copyright", "american psychological association", "personal use", "disseminated broadly"]
 HEADER_WORDS = ["frontiers in", "communications of the acm", "addis and krasnow", "attitudes toward treatment manuals", "doi"]
 FOOTER_WORDS = ["frontiersin.org", "communications of the acm", "copyright", "permission to make digital"]
+RAIL_HEADS, RAIL_HEAD_WORDS = ["chin and kirkpatrick", "frontiersin.org"], ["10.3389/fpos.2023.1077945"]
+CONFERENCE_WORDS = ["permission to make digital", "ht'02", "copyright 2002 acm"]
 METADATA_WORDS = ["open access", "reviewed by", "edited by", "specialty section", "correspondence", "creative commons"]
 
 
@@ -42,58 +45,106 @@ def medians(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*PAGE).agg(upper_median(F.when(size > 0, size)).alias("median_font"), upper_median(F.when(height > 0, height)).alias("median_height"))
 
 
+def _covered(boxes: DataFrame) -> DataFrame:
+    """doc_id, page, held: first and last bin under each body box narrower than 0.6 of the page; pages of 30 such boxes or more."""
+    last = F.lit(BINS - 1)
+    bin_of = lambda x: F.least(last, F.greatest(F.lit(0), x)).cast("int")
+    narrow = boxes.filter((F.col("region") == "Body") & (F.col("x1") - F.col("x0") <= WIDTH * 0.60))
+    span = F.struct(bin_of(F.floor(F.col("x0") / WIDTH * BINS)).alias("lo"), bin_of(F.ceil(F.col("x1") / WIDTH * BINS)).alias("hi"))
+    return narrow.groupBy(*PAGE).agg(F.collect_list(span).alias("held")).filter(F.size("held") >= 30)
+
+
 def histogram(boxes: DataFrame) -> DataFrame:
-    """doc_id, page, bin, n: how many boxes narrower than 0.6 of the page cover each of BINS bins; pages of 30 such boxes or more."""
-    narrow = boxes.filter(F.col("x1") - F.col("x0") <= WIDTH * 0.60)
-    enough = narrow.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("k")).filter("k >= 30").select(*PAGE)
-    lo = F.greatest(F.lit(0), F.floor(F.col("x0") * BINS / WIDTH))
-    hi = F.least(F.lit(BINS), F.ceil(F.col("x1") * BINS / WIDTH)) - 1
-    covered = narrow.withColumn("bin", F.explode(F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int")))).groupBy(*PAGE, "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = enough.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
-    return grid.join(covered, [*PAGE, "bin"], "left").select(*PAGE, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    """doc_id, page, bin, n: how many narrow body boxes cover each of BINS bins, of boxes with region."""
+    every = F.concat(F.flatten(F.transform("held", lambda x: F.sequence(x["lo"], x["hi"]))), F.sequence(F.lit(0), F.lit(BINS - 1)))
+    return _covered(boxes).select(*PAGE, F.explode(every).alias("bin")).groupBy(*PAGE, "bin").agg((F.count(F.lit(1)) - 1).alias("n"))
 
 
-def column_cut(bins: DataFrame, least_gap: float = 12.0) -> DataFrame:
-    """doc_id, page, gap, cut: middle of the longest run of bins in the page's middle that one box at most covers; first of equals."""
-    free = bins.filter((F.col("bin") >= 67) & (F.col("bin") < 172) & (F.col("n") <= 1))
-    runs = free.withColumn("island", F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))).groupBy(*PAGE, "island").agg(F.min("bin").alias("a"), F.count(F.lit(1)).alias("k"))
-    best = runs.groupBy(*PAGE).agg(F.max(F.struct("k", (-F.col("a")).alias("a"))).alias("r"))
-    gap, cut = F.col("r.k") * WIDTH / BINS, (-F.col("r.a") * 2 + F.col("r.k")) * WIDTH / BINS / 2
-    return best.select(*PAGE, gap.alias("gap"), cut.alias("cut")).filter(F.col("gap") >= least_gap)
+def widest_gap(held: Column) -> Column:
+    """(length, start) of the longest run of bins in the page's middle that one box at most covers; first of equals; 0 if none.
 
+    The ends of boxes are put in order and read once: between two of them the number of boxes over the page is the same."""
+    lo, hi = int(BINS * 0.28), int(BINS * 0.72)
+    clip = lambda x: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+    ends = F.flatten(F.transform(held, lambda x: F.array(F.struct(clip(x["lo"]).alias("at"), F.lit(1).alias("d")), F.struct(clip(x["hi"] + 1).alias("at"), F.lit(-1).alias("d")))))
+    order = F.array_sort(F.concat(ends, F.array(F.struct(F.lit(hi).alias("at"), F.lit(0).alias("d")))))
+    none = F.struct(F.lit(lo).alias("at"), F.lit(0).alias("n"), F.lit(lo).alias("start"), F.lit(0).alias("k"), F.lit(0).alias("a"))
 
-def gap_column(boxes: DataFrame, least_gap: float = 12.0) -> DataFrame:
-    """doc_id, page, cut: the gap between sorted starts nearest the middle, if over 15 boxes lie on either side; pages of 20 boxes."""
-    order = Window.partitionBy(*PAGE).orderBy("x0", "box_id")
-    gaps = boxes.withColumn("before", F.lag("x0").over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy(*PAGE)))
-    mid = (F.col("before") + F.col("x0")) / 2
-    found = gaps.filter((F.col("all") >= 20) & (F.col("x0") - F.col("before") >= least_gap)).withColumn("m", mid).filter((F.col("m") > 0.28 * WIDTH) & (F.col("m") < 0.72 * WIDTH))
-    cuts = found.groupBy(*PAGE).agg(F.min(F.struct(F.abs(F.col("m") - WIDTH / 2).alias("d"), "m")).alias("c")).select(*PAGE, F.col("c.m").alias("cut"))
-    sides = boxes.join(cuts, PAGE).groupBy(*PAGE, "cut").agg(F.count_if(F.col("x0") < F.col("cut")).alias("l"), F.count_if(F.col("x0") >= F.col("cut")).alias("r"))
-    return sides.filter("l > 15 AND r > 15").select(*PAGE, "cut")
+    def step(acc: Column, x: Column) -> Column:
+        # the run that ends here: bins from acc.start on if they are free, else none
+        start = F.when(acc["n"] > 1, x["at"]).otherwise(acc["start"])
+        longer = x["at"] - start > acc["k"]
+        return F.struct(
+            x["at"].alias("at"), (acc["n"] + x["d"]).alias("n"), start.alias("start"),
+            F.when(longer, x["at"] - start).otherwise(acc["k"]).alias("k"), F.when(longer, start).otherwise(acc["a"]).alias("a"),
+        )
+
+    return F.aggregate(order, none, step, lambda acc: F.struct(acc["k"].alias("k"), acc["a"].alias("a")))
+
+
+def column_cut(boxes: DataFrame, least_gap: float = 12.0) -> DataFrame:
+    """doc_id, page, gap, cut: middle of the widest gap between columns, of boxes with region."""
+    found = _covered(boxes).select(*PAGE, widest_gap(F.col("held")).alias("r"))
+    gap, cut = F.col("r.k") * WIDTH / BINS, (F.col("r.a") * 2 + F.col("r.k")) * 0.5 / BINS * WIDTH
+    return found.select(*PAGE, gap.alias("gap"), cut.alias("cut")).filter((F.col("r.k") > 0) & (F.col("gap") >= least_gap))
 
 
-def footnote_start(boxes: DataFrame, middle: DataFrame) -> DataFrame:
-    """doc_id, page, start_left, start_right: the top of small short numbers at a column's start, low on the page; HEIGHT + 1 if none."""
-    x = F.col("x0") / WIDTH
-    small = (F.col("median_height") <= 0) | (F.col("y1") - F.col("y0") <= F.col("median_height") * 0.82)
-    rows = boxes.join(middle, PAGE).withColumn("hit", T.is_digits(F.col("text")) & (T.size(F.col("text")) <= 2) & (F.col("y0") >= HEIGHT * 0.68) & small & ((x < 0.15) | (F.abs(x - 0.53) < 0.055)))
+def gap_column(boxes: DataFrame, least_gap: float = 12.0) -> DataFrame:
+    """doc_id, page, cut: middle of the gap between sorted starts nearest the page's middle, whose right end lies in the middle, if over 15
+    boxes' centres lie on either side; pages of 20 boxes."""
+    page = Window.partitionBy(*PAGE)
+    gaps = boxes.withColumn("before", F.lag("x0").over(page.orderBy("x0", "box_id"))).withColumn("all", F.count(F.lit(1)).over(page))
+    wide = (F.col("all") >= 20) & (F.col("x0") - F.col("before") >= least_gap) & (F.col("x0") > 0.28 * WIDTH) & (F.col("x0") < 0.72 * WIDTH)
+    mid = (F.col("before") + F.col("x0")) / 2
+    near = F.min(F.when(wide, F.struct(F.abs(mid - WIDTH / 2).alias("d"), mid.alias("m")))).over(page)
+    sides = gaps.select(*PAGE, cx().alias("c"), near["m"].alias("cut")).filter("cut IS NOT NULL")
+    counts = sides.groupBy(*PAGE, "cut").agg(F.count_if(F.col("c") < F.col("cut")).alias("l"), F.count_if(F.col("c") >= F.col("cut")).alias("r"))
+    return counts.filter("l > 15 AND r > 15").select(*PAGE, "cut")
+
+
+def box_quality(boxes: DataFrame) -> DataFrame:
+    """doc_id, page, quality of body boxes: 0 under 40 bytes or 8 words, else 1 less four times the suspect share, 0.25 at least. A word over
+    24 bytes counts once, one with a bad byte twice."""
+    words = F.filter(T.words(F.col("text")), lambda w: w != "")
+    bad = F.aggregate(words, F.lit(0), lambda acc, w: acc + (T.size(w) > 24).cast("int") + T.has_suspect_byte(w).cast("int") * 2)
+    body = boxes.groupBy(*PAGE).agg(*[F.sum(F.when(F.col("region") == "Body", x).otherwise(0)).alias(n) for n, x in (("bytes", T.size(F.col("text"))), ("words", F.size(words)), ("bad", bad))])
+    share = F.least(F.lit(0.75), F.col("bad").cast("double") / F.col("words") * 4.0)
+    return body.select(*PAGE, F.when((F.col("bytes") < 40) | (F.col("words") < 8), 0.0).otherwise(1.0 - share).alias("quality"))
+
+
+def is_note_number(middle: Column) -> Column:
+    """Small short numbers at a column's start, low on the page."""
+    x, y0 = F.col("x0") / WIDTH, F.col("y0")
+    small = (middle <= 0) | (F.col("y1") - y0 <= middle * 0.82)
+    return T.is_digits(F.col("text")) & (T.size(F.col("text")) <= 2) & (y0 >= HEIGHT * 0.68) & small & ((x < 0.15) | (F.abs(x - 0.53) < 0.055))
+
+
+def footnote_start(boxes: DataFrame) -> DataFrame:
+    """doc_id, page, start_left, start_right: the top of a half page's footnotes by their numbers; HEIGHT + 1 if none."""
+    page = Window.partitionBy(*PAGE)
+    rows = middle_of(F.col("height"), page, "median_height", boxes.withColumn("height", F.col("y1") - F.col("y0")))
+    rows = rows.withColumn("hit", is_note_number(F.col("median_height")))
     top = lambda side: F.coalesce(F.min(F.when(F.col("hit") & side, F.col("y0"))), F.lit(HEIGHT + 1))
     return rows.groupBy(*PAGE).agg(top(is_left()).alias("start_left"), top(~is_left()).alias("start_right"))
 
 
+SEED, NUMBER = r"(?i)^(figure|fig\.|table)(?:\s+\d+[a-z]?[\.:]?)?$", r"^\d+[A-Za-z]?[\.:]?$"
+
+
+def with_seeds(boxes: DataFrame) -> DataFrame:
+    """boxes with left and seed: the words figure, fig. and table with a number close to the right on their row and nothing to the left.
+    A row is a range of y over the half page, so its boxes meet in one window."""
+    row = "OVER (PARTITION BY doc_id, page, `left` ORDER BY y0 RANGE BETWEEN 2.5D PRECEDING AND 2.5D FOLLOWING)"
+    rows = boxes.withColumn("left", is_left()).withColumn("named", F.col("text").rlike(SEED)).withColumn("number_at", F.when(F.col("text").rlike(NUMBER), F.col("x0")))
+    rows = rows.withColumn("numbers", F.expr(f"collect_list(number_at) {row}")).withColumn("first", F.expr(f"min(x1) {row}"))
+    after = F.exists("numbers", lambda x: (x > F.col("x1")) & (x - F.col("x1") < 45))
+    seed = F.col("named") & (after | F.col("text").rlike(r"\d")) & ~(F.col("first") < F.col("x0"))
+    return rows.withColumn("seed", F.coalesce(seed, F.lit(False))).drop("named", "number_at", "numbers", "first")
+
+
 def caption_seeds(boxes: DataFrame) -> DataFrame:
-    """doc_id, page, box_id of the words figure, fig. and table with a number close to the right on their row and nothing to the
-    left. Only such words meet the boxes of their half page, by an equi-join."""
-    half = boxes.withColumn("left", is_left())
-    seeds = half.filter(F.col("text").rlike(r"(?i)^(figure|fig\.|table)(?:\s+\d+[a-z]?[\.:]?)?$"))
-    s, o = seeds.alias("s"), half.alias("o")
-    near = (F.abs(F.col("o.y0") - F.col("s.y0")) <= 2.5) & (F.col("o.box_id") != F.col("s.box_id"))
-    pairs = s.join(o, (F.col("s.doc_id") == F.col("o.doc_id")) & (F.col("s.page") == F.col("o.page")) & (F.col("s.left") == F.col("o.left")) & near, "left")
-    after = (F.col("o.x0") > F.col("s.x1")) & (F.col("o.x0") - F.col("s.x1") < 45) & F.col("o.text").rlike(r"^\d+[A-Za-z]?[\.:]?$")
-    own = F.col("s.text").rlike(r"\d")
-    found = pairs.groupBy("s.doc_id", "s.page", "s.box_id").agg(F.max(F.coalesce(after, F.lit(False)) | own).alias("number"), F.max(F.coalesce(F.col("o.x1") < F.col("s.x0"), F.lit(False))).alias("before"))
-    return found.filter("number AND NOT before").select("doc_id", "page", "box_id")
+    """doc_id, page, box_id of caption seeds."""
+    return with_seeds(boxes).filter("seed").select(*PAGE, "box_id")
 
 
 def override_hits(boxes: DataFrame, regions: DataFrame) -> DataFrame:
@@ -111,48 +162,105 @@ def page_points(regions: DataFrame) -> DataFrame:
     return regions.select("page", "region_ord", "role", F.least(*x).alias("x0"), F.least(*y).alias("y0"), F.greatest(*x).alias("x1"), F.greatest(*y).alias("y1"))
 
 
-def classify(boxes: DataFrame, family: str = "generic") -> DataFrame:
-    """boxes with region: the first rule that holds; pages take their medians, footnote starts and caption seeds by joins."""
-    middle = medians(boxes)
-    rows = boxes.join(middle, PAGE).join(footnote_start(boxes, middle), PAGE)
-    rows = rows.join(caption_seeds(boxes).withColumn("seed", F.lit(True)), [*PAGE, "box_id"], "left")
+def middle_of(x: Column, page, tag: str, rows: DataFrame) -> DataFrame:
+    """rows with the upper median of x over its page, of values above 0; 0 if none. Ranks within the page, so that no row holds a list."""
+    some = F.when(x > 0, x)
+    ranked = rows.withColumn("some", some).withColumn("rank", F.row_number().over(page.orderBy(F.col("some").asc_nulls_last()))).withColumn("all", F.count("some").over(page))
+    at = F.max(F.when(F.col("rank") - 1 == F.floor(F.col("all") / 2), F.col("some"))).over(page)
+    return ranked.withColumn(tag, F.coalesce(at, F.lit(0.0))).drop("some", "rank", "all")
+
+
+def role_of(page: Column, overrides: dict) -> Column:
+    """The role of the first override region of the page that holds the box's centre; null if none."""
+    role = F.lit(None).cast("string")
+    for number, entry in overrides.items():
+        for r in reversed(entry["regions"]):
+            w, h = (WIDTH, HEIGHT) if r["fractional"] else (1.0, 1.0)
+            x = sorted((r["box"][0] * w, r["box"][2] * w))
+            y = sorted((v * h if r["top_origin"] else HEIGHT - v * h) for v in (r["box"][1], r["box"][3]))
+            role = F.when((page == number) & cx().between(*x) & cy().between(*y), rules.region_kind(F.lit(r["role"]))).otherwise(role)
+    return role
+
+
+def classify(boxes: DataFrame, overrides: dict | None = None) -> DataFrame:
+    """boxes with region and median_height: the first rule that holds. Layout families come from a column `family`, generic if there is
+    none; overrides by page as `settings.overrides` gives them. Medians, footnote starts and caption seeds are windows over the page and
+    its halves, so boxes are dealt once, by document and page."""
+    if "family" not in boxes.columns:
+        boxes = boxes.withColumn("family", F.lit("generic"))
+    overrides = overrides or {}
+    page = Window.partitionBy(*PAGE)
     low, y0, y1 = T.ascii_lower(F.col("text")), F.col("y0"), F.col("y1")
+    rows = boxes.withColumn("height", F.col("y1") - F.col("y0"))
+    rows = middle_of(F.col("font_size"), page, "median_font", rows)
+    rows = middle_of(F.col("height"), page, "median_height", rows)
+    rows = rows.withColumn("note", is_note_number(F.col("median_height")))
+    for side, half in (("left", is_left()), ("right", ~is_left())):
+        rows = rows.withColumn(f"start_{side}", F.coalesce(F.min(F.when(F.col("note") & half, y0)).over(page), F.lit(HEIGHT + 1)))
+    rows = with_seeds(rows)
     start = F.when(is_left(), F.col("start_left")).otherwise(F.col("start_right"))
     edge = (F.col("x0") < WIDTH * MARGIN) | (F.col("x1") > WIDTH * (1 - MARGIN))
     number = T.is_digits(F.col("text"))
-    frontiers, rail = F.lit(family == "frontiers"), F.lit(family == "frontiers") & (F.col("page") == 0)
-    wrapper = F.lit(family in ("acm", "magazine")) & (F.col("page") == 0)
+    family = F.col("family")
+    rail, acm, first = family == "frontiers", family == "acm", F.col("page") == 0
+    keeps = F.col("page").isin([p for p, x in overrides.items() if x["keep_captions"]])
+    role = role_of(F.col("page"), overrides)
+    font, middle = F.col("font_size"), F.col("median_font")
     region = (
-        F.when(wrapper, "Wrapper")
+        F.when(rules.is_wrapper(family, F.col("page")), "Wrapper")
         .when(F.col("text") == "", "Metadata")
+        .when(role.isNotNull(), role)
+        .when(rail & (low.isin(RAIL_HEADS) | T.contains_any(low, RAIL_HEAD_WORDS)), "Header")
         .when((F.col("rotation") != 0) | (edge & T.contains_any(low, MARGIN_WORDS)), "MarginOverlay")
-        .when(frontiers & (F.col("page") > 0) & (y0 < HEIGHT * BAND), "Header")
+        .when(rail & ~first & (y0 < HEIGHT * BAND), "Header")
         .when((y0 < HEIGHT * BAND) & (number | T.contains_any(low, HEADER_WORDS)), "Header")
         .when((y1 > HEIGHT * (1 - BAND)) & (number | T.contains_any(low, FOOTER_WORDS)), "Footer")
-        .when(F.coalesce("seed", F.lit(False)) & F.lit(family != "acm"), "Float")
+        .when(F.col("seed") & ~acm & ~keeps, "Float")
         .when((start <= HEIGHT) & (y0 >= start - 1.0), "Footnote")
-        .when(rail & (F.col("x1") <= WIDTH * SIDEBAR), "Sidebar")
-        .when(rail & (F.col("x0") > WIDTH * SIDEBAR) & (y0 > HEIGHT * 0.72), "Footnote")
+        .when(rail & first & (F.col("x1") <= WIDTH * SIDEBAR), "Sidebar")
+        .when(rail & first & (F.col("x0") > WIDTH * SIDEBAR) & (y0 > HEIGHT * 0.72), "Footnote")
         .when(T.contains_any(low, METADATA_WORDS), "Metadata")
-        .when((y0 > HEIGHT * FOOTNOTE_ZONE) & (F.col("median_font") > 0) & (F.col("font_size") > 0) & (F.col("font_size") < F.col("median_font") * 0.82), "Footnote")
+        .when(acm & T.contains_any(low, CONFERENCE_WORDS), "Metadata")
+        .when((family == "scan") & first & (y0 > HEIGHT * 0.72) & (F.col("x1") < WIDTH * 0.50) & ((middle == 0) | (font < middle * 0.90)), "AuthorNote")
+        .when((y0 > HEIGHT * FOOTNOTE_ZONE) & (middle > 0) & (font > 0) & (font < middle * 0.82), "Footnote")
         .otherwise("Body")
     )
-    return rows.withColumn("region", region).drop("seed", "start_left", "start_right", "median_font")
+    return rows.withColumn("region", region).drop("seed", "left", "note", "height", "start_left", "start_right", "median_font")
 
 
 def float_islands(boxes: DataFrame) -> DataFrame:
-    """boxes (with region, median_height) in which rows below a caption seed, up to the first wide gap in its half page, are Float."""
-    half = boxes.withColumn("left", is_left())
-    seeds = half.filter("region = 'Float'").select(*PAGE, "left", F.col("y0").alias("start"), "median_height").distinct()
-    rows = half.select(*PAGE, "left", "y0").distinct()
-    wide = F.greatest(F.lit(18.0), F.col("median_height") * 1.8)
-    down = seeds.join(rows, [*PAGE, "left"]).filter("y0 >= start")
-    order = Window.partitionBy(*PAGE, "left", "start").orderBy("y0")
-    down = down.withColumn("gap", F.col("y0") - F.coalesce(F.lag("y0").over(order), F.col("start")) > wide).withColumn("broken", F.max("gap").over(order)).filter("NOT broken")
-    bands = down.groupBy(*PAGE, "left", "start").agg((F.max("y0") + F.max("median_height") * 1.2).alias("finish"))
-    inside = half.join(bands, [*PAGE, "left"]).filter((F.col("y0") >= F.col("start") - 2) & (F.col("y0") <= F.col("finish"))).select(*PAGE, "box_id").distinct().withColumn("island", F.lit(True))
-    out = boxes.join(inside, [*PAGE, "box_id"], "left")
-    return out.withColumn("region", F.when(F.col("island"), "Float").otherwise(F.col("region"))).drop("island")
+    """boxes (with region, median_height) in which rows below a caption seed, up to the first wide gap in its half page, are Float.
+
+    Rows within 2 points of the last are one. A half page's bands are read once, at its first box, from its seeds and rows; wrapper
+    pages have no seeds."""
+    half = Window.partitionBy(*PAGE, "left")
+    rows = boxes.withColumn("left", is_left()).withColumn("seeded", F.max(F.col("region") == "Float").over(half))
+    rows = rows.withColumn("at", F.row_number().over(half.orderBy("y0", "box_id")))
+    own = Window.partitionBy(*PAGE, "left").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("starts", F.collect_set(F.when(F.col("region") == "Float", F.col("y0"))).over(half))
+    rows = rows.withColumn("tops", F.collect_set(F.when(F.col("seeded"), F.col("y0"))).over(half))
+    height = F.col("median_height")
+    wide = F.greatest(F.lit(18.0), height * 1.8)
+
+    def band(start: Column) -> Column:
+        tops = F.array_sort(F.filter("tops", lambda y: y + 1.0 >= start))
+        begun = F.struct((start + F.greatest(F.lit(18.0), height * 2.0)).alias("finish"), start.alias("last"), F.lit(None).cast("double").alias("kept"), F.lit(False).alias("over"))
+
+        def step(acc: Column, y: Column) -> Column:
+            same = F.coalesce(F.abs(acc["kept"] - y) <= 2.0, F.lit(False))
+            read = ~same & ~acc["over"] & (y >= start)
+            ends = read & (y - acc["last"] > wide)
+            goes = read & ~ends
+            return F.struct(
+                F.when(goes, y + height * 1.2).otherwise(acc["finish"]).alias("finish"), F.when(goes, y).otherwise(acc["last"]).alias("last"),
+                F.when(same, acc["kept"]).otherwise(y).alias("kept"), (acc["over"] | ends).alias("over"),
+            )
+
+        return F.struct((start - 2.0).alias("a"), F.aggregate(tops, begun, step, lambda acc: acc["finish"]).alias("z"))
+
+    rows = rows.withColumn("bands", F.first(F.when((F.col("at") == 1) & F.col("seeded"), F.transform("starts", band)), ignorenulls=True).over(own))
+    inside = F.exists("bands", lambda x: F.col("y0").between(x["a"], x["z"]))
+    return rows.withColumn("region", F.when(F.coalesce(inside, F.lit(False)), "Float").otherwise(F.col("region"))).drop("left", "seeded", "at", "starts", "tops", "bands")
 
 
 def visual_lines(boxes: DataFrame) -> DataFrame:
@@ -171,14 +279,72 @@ def attached(words: Column) -> Column:
     return F.aggregate(words, F.lit(""), lambda acc, w: F.when((acc == "") | lean(w) | acc.endswith("-"), F.concat(acc, w)).otherwise(F.concat(acc, F.lit(" "), w)))
 
 
-def linearize(boxes: DataFrame, cuts: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """doc_id, page, line_no, text of body boxes in reading order: left column, then right, wide boxes first where a cut is known.
-    A line goes on while a box lies within `tolerance` of the box before it; exact where rows are level."""
-    rows = boxes.filter("region = 'Body'").join(cuts.select(*PAGE, "cut"), PAGE, "left")
+def linearize(boxes: DataFrame, tolerance: float = 2.5, least_gap: float = 12.0, overrides: dict | None = None) -> DataFrame:
+    """doc_id, page, line_no, text of body boxes (with region and family) in reading order: boxes over 0.6 of the page, then the left
+    column, then the right, where the page has a cut. Magazine, conference and scanned pages are cut at their widest gap, rail pages
+    from the third on in the middle, others not; an override's cut comes first.
+
+    Boxes within 1.5 points of the first of their row go by x; a line goes on while a box lies within `tolerance` of the line's first
+    box. Both are read once along the page's boxes, so that drifting rows end where they should."""
+    if "family" not in boxes.columns:
+        boxes = boxes.withColumn("family", F.lit("generic"))
+    body = boxes.filter("region = 'Body'")
+    last = F.lit(BINS - 1)
+    bin_of = lambda x: F.least(last, F.greatest(F.lit(0), x)).cast("int")
     wide = F.col("x1") - F.col("x0") > WIDTH * 0.60
-    rows = rows.withColumn("column", F.when(F.col("cut").isNull(), 0).when(wide, -1).when(cx() < F.col("cut"), 0).otherwise(1))
-    order = Window.partitionBy(*PAGE).orderBy("column", "y0", "x0", "box_id")
-    new = (F.abs(F.col("y0") - F.lag("y0").over(order)) > tolerance) | (F.col("column") != F.lag("column").over(order))
-    runs = rows.withColumn("new", F.coalesce(new, F.lit(True))).withColumn("line_no", F.sum(F.col("new").cast("int")).over(order) - 1)
-    held = runs.groupBy(*PAGE, "line_no").agg(F.sort_array(F.collect_list(F.struct("x0", "box_id", "text"))).alias("b"))
-    return held.select(*PAGE, "line_no", attached(F.transform("b", lambda x: x["text"])).alias("text"))
+    span = F.when(~wide, F.struct(bin_of(F.floor(F.col("x0") / WIDTH * BINS)).alias("lo"), bin_of(F.ceil(F.col("x1") / WIDTH * BINS)).alias("hi")))
+    pages = body.groupBy(*PAGE).agg(
+        F.min("family").alias("family"), F.collect_list(span).alias("held"),
+        F.collect_list(F.struct("y0", "x0", "box_id", cx().alias("cx"), wide.alias("wide"), "text")).alias("b"),
+    )
+    by_gap = F.when(F.col("family").isin("magazine", "acm", "scan") & (F.size("held") >= 30), widest_gap(F.col("held")))
+    pages = pages.withColumn("r", by_gap)
+    cut = F.when((F.col("r.k") > 0) & (F.col("r.k") * WIDTH / BINS >= least_gap), (F.col("r.a") * 2 + F.col("r.k")) * 0.5 / BINS * WIDTH)
+    cut = F.when((F.col("family") == "frontiers") & (F.col("page") >= 2), WIDTH * 0.5).otherwise(cut)
+    for number, entry in (overrides or {}).items():
+        if entry["column_cut"] is not None:
+            cut = F.when(F.col("page") == number, F.lit(float(entry["column_cut"]) * (WIDTH if entry["cut_fractional"] else 1.0))).otherwise(cut)
+    rows = pages.withColumn("cut", cut).select(*PAGE, "cut", F.explode("b").alias("x")).select(*PAGE, "cut", "x.*")
+    rows = rows.withColumn("column", F.when(F.col("cut").isNull(), 0).when(F.col("wide"), -1).when(F.col("cx") >= F.col("cut"), 1).otherwise(0))
+    parts = _reading(rows, 1.5, tolerance)
+    text = T.collapse(attached(F.transform("b", lambda x: x["text"])))
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("column", "at")) - 1
+    return parts.select(*PAGE, number.alias("line_no"), text.alias("text"))
+
+
+def _reading(rows: DataFrame, level: float, tolerance: float) -> DataFrame:
+    """doc_id, page, column, at, b: the boxes of each line, of rows with a column. All keys hold the page's, so nothing is dealt again."""
+    held = rows.groupBy(*PAGE, "column").agg(F.array_sort(F.collect_set("y0")).alias("tops"), F.collect_list(F.struct("y0", "x0", "box_id", "text")).alias("b"))
+    held = held.withColumn("firsts", _firsts("tops", level))
+    placed = held.select(*PAGE, "column", "firsts", F.explode("b").alias("x")).select(*PAGE, "column", "x.*", F.size(F.filter("firsts", lambda y: y <= F.col("x.y0"))).alias("row"))
+    order = F.array_sort(F.collect_list(F.struct("row", "x0", "box_id", "y0", "text")))
+    lines = placed.groupBy(*PAGE, "column").agg(order.alias("b")).withColumn("line", _lines(tolerance))
+    parts = lines.select(*PAGE, "column", F.explode(F.arrays_zip("line", "b")).alias("z")).groupBy(*PAGE, "column", F.col("z.line").alias("at"))
+    return parts.agg(F.array_sort(F.collect_list(F.struct("z.b.row", "z.b.x0", "z.b.box_id", "z.b.text"))).alias("b"))
+
+
+def _firsts(tops: str, tolerance: float) -> Column:
+    """Of sorted numbers those that start a group: each lies over `tolerance` from the one that started the last."""
+    start = F.array().cast("array<double>")
+    return F.aggregate(tops, start, lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > tolerance), F.concat(acc, F.array(y))).otherwise(acc))
+
+
+def _lines(tolerance: float) -> Column:
+    """The line of each box in b: a box further from the line's first than `tolerance` starts the next."""
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.coalesce(F.abs(x["y0"] - acc["first"]) > tolerance, F.lit(True))
+        n = acc["n"] + new.cast("int")
+        return F.struct(F.when(new, x["y0"]).otherwise(acc["first"]).alias("first"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
+
+    return F.aggregate("b", start, step, lambda acc: acc["out"])
+
+
+def merged_lines(boxes: DataFrame, columns: DataFrame, tolerance: float = 2.5, top_is_high: bool = False) -> DataFrame:
+    """doc_id, page, line_no, text: boxes by column and row, without regions or punctuation rules. columns: doc_id, page, cut."""
+    rows = boxes.join(columns.select(*PAGE, "cut"), PAGE, "left").withColumn("column", F.coalesce((cx() >= F.col("cut")).cast("int"), F.lit(0)))
+    parts = _reading(rows.withColumn("y0", -F.col("y0")) if top_is_high else rows, 1.0, tolerance)
+    joined = F.aggregate(F.transform("b", lambda x: x["text"]), F.lit(""), lambda acc, w: F.when((acc == "") | acc.endswith("-"), F.concat(acc, w)).otherwise(F.concat(acc, F.lit(" "), w)))
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("column", "at")) - 1
+    return parts.select(*PAGE, number.alias("line_no"), T.collapse(joined).alias("text"))

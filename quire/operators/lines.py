@@ -15,7 +15,7 @@ def physical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def cleaned(raw: Column) -> Column:
-    return T.detach_footnote(T.collapse(T.normalize_typography(F.replace(raw, F.lit("\f"), F.lit("")))))
+    return T.detach_footnote(T.trim(T.normalize_typography(F.replace(raw, F.lit("\f"), F.lit("")))))
 
 
 def stream_lines(lines: DataFrame) -> DataFrame:
@@ -27,29 +27,29 @@ def stream_lines(lines: DataFrame) -> DataFrame:
     return join_runs(rows, "joins", "t")
 
 
-def join_runs(rows: DataFrame, joins: str, text: str) -> DataFrame:
+def join_runs(rows: DataFrame, joins: str, text: str, key: tuple = ("doc_id",)) -> DataFrame:
     """Lines whose `joins` is set are appended to the line before, whose hyphen goes; line_no is that of a run's first line."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
+    order = Window.partitionBy(*key).orderBy("line_no")
     runs = rows.withColumn("run", F.sum((~F.col(joins)).cast("int")).over(order))
-    parts = runs.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("line_no", text))).alias("p"))
+    parts = runs.groupBy(*key, "run").agg(F.sort_array(F.collect_list(F.struct("line_no", text))).alias("p"))
     joined = F.aggregate("p", F.lit(""), lambda acc, x: F.concat(F.regexp_replace(acc, "-$", ""), x[text]))
-    return parts.select("doc_id", F.col("p")[0]["line_no"].alias("line_no"), joined.alias("text"))
+    return parts.select(*key, F.col("p")[0]["line_no"].alias("line_no"), joined.alias("text"))
 
 
-def rejoin_hyphens(lines: DataFrame) -> DataFrame:
+def rejoin_hyphens(lines: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
     """The whole chain of lines that end in a hyphen and go on in lower case."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
+    order = Window.partitionBy(*key).orderBy("line_no")
     rows = lines.withColumn("joins", F.coalesce(F.lag("text").over(order).endswith("-") & F.col("text").rlike("^[a-z]"), F.lit(False)))
-    return join_runs(rows, "joins", "text")
+    return join_runs(rows, "joins", "text", key)
 
 
-def stitch_pairs(lines: DataFrame) -> DataFrame:
+def stitch_pairs(lines: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
     """One pass of joins in which a line that was taken on can't take on the next: a chain joins pair by pair."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
+    order = Window.partitionBy(*key).orderBy("line_no")
     rows = lines.withColumn("can", F.coalesce(F.lag("text").over(order).endswith("-") & F.col("text").rlike("^[a-z]"), F.lit(False)))
     rows = rows.withColumn("chain", F.sum((~F.col("can")).cast("int")).over(order))
-    at = F.row_number().over(Window.partitionBy("doc_id", "chain").orderBy("line_no"))
-    return join_runs(rows.withColumn("joins", F.col("can") & (at % 2 == 0)), "joins", "text")
+    at = F.row_number().over(Window.partitionBy(*key, "chain").orderBy("line_no"))
+    return join_runs(rows.withColumn("joins", F.col("can") & (at % 2 == 0)), "joins", "text", key)
 
 
 def without_chrome(lines: DataFrame) -> DataFrame:
@@ -63,21 +63,24 @@ def renumbered(lines: DataFrame) -> DataFrame:
     return lines.withColumn("y0", (n * 12).cast("double")).withColumn("y1", (n * 12 + 10).cast("double"))
 
 
-def merge_paragraphs(blocks: DataFrame) -> DataFrame:
-    """Paragraphs that follow one whose text doesn't end a sentence are appended to it; other kinds stand between."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
+def merge_paragraphs(blocks: DataFrame, key: tuple = ("doc_id",), at: str = "line_no") -> DataFrame:
+    """Paragraphs that follow one whose text doesn't end a sentence are appended to it, whose hyphen goes; other kinds stand between."""
+    order = Window.partitionBy(*key).orderBy(at)
     before = (F.lag("kind").over(order) == "Paragraph") & ~T.ends_sentence(F.lag("text").over(order))
     rows = blocks.withColumn("follows", F.coalesce((F.col("kind") == "Paragraph") & before, F.lit(False)))
     rows = rows.withColumn("run", F.sum((~F.col("follows")).cast("int")).over(order))
-    parts = rows.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "text"))).alias("p"))
-    joined = F.aggregate("p", F.lit(""), lambda acc, x: F.when(acc == "", x["text"]).when(acc.endswith("-"), F.concat(acc, x["text"])).otherwise(F.concat(acc, F.lit(" "), x["text"])))
-    return parts.select("doc_id", F.col("p")[0]["line_no"].alias("line_no"), F.col("p")[0]["kind"].alias("kind"), joined.alias("text"))
-
-
-def quality(lines: DataFrame) -> DataFrame:
-    """doc_id, words, suspect, quality: 0 under 8 words, else 1 less four times the share of suspect words, 0.25 at least."""
-    word = lines.select("doc_id", F.explode_outer(T.words(F.col("text"))).alias("w"))
-    counts = word.groupBy("doc_id").agg(F.count("w").alias("words"), F.count_if(T.is_suspect(F.col("w"))).alias("suspect"))
+    rest = [c for c in blocks.columns if c not in (*key, at, "kind", "text")]
+    parts = rows.groupBy(*key, "run").agg(F.sort_array(F.collect_list(F.struct(at, "kind", "text", *rest))).alias("p"))
+    joined = F.aggregate("p", F.lit(""), lambda acc, x: T.appended(acc, x["text"]))
+    return parts.select(*key, *[F.col("p")[0][c].alias(c) for c in (at, "kind", *rest)], joined.alias("text"))
+
+
+def quality(lines: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
+    """key, words, suspect, quality: 0 under 8 words, else 1 less four times the share of suspect words, 0.25 at least. Words are counted
+    within their line, so that only lines' sums are dealt."""
+    words = T.words(F.col("text"))
+    bad = F.size(F.filter(words, T.is_suspect))
+    counts = lines.groupBy(*key).agg(F.coalesce(F.sum(F.size(words)), F.lit(0)).alias("words"), F.coalesce(F.sum(bad), F.lit(0)).alias("suspect"))
     share = F.least(F.lit(0.75), F.lit(4.0) * F.col("suspect") / F.col("words"))
     return counts.withColumn("quality", F.when(F.col("words") < 8, F.lit(0.0)).otherwise(F.lit(1.0) - share))
 

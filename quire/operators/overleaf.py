@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from . import rules
 from .layout import PAGE, WIDTH, cx, cy
-from .streams import references_active
 
 # Words of one document's diagram, and phrases of forms behind the references.
 DIAGRAM_WORDS = ["biotechnography", "bi ot echnogr"]
@@ -47,21 +46,21 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
 
 
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc_id, page, block_no, kind, text): a page's last paragraph that doesn't end a sentence takes on the next page's first."""
+    """Blocks (doc_id, page, block_no, kind, text): a page's last paragraph that doesn't end a sentence takes on the next page's first; its
+    hyphen goes."""
     plain = F.col("kind") == "Paragraph"
     met = carried(blocks, "block_no", plain & ~T.ends_sentence(F.col("text")), plain)
-    gap = F.when((F.col("text") == "") | F.col("text").endswith("-"), "").otherwise(" ")
-    return met.withColumn("text", F.when(F.col("taken").isNull(), F.col("text")).otherwise(F.concat("text", gap, "taken"))).drop("taken")
+    return met.withColumn("text", F.when(F.col("taken").isNull(), F.col("text")).otherwise(T.appended(F.col("text"), F.col("taken")))).drop("taken")
 
 
-def without_diagrams(blocks: DataFrame) -> DataFrame:
+def without_diagrams(blocks: DataFrame, where: Column | None = None) -> DataFrame:
     """Blocks (doc_id, block_no, kind, text) without those from a paragraph with one of DIAGRAM_WORDS to the next caption; that
-    paragraph keeps what stands before the word."""
+    paragraph keeps what stands before the word. where: of which documents."""
     low = T.ascii_lower(F.col("text"))
     place = F.lit(0)
     for word in reversed(DIAGRAM_WORDS):
         place = F.when(low.contains(word), F.instr(low, word)).otherwise(place)
-    rows = blocks.withColumn("place", F.when(F.col("kind") == "Paragraph", place).otherwise(0))
+    rows = blocks.withColumn("place", F.when((F.col("kind") == "Paragraph") & (F.lit(True) if where is None else where), place).otherwise(0))
     earlier = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     event = F.when(F.col("place") > 0, True).when(F.col("kind") == "Caption", False)
     rows = rows.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(earlier), F.lit(False)))
@@ -85,45 +84,50 @@ def orientation(boxes: DataFrame) -> DataFrame:
     return found.select(*PAGE, F.coalesce(F.col("a") > F.col("c"), F.col("t") > F.col("c"), F.lit(True)).alias("top_is_high"))
 
 
-def row_bands(boxes: DataFrame, floors: DataFrame) -> DataFrame:
-    """doc_id, page, y, left, right: rows of body boxes from `floor` down. A box joins the first row within 3 points, whose y
-    becomes the mean of both; boxes come in the order of box_id, so rows are folded over each page's array."""
-    rows = boxes.filter("region = 'Body'").join(floors, PAGE).filter((F.col("y0") >= F.col("floor")) & (F.col("x1") - F.col("x0") >= WIDTH * 0.04) & (T.trim(F.col("text")) != ""))
-    side = [(cx() < WIDTH / 2 - 8).alias("left"), (cx() > WIDTH / 2 + 8).alias("right")]
-    held = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("box_id", "y0", *side))).alias("b"))
+def row_bands(b: Column) -> Column:
+    """Rows (y, left, right) of boxes (y0, left, right) in order: a box joins the first row within 3 points, whose y becomes the mean of
+    both."""
 
-    def add(bands: Column, b: Column) -> Column:
-        at = F.array_position(F.transform(bands, lambda x: F.abs(x["y"] - b["y0"]) <= 3.0), F.lit(True))
-        grown = lambda x: F.struct(((x["y"] + b["y0"]) * 0.5).alias("y"), (x["left"] | b["left"]).alias("left"), (x["right"] | b["right"]).alias("right"))
-        met = F.transform(bands, lambda x, i: F.when(i == at - 1, grown(x)).otherwise(x))
-        return F.when(at > 0, met).otherwise(F.concat(bands, F.array(F.struct(b["y0"].alias("y"), b["left"].alias("left"), b["right"].alias("right")))))
+    def add(bands: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(bands, lambda r: F.abs(r["y"] - x["y0"]) <= 3.0), F.lit(True))
+        grown = lambda r: F.struct(((r["y"] + x["y0"]) * 0.5).alias("y"), (r["left"] | x["left"]).alias("left"), (r["right"] | x["right"]).alias("right"))
+        met = F.transform(bands, lambda r, i: F.when(i == at - 1, grown(r)).otherwise(r))
+        return F.when(at > 0, met).otherwise(F.concat(bands, F.array(F.struct(x["y0"].alias("y"), x["left"].alias("left"), x["right"].alias("right")))))
 
-    folded = F.aggregate("b", F.array().cast("array<struct<y:double,left:boolean,right:boolean>>"), add)
-    return held.select(*PAGE, F.explode(folded).alias("band")).select(*PAGE, "band.*")
+    return F.aggregate(b, F.array().cast("array<struct<y:double,left:boolean,right:boolean>>"), add)
 
 
-def is_form(boxes: DataFrame, drops: DataFrame) -> DataFrame:
-    """doc_id, page, drop_y of drops whose boxes below look like a publisher's form: a phrase of one, or a wide box without an appendix."""
+def post_references(boxes: DataFrame) -> DataFrame:
+    """boxes (with region and median_height) in which all from the first single row under the last row of two columns is Metadata, on
+    pages from the references on, if it looks like a publisher's form: a phrase of one below, or a wide box without an appendix.
+
+    Pages and their predecessors are windows and groups over keys that begin with doc_id, so boxes dealt by doc_id stay where they are."""
+    columns = boxes.columns
     low = T.ascii_lower(F.col("text"))
+    heading = rules.is_references_heading(F.col("text"))
+    rows = boxes.withColumn("active", F.max(heading).over(Window.partitionBy("doc_id").orderBy("page")))
     short = T.size(F.col("text")) < 80
     phrase = T.contains_any(low, FORM_WORDS) | (short & low.contains("american psychological association")) | (short & low.startswith("american psychological"))
-    below = boxes.join(drops, PAGE).filter((F.col("y0") + 1 >= F.col("drop_y")) & (low != ""))
-    seen = below.groupBy(*PAGE, "drop_y").agg(
-        F.max(F.col("x1") - F.col("x0") > WIDTH * 0.55).alias("wide"), F.max(phrase).alias("form"), F.max(low.startswith("appendix") | low.startswith("acknowledg")).alias("appendix")
-    )
-    return seen.filter("form OR (wide AND NOT appendix)").select(*PAGE, "drop_y")
-
-
-def post_references(boxes: DataFrame, medians: DataFrame) -> DataFrame:
-    """boxes (with region) in which all from the first single row under the last row of two columns is Metadata, on pages from the
-    references on, if it looks like a form."""
-    heading = rules.is_references_heading(F.col("text"))
-    tops = boxes.groupBy(*PAGE).agg(F.min_by(F.when(heading, F.col("y0")), F.when(heading, F.col("box_id"))).alias("top"))
-    floors = tops.join(references_active(boxes).filter("active"), PAGE).select(*PAGE, F.coalesce(F.col("top") + 4, F.lit(0.0)).alias("floor"))
-    bands = row_bands(boxes, floors)
-    wide_gap = F.greatest(F.lit(14.0), F.greatest(F.lit(8.0), F.when(F.col("median_height") > 0, F.col("median_height")).otherwise(12.0)) * 1.6)
-    last = bands.groupBy(*PAGE).agg(F.max(F.when(F.col("left") & F.col("right"), F.col("y"))).alias("last"))
-    middle = medians.select(*PAGE, "median_height")
-    drops = bands.join(last, PAGE).join(middle, PAGE).filter(F.col("y") > F.col("last") + wide_gap).groupBy(*PAGE).agg(F.min("y").alias("drop_y"))
-    out = boxes.join(is_form(boxes, drops), PAGE, "left")
-    return out.withColumn("region", F.when(F.col("y0") + 1 >= F.col("drop_y"), "Metadata").otherwise(F.col("region"))).drop("drop_y")
+    marks = F.struct(
+        "y0", "box_id", heading.alias("heading"), (cx() < WIDTH / 2 - 8).alias("left"), (cx() > WIDTH / 2 + 8).alias("right"),
+        ((F.col("region") == "Body") & (F.col("x1") - F.col("x0") >= WIDTH * 0.04) & (T.trim(F.col("text")) != "")).alias("counts"),
+        (low != "").alias("some"), (F.col("x1") - F.col("x0") > WIDTH * 0.55).alias("wide"), phrase.alias("form"), (low.startswith("appendix") | low.startswith("acknowledg")).alias("appendix"),
+    )
+    pages = rows.groupBy(*PAGE).agg(
+        F.first("active").alias("active"), F.first("median_height").alias("height"), F.min_by(F.when(heading, F.col("y0")), F.when(heading, F.col("box_id"))).alias("top"),
+        F.sort_array(F.collect_list(F.struct("box_id", marks.alias("m"), F.struct(*columns).alias("row")))).alias("b"),
+    )
+    floor = F.coalesce(F.col("top") + 4, F.lit(0.0))
+    counted = F.filter(F.transform("b", lambda x: x["m"]), lambda m: m["counts"] & (m["y0"] >= floor))
+    pages = pages.withColumn("bands", F.when(F.col("active"), row_bands(counted)))
+    both = F.filter("bands", lambda r: r["left"] & r["right"])
+    last = F.array_max(F.transform(both, lambda r: r["y"]))
+    gap = F.greatest(F.lit(14.0), F.greatest(F.lit(8.0), F.when(F.col("height") > 0, F.col("height")).otherwise(12.0)) * 1.6)
+    # explode stands between what is read once of a page and its boxes
+    pages = pages.withColumn("limit", last + gap)
+    pages = pages.withColumn("drop_y", F.array_min(F.filter(F.transform("bands", lambda r: r["y"]), lambda y: y > F.col("limit"))))
+    below = F.filter("b", lambda x: (x["m"]["y0"] + 1 >= F.col("drop_y")) & x["m"]["some"])
+    has = lambda name: F.exists(below, lambda x: x["m"][name])
+    pages = pages.withColumn("form", F.col("drop_y").isNotNull() & (has("form") | (has("wide") & ~has("appendix"))))
+    out = pages.select("form", "drop_y", F.explode("b").alias("x")).select("form", "drop_y", "x.row.*")
+    return out.withColumn("region", F.when(F.col("form") & (F.col("y0") + 1 >= F.col("drop_y")), "Metadata").otherwise(F.col("region"))).drop("form", "drop_y")

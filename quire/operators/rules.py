@@ -156,6 +156,11 @@ def layout_family(path: Column, title: Column) -> Column:
     return out
 
 
+def is_wrapper(family: Column, page: Column) -> Column:
+    """Pages that only wrap a document: the first of conference and magazine papers."""
+    return family.isin("acm", "magazine") & (page == 0)
+
+
 def region_kind(name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in REGION_NAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, T.ascii_lower(name)), F.lit("Float"))

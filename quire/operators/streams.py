@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -11,21 +11,32 @@ from . import rules
 OCR_MARGIN = 0.04
 
 
-def select_stream(candidates: DataFrame, family: str = "generic") -> DataFrame:
-    """doc_id, page, stream of candidates (doc_id, page, stream, lines, quality): by family a fixed preference among those with
-    lines, or, for generic pages, flow if its quality is no less than geometry's."""
-    rank = {"acm": ["raw", "geometry", "flow"], "scan": ["raw", "geometry", "flow"], "magazine": ["flow", "geometry", "raw"], "frontiers": ["flow", "geometry", "raw"]}
-    some = candidates.filter("lines > 0")
-    if family == "generic":
-        best = some.filter(F.col("stream").isin("flow", "geometry")).groupBy("doc_id", "page").agg(F.max_by("stream", F.struct("quality", (F.col("stream") == "flow").cast("int"))).alias("stream"))
-        return best
-    order = F.array_position(F.array(*[F.lit(x) for x in rank[family]]), F.col("stream"))
-    return some.groupBy("doc_id", "page").agg(F.min_by("stream", order).alias("stream"))
+def select_stream(candidates: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, stream of candidates (doc_id, page, family, stream, lines, quality): conference and scanned pages take raw, others
+    flow, and geometry where that is empty; magazine pages with overrides (pages: doc_id, page, overridden) and rail pages from the third
+    on take geometry first. Generic pages take flow if its quality is no less than geometry's, empty or not."""
+    of = lambda name, x: F.max(F.when(F.col("stream") == name, F.col(x)))
+    rows = candidates.groupBy("doc_id", "page").agg(
+        F.min("family").alias("family"), *[F.coalesce(of(s, x), F.lit(0)).alias(f"{s}_{x}") for s in ("flow", "geometry", "raw") for x in ("lines", "quality")]
+    )
+    rows = rows.join(pages.select("doc_id", "page", "overridden"), ["doc_id", "page"], "left") if pages is not None else rows.withColumn("overridden", F.lit(False))
+    family, some = F.col("family"), lambda name: F.col(f"{name}_lines") > 0
+    first = F.coalesce(F.col("overridden"), F.lit(False)) | ((family == "frontiers") & (F.col("page") >= 2))
+    stream = (
+        F.when(family.isin("acm", "scan"), F.when(some("raw"), "raw").otherwise("geometry"))
+        .when(family.isin("magazine", "frontiers"), F.when(first & some("geometry"), "geometry").when(some("flow"), "flow").otherwise("geometry"))
+        .otherwise(F.when(F.col("flow_quality") >= F.col("geometry_quality"), "flow").otherwise("geometry"))
+    )
+    return rows.select("doc_id", "page", stream.alias("stream"))
 
 
-def ocr_requests(boxes: DataFrame, least_bytes: int = 40) -> DataFrame:
-    """doc_id, page, bytes of pages whose text layer holds fewer bytes than that."""
-    return boxes.groupBy("doc_id", "page").agg(F.sum(T.size(F.col("text"))).alias("bytes")).filter(F.col("bytes") < least_bytes)
+def ocr_requests(pages: DataFrame, boxes: DataFrame, least_bytes: int = 40, when_scan: bool = True) -> DataFrame:
+    """doc_id, page, bytes, kind of pages (doc_id, page, family) to be recognised: direct if the text layer holds fewer bytes than that,
+    none included; candidate for other scanned pages. First pages of conference and magazine papers are not asked for."""
+    bytes_ = boxes.groupBy("doc_id", "page").agg(F.sum(T.size(F.col("text"))).alias("bytes"))
+    rows = pages.filter(~rules.is_wrapper(F.col("family"), F.col("page"))).join(bytes_, ["doc_id", "page"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    kind = F.when(F.col("bytes") < least_bytes, "direct").when((F.col("family") == "scan") & F.lit(when_scan), "candidate")
+    return rows.select("doc_id", "page", "bytes", kind.alias("kind")).filter("kind IS NOT NULL")
 
 
 def arbitrate(native: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -42,7 +53,34 @@ def references_active(pages: DataFrame) -> DataFrame:
     return has.select("doc_id", "page", F.max("has").over(Window.partitionBy("doc_id").orderBy("page")).alias("active"))
 
 
+INLINE, SHORT_FIGURE = r"^figure\s+\d+[a-z]?[\.,]?$", r"(?i)^\s*figure\s+\d+[a-z]?[\.,]?\s*$"
+
+
 def quarantine(stream: DataFrame, visuals: DataFrame) -> DataFrame:
-    """stream lines that no visual line outside the body equals, after collapsing and lower-casing."""
-    key = T.ascii_lower(T.collapse(F.col("text")))
-    return stream.withColumn("key", key).join(visuals.select("doc_id", "page", key.alias("key")).distinct(), ["doc_id", "page", "key"], "left_anti").drop("key")
+    """stream lines (doc_id, page, line_no, text) without what stands in visual lines outside the body (doc_id, page, line, region, text).
+
+    A line is held against its page's visual lines in order. Of those with 8 bytes or more: a line that equals one goes; one within the
+    line is taken out of it, unless it is a figure that the line refers to, and the line goes if nothing is left; a line of 8 bytes or
+    more within one goes, unless it is a short reference to that figure. A line that begins with the first four words of one goes, floats
+    apart. The rail layout's two protected kinds of line aren't known here."""
+    v = T.ascii_lower(T.collapse(F.col("text")))
+    words = T.words(v)
+    prefix = F.when(F.size(words) >= 4, F.array_join(F.slice(words, 1, 4), " "))
+    rows = visuals.select("doc_id", "page", F.struct("line", v.alias("v"), "region", prefix.alias("prefix")).alias("x")).filter("x.v <> ''")
+    pages = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("x")).alias("visuals"))
+    both = stream.withColumn("text", T.collapse(F.col("text"))).join(pages, ["doc_id", "page"], "left")
+
+    def step(acc: Column, x: Column) -> Column:
+        text, low, v, long, float_ = acc["text"], T.ascii_lower(acc["text"]), x["v"], T.size(x["v"]) >= 8, x["region"] == "Float"
+        at = F.position(v, low)
+        referred = float_ & v.rlike(INLINE) & F.substring(low, F.lit(1), at - 1).endswith("as shown in ")
+        cut = T.collapse(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(v), F.length(text))))
+        within = long & (at > 0) & (low != v)
+        swallowed = long & (at == 0) & (T.size(low) >= 8) & v.contains(low) & (~float_ | ~text.rlike(SHORT_FIGURE))
+        begins = ~within & F.coalesce(F.startswith(low, x["prefix"]), F.lit(False)) & ~float_
+        gone = (long & (low == v)) | swallowed | begins | (within & ~referred & (cut == ""))
+        return F.when(acc["gone"], acc).otherwise(F.struct(F.when(within & ~referred, cut).otherwise(text).alias("text"), gone.alias("gone")))
+
+    start = F.struct(F.col("text").alias("text"), (F.col("text") == "").alias("gone"))
+    met = both.withColumn("r", F.aggregate(F.coalesce("visuals", F.array().cast(pages.schema["visuals"].dataType)), start, step))
+    return met.filter("NOT r.gone").withColumn("text", F.col("r.text")).drop("r", "visuals")

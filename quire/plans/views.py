@@ -1,5 +1,6 @@
 """Views that the queries share. The documents hold neither boxes nor headings, so both are derived by integer arithmetic: MARKED
-puts a marked line in place of some lines, BOXES lays words out in two columns. The same SQL text serves both engines."""
+sets marked lines beside the documents' own, which stay whole, BOXES lays words out in two columns whose rows drift, over pages of all
+layout families. The same SQL text serves both engines."""
 
 from __future__ import annotations
 
@@ -9,17 +10,27 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import lines as L
 
-MARKED = """CASE (doc_id * 7 + line_no) % 23
- WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Keywords' WHEN 2 THEN '1. Introduction' WHEN 3 THEN 'References' WHEN 4 THEN 'Figure 3 shows ' || left(raw, 40)
- WHEN 5 THEN left(raw, 60) || ' exam-' WHEN 6 THEN 'ple of ' || left(raw, 30) || '-' WHEN 7 THEN 'and so ' || left(raw, 40) WHEN 8 THEN 'Open Access'
- WHEN 9 THEN 'See doi 10.1145/' || CAST(doc_id AS STRING) || '.77, ' || left(raw, 20) WHEN 10 THEN left(raw, 50) || ' B' WHEN 11 THEN 'Published 3 May 2020 by' WHEN 12 THEN 'THE END OF IT'
- WHEN 13 THEN 'Adams, Baker, Crane, Chavez, Dole and Evans' WHEN 14 THEN 'Conclusion ' || left(raw, 60) WHEN 15 THEN raw || ' precedent1. See fact3, a2b end9' WHEN 16 THEN '12 ' || left(raw, 130)
- WHEN 17 THEN '1.2 Methods' WHEN 18 THEN 'Communications of the ACM 12' WHEN 19 THEN '  ' || left(raw, 30) || '  and ''''so'''' on ' WHEN 20 THEN 'Subscription claims form' WHEN 21 THEN '' ELSE raw END"""
+#: By (doc_id * 7 + line_no) % 23 the lines that a line becomes; 'raw' is the line itself.
+MARKED = [
+    "'Abstract', raw", "'Keywords', raw", "'1. Introduction', raw", "raw, 'References'", "'Figure 3 shows', raw, 'Figure 6 has', 'Figure 4b.'", "raw || ' exam-', 'ple goes on', 'and so on-'", "'ple of it-', raw",
+    "'some words-', 'that go on-', 'and end', raw", "'Open Access', raw", "'See doi 10.1145/' || CAST(doc_id AS STRING) || '.77, it says that the measure which is used in all of the parts stands for what is meant, as is told below in more words', raw", "raw || ' B'",
+    "'Published 3 May 2020 by', 'Permission to make digital or hard copies', 'of parts', 'Copyright 2002 ACM 1-58113', raw", "'THE END OF IT', raw, 'Managing the texts and more'", "'Adams, Baker, Crane, Chavez, Dole and Evans', raw", "'Conclusion ' || raw", "raw || ' precedent1. See fact3, a2b end9'", "'12 ' || raw", "'1.2 Methods', raw, 'one in region, last 36 months', '1 Introduction'",
+    "'Communications of the ACM 12', raw", "'  ' || raw || '  and so on '", "raw, 'Subscription claims form'", "raw, ''", "'Keywords', 'Keywords', 'one, two ,, three', raw",
+]
+
+
+def marked_case(array: str) -> str:
+    """The lines as a CASE whose arrays are written as `array` says."""
+    return "CASE (doc_id * 7 + line_no) % 23 " + " ".join(f"WHEN {i} THEN {array.format(x)}" for i, x in enumerate(MARKED)) + " END"
+
+
 WORD_TEXT = "CASE WHEN k % 96 = 0 THEN 'Figure' WHEN k % 96 = 1 THEN '3' WHEN k % 89 = 0 THEN CAST(k % 100 AS STRING) WHEN k % 211 = 5 THEN 'copyright' ELSE word END"
-BOXES = """doc_id, CAST(k / 800 AS INT) AS page, CAST(k % 800 AS INT) AS box_id, {text} AS text,
- CAST(50 + CAST(floor(k / 400.0) AS INT) % 2 * 260 + k % 8 * 28 AS DOUBLE) AS x0, CAST(40 + CAST(floor(k % 400 / 8.0) AS INT) * 15 AS DOUBLE) AS y0,
- CAST(76 + CAST(floor(k / 400.0) AS INT) % 2 * 260 + k % 8 * 28 AS DOUBLE) AS x1, CAST(40 + CAST(floor(k % 400 / 8.0) AS INT) * 15 + CASE WHEN k % 89 = 0 THEN 7 ELSE 10 END AS DOUBLE) AS y1,
- CAST(CASE WHEN k % 11 = 0 THEN 7 ELSE 10 END AS DOUBLE) AS font_size, CASE WHEN k % 301 = 7 THEN 90 ELSE 0 END AS rotation""".replace("CAST(k / 800 AS INT)", "CAST(floor(k / 800.0) AS INT)").format(text=WORD_TEXT)
+ROW_Y = "40 + CAST(floor(k % 400 / 8.0) AS INT) * 15 + CASE WHEN CAST(floor(k % 400 / 8.0) AS INT) % 4 = 1 THEN (k % 8) * 0.5D WHEN CAST(floor(k % 400 / 8.0) AS INT) % 4 = 3 THEN (k * 5 % 8) * 0.25D ELSE 0D END"
+BOXES = f"""doc_id, CAST(floor(k / 800.0) AS INT) AS page, CAST(k % 800 AS INT) AS box_id, {WORD_TEXT} AS text,
+ CAST(50 + CAST(floor(k / 400.0) AS INT) % 2 * 260 + k % 8 * 28 AS DOUBLE) AS x0, CAST({ROW_Y} AS DOUBLE) AS y0,
+ CAST(76 + CAST(floor(k / 400.0) AS INT) % 2 * 260 + k % 8 * 28 AS DOUBLE) AS x1, CAST({ROW_Y} + CASE WHEN k % 89 = 0 THEN 7 ELSE 10 END AS DOUBLE) AS y1,
+ CAST(CASE WHEN k % 11 = 0 THEN 7 ELSE 10 END AS DOUBLE) AS font_size, CASE WHEN k % 301 = 7 THEN 90 ELSE 0 END AS rotation,
+ CASE doc_id % 5 WHEN 0 THEN 'acm' WHEN 1 THEN 'magazine' WHEN 2 THEN 'scan' WHEN 3 THEN 'frontiers' ELSE 'generic' END AS family"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +40,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, raw with marked lines."""
     rows = L.physical_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", "line_no", F.expr(MARKED).alias("raw"))
+    rows = rows.select("doc_id", "line_no", F.posexplode(F.expr(marked_case("array({})"))).alias("k", "raw"))
+    return rows.select("doc_id", (F.col("line_no") * 8 + F.col("k")).alias("line_no"), "raw")
 
 
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.stream_lines(marked(spark, sf_dir))
 
 
+#: Pages of marked lines, and titles that their documents are said to have.
+LINE_PAGE, TITLE = "CAST(floor(line_no / 24.0) AS BIGINT)", "CASE doc_id % 4 WHEN 1 THEN 'The End' WHEN 2 THEN 'THE END OF IT' ELSE '' END"
+
+
+def paged(lines: DataFrame) -> DataFrame:
+    """Lines with page, family and title."""
+    return lines.select("doc_id", F.expr(LINE_PAGE).alias("page"), F.col("line_no").cast("long").alias("line_no"), "text", family().alias("family"), F.expr(TITLE).alias("title"))
+
+
+def family():
+    """The layout family that a document of the view stands for."""
+    return F.expr("CASE doc_id % 5 WHEN 0 THEN 'acm' WHEN 1 THEN 'magazine' WHEN 2 THEN 'scan' WHEN 3 THEN 'frontiers' ELSE 'generic' END")
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = documents(spark, sf_dir).select("doc_id", F.posexplode(T.words(F.coalesce("text", F.lit("")))).alias("k", "word"))
     return words.selectExpr(*[x for x in _columns(BOXES)])
@@ -82,10 +108,19 @@ def d_detach(x: str) -> str:
     return rf"regexp_replace({x}, '([A-Za-z])([1-9])([\s\x0B.,;:)]|$)', '\1 \2\3', 'g')"
 
 
+def d_appended(a: str, b: str) -> str:
+    """Two parts of a paragraph."""
+    return f"CASE WHEN {b} = '' THEN {a} WHEN {a} LIKE '%-' THEN left({a}, length({a}) - 1) || {b} WHEN {a} = '' THEN {b} ELSE {a} || ' ' || {b} END"
+
+
 def d_words(x: str) -> str:
     return rf"regexp_extract_all({x}, '(?:[0-9A-Za-z''\-]|[^\x00-\x7F])+')"
 
 
+def d_authors(x: str) -> str:
+    return f"list_filter(list_transform(flatten(list_transform(regexp_split_to_array({x}, '[;,]'), lambda p: string_split({d_trim('p')}, ' and '))), lambda p: {d_trim('p')}), lambda p: p <> '')"
+
+
 def d_any(x: str, phrases: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {d_quote(p)})" for p in phrases) + ")"
 
@@ -103,12 +138,12 @@ def d_suspect(w: str) -> str:
 
 
 RAW = "raw_lines AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))"
-MARK = f"{RAW}, marked AS (SELECT doc_id, line_no, {MARKED} AS raw FROM raw_lines)"
+MARK = f"{RAW}, marks AS (SELECT doc_id, line_no, {marked_case('[{}]')} AS m FROM raw_lines), marked AS (SELECT doc_id, line_no * 8 + unnest(range(len(m))) AS line_no, unnest(m) AS raw FROM marks)"
 
 
 def d_stream(source: str) -> str:
     """lines(doc_id, line_no, text) from source(doc_id, line_no, raw)."""
-    text = d_detach(d_collapse(d_typography("replace(raw, chr(12), '')")))
+    text = d_detach(d_trim(d_typography("replace(raw, chr(12), '')")))
     return f"""t0 AS (SELECT doc_id, line_no, {text} AS t FROM {source}),
 t1 AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY line_no) LIKE '%-' AND regexp_matches(t, '^[a-z]'), false) AS joins FROM t0),
 t2 AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM t1 WHERE t <> ''),
@@ -118,4 +153,4 @@ lines AS (SELECT doc_id, min(line_no) AS line_no, string_agg(CASE WHEN goes_on T
 
 LINES = f"{MARK}, {d_stream('marked')}"
 WORDS = f"words AS (SELECT doc_id, unnest(range(len(w))) AS k, unnest(w) AS word FROM (SELECT doc_id, {d_words("coalesce(text, '')")} AS w FROM documents))"
-BOX = f"{WORDS}, boxes AS (SELECT {BOXES} FROM words)"
+BOX = f"{WORDS}, boxes AS (SELECT {BOXES.replace('0.5D', '0.5::DOUBLE').replace('0.25D', '0.25::DOUBLE').replace('0D END', '0::DOUBLE END')} FROM words)"

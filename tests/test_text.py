@@ -35,6 +35,10 @@ CASES = [
     (lambda c: G.attached(F.split(c, " ")), "well - known , yes ( no )", "well-known, yes ( no)"),
     (lambda c: T.pad_table(F.array(F.array(c, F.lit("b")), F.array(F.lit("ccccc")))), "a", "| a     | b |\n| ----- | --- |\n| ccccc |   |\n"),
     (lambda c: R.without_title(c, F.lit("My Paper")), "my paper and more", "and more"),
+    (T.is_caption_word, " Fig. 2b: x", True),
+    (T.is_caption_word, "figures 2", False),
+    (lambda c: T.appended(c, F.lit("ple")), "exam-", "example"),
+    (lambda c: T.today().rlike(r"^\d{4}-\d\d-\d\d$"), "", True),
     (lambda c: R.is_title_like(c, F.lit("My Paper")), "On MY  paper", True),
 ]
 
