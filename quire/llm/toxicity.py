@@ -37,7 +37,7 @@ REPORTING = frozenset("said says saying quote quoted quotes quoting called calli
 LEET = str.maketrans("0134578@$", "oieastbas")
 TOKEN = re.compile(rf"[^\W_]+|[{MARKS}]").findall
 #: A word with signs between its letters, and the letters they stand for; * and _ are any, so one edit, and full stops none.
-SIGNS = frozenset("@$*_.")
+INNER = re.compile(r"[@$*_.](?=[^\W_])").search
 SIGNED = re.compile(r"[^\W_]+(?:[@$*_.]+[^\W_]+)+").sub
 LETTERS = str.maketrans({"@": "a", "$": "s", "*": "ʘ", "_": "ʘ", ".": ""})
 QUOTED, REPORTED = 0.2, 0.5
@@ -151,7 +151,7 @@ class Scorer:
     def matches(self, text: str) -> tuple[list[float], int]:
         """The weight of each match in its context, and the number of words."""
         text = text.lower()
-        tokens = TOKEN(text if SIGNS.isdisjoint(text) else SIGNED(self.spelled, text))
+        tokens = TOKEN(SIGNED(self.spelled, text) if INNER(text) else text)
         different = set(tokens)
         if new := different - self.seen:
             if len(self.seen) > CACHED:
