@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Paths made within each `swept` that is open, the innermost last.
+_made: list[list[str]] = []
+
+
 def fresh(spark: SparkSession, tag: str) -> str:
     """A new path for one intermediate table."""
-    return f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex[:12]}"
+    for paths in _made[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession, *kept: str):
+    """Deletes the intermediate tables and folders made within, but for those in kept, when it ends."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in set(_made.pop()) - set(kept):
+            drop(spark, path)
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str, path: str | None = None) -> DataFrame:

@@ -477,3 +477,72 @@ def test_more_empty_tables(spark):
         assert f(none, labels).count() == 0
         assert f(make(spark, ["a b", None]), labels.limit(0)).count() == 2
     assert exact_dedup.kept_rows(none).count() == near_dedup.kept_rows(none).count() == mixing.mixed_rows(none).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    # each stage against brute force on its own input: planted toxic, equal, near, empty and nameless rows beside the test data's
+    import corpus_pipeline
+    from quire.llm import store
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    base = " ".join(f"word{i}" for i in range(120))
+    made = [(90_000, base), (90_001, base.replace(" ", "  ")), (90_002, base + " more"), (90_003, None), (90_004, ""), (None, "nameless " * 9), (None, base), (90_005, "of its own " + base[:200])]
+    odd = spark.createDataFrame([(i, t, "en", "planted", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, at, kept = dict(corpus_pipeline.STAGES), spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in list(stages.items())[:-1]:
+        before = [(r.doc_id, r.text, r.source) for r in at.collect()]
+        at = store.materialize(spark, stage(spark, at, str(tmp_path)), f"test-{name}")
+        assert at.columns == docs.columns
+        kept[name] = before, [(r.doc_id, r.text, r.source) for r in at.collect()]
+    key = lambda r: (str(r[0]), str(r[1]))
+
+    before, after = kept["toxicity"]
+    scored = {(str(r.doc_id), r.predicted) for r in toxicity.score(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    assert sorted(map(key, after)) == sorted(key(r) for r in before if (str(r[0]), 0) in scored) and 0 < len(after) < len(before)
+
+    before, after = kept["exact_dedup"]
+    groups = {}
+    for r in before:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), []).append(r)
+    want = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert sorted(map(key, after)) == sorted(map(key, want))
+
+    before, after = kept["near_dedup"]
+    sets = []
+    for _, t, _ in before:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    parent = list(range(len(before)))
+    for i in range(len(before)):
+        for j in range(i):
+            if (both := len(sets[i] & sets[j])) and 100 * both >= 80 * len(sets[i] | sets[j]) and before[i][0] is not None and before[j][0] is not None:
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    least = {p: min(r[0] for r, q in zip(before, parent, strict=True) if q == p) for p in set(parent) if before[p][0] is not None}
+    want = [r for r, p in zip(before, parent, strict=True) if r[0] is None or r[0] == least[p]]
+    assert sorted(map(key, after)) == sorted(map(key, want)) and len(after) < len(before)
+
+    before, after = kept["mixing"]
+    size = lambda rows, s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, x in rows if x == s)
+    for s in {x for _, _, x in before}:
+        target = next(iter(mixing.mix(make_again(spark, before)).filter(F.col("source_size") == size(before, s)).select("target").collect()))[0]
+        assert abs(size(after, s) - target) <= max(len((t or "").split()) for _, t, x in before if x == s)
+    assert set(map(key, after)) <= set(map(key, before)) and all(n <= 2 for n in Counter(map(key, after)).values())
+
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(tokenizer_path())
+    want = sum(len(reference.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in after)
+    assert pieces.length.sum() == want and (pieces.groupby("sequence_id").length.sum() <= 4096).all()
+    folder = store.filesystem(store.shared_dir(spark))[1]
+    import os
+
+    assert sum("quire-stage-" in x for x in os.listdir(folder)) == 1  # the last stage's input
+
+
+def make_again(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
