@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from quire.llm.queries import table, tokenizer_path
-from quire.llm.store import materialize
+from quire.llm.store import drop, fresh, materialize, swept
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by five-word shingles and similarity 0.8."""
+    """One document of each group of near-duplicates, by five-word shingles and similarity 0.8, as stages on word shingles take them (only
+    op8's own contract has four)."""
     return near_dedup.kept_rows(docs)
 
 
@@ -41,8 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir. What a stage leaves beside its rows goes when they are written, and they when the next
+    stage's are."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh(spark, f"stage-{name}")
+        with swept(spark):
+            docs = materialize(spark, stage(spark, docs, sf_dir), name, path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
