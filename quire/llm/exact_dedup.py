@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from .store import drop, fresh, materialize, unused
 
 WHITESPACE = " \t\n\u000b\f\r"
-#: The state store's provider, and no preallocated files: each partition would hold megabytes of empty ones.
+#: The state store's provider; no preallocated files: each partition would hold megabytes of empty ones; and one bound for the memory
+#: of all stores of an executor, which else grows with their number.
 STORE = {
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

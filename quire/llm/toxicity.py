@@ -41,7 +41,7 @@ INNER = re.compile(r"[@$*_.](?=[^\W_])").search
 SIGNED = re.compile(r"[^\W_]+(?:[@$*_.]+[^\W_]+)+").sub
 LETTERS = str.maketrans({"@": "a", "$": "s", "*": "ʘ", "_": "ʘ", ".": ""})
 QUOTED, REPORTED = 0.2, 0.5
-CACHED = 400_000
+CACHED = 150_000
 
 
 class Automaton:
