@@ -18,7 +18,7 @@ CLEARING = "managing the texts"
 FIELDS = ["date-published", "date-received", "date-accepted", "publisher", "object-url", "source-format", "published-formats", "doi", "type", "pages", "date-accessed", "date-extracted"]
 
 
-def pieces_of(lines: DataFrame) -> DataFrame:
+def pieces_of(lines: DataFrame, keywords_as_h2: bool = True, nest_numbers: bool = True) -> DataFrame:
     """doc_id, page, line_no, part, n, kind, level, text, cleared of what each line gives to the blocks; Figure is a caption that is counted
     only. lines: doc_id, page, line_no, text, and, if known, family and title.
 
@@ -65,7 +65,7 @@ def pieces_of(lines: DataFrame) -> DataFrame:
         F.struct(none.alias("part"), F.lit("Heading").alias("kind"), F.lit(1).alias("level"), F.col("glued.heading").alias("text")),
         F.struct(F.lit(1).alias("part"), F.when(T.is_footnote(F.col("glued.rest")) & at_end, "Footnote").otherwise("Paragraph").alias("kind"), none.alias("level"), F.col("glued.rest").alias("text")),
     )
-    one = F.array(F.struct(none.alias("part"), F.col("kind"), F.when(F.col("kind") == "Heading", rules.heading_level(t)).otherwise(0).alias("level"), t.alias("text")))
+    one = F.array(F.struct(none.alias("part"), F.col("kind"), F.when(F.col("kind") == "Heading", rules.heading_level(t, keywords_as_h2, nest_numbers)).otherwise(0).alias("level"), t.alias("text")))
     parts = F.when((F.col("glued.heading") != "") & ~F.col("caption"), both).otherwise(one)
     pieces = rows.select("doc_id", "page", "line_no", "n", "family", F.explode(parts).alias("b")).select("doc_id", "page", "line_no", "n", "family", "b.*").filter("text <> ''")
     clears = F.when((family == "magazine") & (F.col("kind") == "Heading") & (T.ascii_lower(F.col("text")) == CLEARING), F.col("n"))
@@ -155,12 +155,12 @@ def counts(pieces: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", "pages", "headings", "tables", "figures", "footnotes")
 
 
-def markdown_of(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """doc_id, markdown: the body of each document; a block that repeats the title goes, footnotes follow as endnotes."""
+def markdown_of(blocks: DataFrame, titles: DataFrame | None = None, abstract_as_h1: bool = True, keywords_as_h2: bool = True, endnotes: bool = True) -> DataFrame:
+    """doc_id, markdown: the body of each document; a block that repeats the title goes, footnotes follow as endnotes if asked for."""
     low = T.ascii_lower(F.col("text"))
     if titles is not None:
         blocks = blocks.join(titles, "doc_id", "left").filter((F.coalesce("title", F.lit("")) == "") | (T.ascii_lower(T.collapse(F.col("text"))) != T.ascii_lower(T.collapse(F.col("title"))))).drop("title")
-    level = F.when(low == "abstract", 1).when(low.isin("keywords", "key words"), 2).otherwise(F.col("level"))
+    level = F.when(F.lit(abstract_as_h1) & (low == "abstract"), 1).when(F.lit(keywords_as_h2) & low.isin("keywords", "key words"), 2).otherwise(F.col("level"))
     body = F.when(F.col("kind") == "Heading", F.concat(T.heading_prefix(level), "text", F.lit("\n\n"))).when(F.col("kind") == "Paragraph", F.concat("text", F.lit("\n\n")))
     body = body.when(F.col("kind") == "Caption", F.concat(F.lit("**"), "text", F.lit("**\n\n"))).when(F.col("kind") == "ListItem", F.concat(F.lit("- "), "text", F.lit("\n"))).otherwise("")
     note = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("block_no"))
@@ -168,7 +168,7 @@ def markdown_of(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame
     refs = F.max(((F.col("kind") == "Heading") & (low == "references")).cast("int"))
     held = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "md", "note"))).alias("b"), refs.alias("refs"))
     joined, notes = (F.array_join(F.transform("b", lambda x: x[c]), "") for c in ("md", "note"))
-    tail = F.when(notes == "", "").otherwise(F.concat(F.when(F.col("refs") == 1, "\n").otherwise("\n\n"), notes))
+    tail = F.when((notes == "") | F.lit(not endnotes), "").otherwise(F.concat(F.when(F.col("refs") == 1, "\n").otherwise("\n\n"), notes))
     return held.select("doc_id", F.concat(joined, tail).alias("markdown"))
 
 

@@ -1,4 +1,4 @@
-"""A document from end to end: from its lines to Markdown and statistics."""
+"""A document from end to end: from its boxes to lines, and from lines to Markdown and statistics."""
 
 from __future__ import annotations
 
@@ -6,21 +6,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.sources.settings import Heuristics, overrides
 from quire.sources.settled import settled
 
 from . import blocks as B
+from . import layout as G
 from . import lines as L
 from . import overleaf as O
 from . import rules
+from . import streams as S
 
 LINE = ("doc_id", "page", "family", "title")
 
 
-def body_lines(lines: DataFrame) -> DataFrame:
+def page_lines(boxes: DataFrame, pages: DataFrame, settings: Heuristics = Heuristics(), unread: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, family, line_no, text of each page's best stream, of boxes (as in `layout`, with family and `line`, the line of the
+    file's content that a box stands in) and pages (doc_id, page, family). Geometry reads the body's boxes, flow all boxes by columns and rows,
+    raw the content in its order. Wrapper pages have no lines, nor those of unread (doc_id, page), which hold too little text."""
+    by_page = overrides(settings.page_overrides)[0]
+    regions = settled(O.post_references(G.classify(boxes, by_page)))
+    key = (*G.PAGE, "stream")
+    named = lambda rows, name: rows.select(*G.PAGE, F.lit(name).alias("stream"), "line_no", F.col("text").alias("raw"))
+    geometry = G.linearize(regions, settings.line_merge_y_tol_pts, settings.column_gap_min_pts, by_page)
+    flow = G.merged_lines(regions, G.gap_column(regions, settings.column_gap_min_pts), settings.line_merge_y_tol_pts)
+    held = regions.groupBy(*G.PAGE, F.col("line").cast("int").alias("line_no")).agg(F.sort_array(F.collect_list(F.struct("box_id", "text"))).alias("b"))
+    raw = held.select(*G.PAGE, "line_no", F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("text"))
+    texts = L.without_chrome(L.stream_lines(named(flow, "flow").unionByName(named(raw, "raw")), key), settings.strip_page_numbers)
+    texts = S.quarantine(texts, G.visual_lines(regions))
+    own = L.without_chrome(geometry, settings.strip_page_numbers).select(*G.PAGE, F.lit("geometry").alias("stream"), "line_no", "text")
+    streams = settled(own.unionByName(texts.select(*key, "line_no", "text")))
+    found = L.quality(streams, key).join(streams.groupBy(*key).agg(F.count(F.lit(1)).alias("lines")), list(key)).join(pages.select(*G.PAGE, "family"), G.PAGE)
+    marks = pages.select(*G.PAGE, F.col("page").isin(list(by_page)).alias("overridden")) if by_page else None
+    chosen = S.select_stream(found, marks)
+    chosen = chosen if unread is None else chosen.join(unread.select(*G.PAGE), G.PAGE, "left_anti")
+    chosen = chosen.join(pages.select(*G.PAGE, "family"), G.PAGE)
+    return streams.join(chosen, list(key)).filter(~rules.is_wrapper(F.col("family"), F.col("page"))).select(*G.PAGE, "family", "line_no", "text")
+
+
+def with_recognised(lines: DataFrame, ocr: DataFrame, requests: DataFrame) -> DataFrame:
+    """lines (as of `page_lines`) in which pages whose recognised lines win (`streams.arbitrate`) have those. ocr: doc_id, page, line_no,
+    text; requests: of `streams.ocr_requests`, with family."""
+    asked = requests.select(*G.PAGE, "family", (F.col("kind") == "direct").alias("direct"))
+    native = asked.join(L.quality(lines, G.PAGE).select(*G.PAGE, "quality"), G.PAGE, "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+    read = ocr.filter("text <> ''")
+    scores = L.quality(read, G.PAGE).select(*G.PAGE, F.col("quality").alias("ocr_quality")).join(read.groupBy(*G.PAGE).agg(F.count(F.lit(1)).alias("ocr_lines")), G.PAGE)
+    won = settled(S.arbitrate(native, scores).filter("source = 'ocr'").select(*G.PAGE).join(asked.select(*G.PAGE, "family"), G.PAGE))
+    taken = read.join(won, G.PAGE).select(*G.PAGE, "family", "line_no", "text")
+    return lines.join(won.select(*G.PAGE), G.PAGE, "left_anti").select(*G.PAGE, "family", "line_no", "text").unionByName(taken)
+
+
+def body_lines(lines: DataFrame, settings: Heuristics = Heuristics()) -> DataFrame:
     """Lines (doc_id, page, family, title, line_no, text) as the blocks take them: without wrapper pages and running heads, joined at
     hyphens within a page pair by pair, overleaf, and within a page along whole chains. Keys begin with doc_id, so one exchange does."""
     rows = lines.filter(~rules.is_wrapper(F.col("family"), F.col("page"))).select(*LINE, "line_no", "text")
-    rows = L.stitch_pairs(L.without_chrome(rows), LINE)
+    rows = L.without_chrome(rows, settings.strip_page_numbers)
+    if not settings.rejoin_hyphenation:
+        return rows
+    rows = L.stitch_pairs(rows, LINE)
     return L.rejoin_hyphens(O.stitch_lines(rows), LINE)
 
 
@@ -30,12 +72,12 @@ def body_blocks(pieces: DataFrame, families: DataFrame) -> DataFrame:
     return O.without_diagrams(O.merge_paragraphs(found).join(families, "doc_id"), F.col("family") == "acm").drop("family")
 
 
-def markdown(documents: DataFrame, lines: DataFrame, extracted: str | None = None) -> DataFrame:
+def markdown(documents: DataFrame, lines: DataFrame, extracted: str | None = None, settings: Heuristics = Heuristics(), pages: DataFrame | None = None) -> DataFrame:
     """doc_id, title, doi, markdown, pages, headings, tables, figures, footnotes of documents (doc_id, family, title, authors: text); lines as
-    in body_lines. extracted: the date of extraction, today if not given."""
+    in body_lines. extracted: the date of extraction, today if not given. pages: doc_id, n, told by the lines if not given."""
     own = documents.select("doc_id", "family", "title", "authors")
-    rows = settled(body_lines(lines))
-    pieces = settled(B.pieces_of(rows))
+    rows = settled(body_lines(lines, settings))
+    pieces = settled(B.pieces_of(rows, settings.keywords_as_h2, settings.nest_numeric_headings))
     found = settled(body_blocks(pieces, own.select("doc_id", "family")))
     heads = B.scan_title(rows).withColumnRenamed("title", "scanned")
     named = B.title_of(found).withColumnRenamed("title", "named")
@@ -47,11 +89,12 @@ def markdown(documents: DataFrame, lines: DataFrame, extracted: str | None = Non
     meta = meta.join(B.abstract_of(found), "doc_id", "left").join(B.keywords_of(found), "doc_id", "left")
     date = F.lit(extracted) if extracted else T.today()
     head = B.front_matter({"title": F.col("title"), "object-url": B.object_url(F.col("doi")), "doi": F.col("doi"), "date-extracted": date}, F.col("authors"), F.coalesce("keywords", F.array().cast("array<string>")), F.col("abstract"))
-    body = B.markdown_of(found, meta.select("doc_id", "title")).withColumnRenamed("markdown", "body")
+    titles = meta.select("doc_id", "title") if settings.dedupe_title_from_body else None
+    body = B.markdown_of(found, titles, settings.abstract_as_h1, settings.keywords_as_h2, settings.footnotes_to_endnotes).withColumnRenamed("markdown", "body")
     counted = B.counts(pieces)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = meta.withColumn("head", head).join(body, "doc_id", "left").join(counted, "doc_id", "left")
-    pages = lines.groupBy("doc_id").agg((F.max("page") + 1).alias("n"))
+    pages = pages if pages is not None else lines.groupBy("doc_id").agg((F.max("page") + 1).alias("n"))
     return out.join(pages, "doc_id", "left").select(
         "doc_id", "title", "doi", F.concat("head", F.coalesce("body", F.lit(""))).alias("markdown"), F.coalesce("n", F.lit(0)).cast("long").alias("pages"), *[zero(c) for c in ("headings", "tables", "figures", "footnotes")]
     )

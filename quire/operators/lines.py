@@ -18,13 +18,13 @@ def cleaned(raw: Column) -> Column:
     return T.detach_footnote(T.trim(T.normalize_typography(F.replace(raw, F.lit("\f"), F.lit("")))))
 
 
-def stream_lines(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, text: blank lines go; a line that ends in a hyphen takes on the next if that starts in lower case and no
+def stream_lines(lines: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
+    """key, line_no, text: blank lines go; a line that ends in a hyphen takes on the next if that starts in lower case and no
     blank line stands between. Whether a line joins depends on the physical line before it alone, so runs are islands."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.select("doc_id", "line_no", cleaned(F.col("raw")).alias("t"))
+    order = Window.partitionBy(*key).orderBy("line_no")
+    rows = lines.select(*key, "line_no", cleaned(F.col("raw")).alias("t"))
     rows = rows.withColumn("joins", F.coalesce(F.lag("t").over(order).endswith("-") & F.col("t").rlike("^[a-z]"), F.lit(False))).filter("t <> ''")
-    return join_runs(rows, "joins", "t")
+    return join_runs(rows, "joins", "t", key)
 
 
 def join_runs(rows: DataFrame, joins: str, text: str, key: tuple = ("doc_id",)) -> DataFrame:
@@ -52,9 +52,10 @@ def stitch_pairs(lines: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
     return join_runs(rows.withColumn("joins", F.col("can") & (at % 2 == 0)), "joins", "text", key)
 
 
-def without_chrome(lines: DataFrame) -> DataFrame:
+def without_chrome(lines: DataFrame, page_numbers: bool = True) -> DataFrame:
+    """Lines without running heads and the like; page_numbers: whether page numbers count among them."""
     cut = lines.withColumn("text", rules.without_chrome(F.col("text")))
-    return cut.filter(~rules.is_chrome(F.col("text")))
+    return cut.filter(~rules.is_chrome(F.col("text"), page_numbers))
 
 
 def renumbered(lines: DataFrame) -> DataFrame:
