@@ -12,7 +12,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TYPOGRAPHY = [
     (" ", " "), ("‘", "'"), ("’", "'"), ("′", "'"), ("“", '"'), ("”", '"'), ("–", " - "), ("—", " - "), ("…", "..."), ("''", '"'), ("``", '"'),
 ]
-WORD = r"([0-9A-Za-z'\-]|[^\x00-\x7F])+"
+#: One class, for a group that repeats would call itself for every character.
+WORD = r"[0-9A-Za-z'\-\x{80}-\x{10FFFF}]+"
+#: What \s stands for.
+BLANKS = " \t\n\x0b\f\r"
 DOI = r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
 #: Bytes of the characters that mark a badly decoded word.
 SUSPECT_BYTES = "EF|BF|BD|EE|80|BC"
@@ -23,20 +26,34 @@ def size(x: Column) -> Column:
     return F.octet_length(x)
 
 
+def is_ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.char_length(x)
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(BLANKS))
+
+
+def let(x: Column, f) -> Column:
+    """f of x, which is computed once however often f names it; without it the expressions of a rule grow with each use of their text,
+    beyond what can be compiled."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def collapse(x: Column) -> Column:
-    return trim(F.regexp_replace(x, r"\s+", " "))
+    """Few texts have runs of blanks, so that the expression is met by them alone."""
+    return let(x, lambda v: F.when(contains_any(v, ["  ", *BLANKS[1:]]), trim(F.regexp_replace(v, r"\s+", " "))).otherwise(F.btrim(v)))
 
 
 def normalize_typography(x: Column) -> Column:
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), TYPOGRAPHY, x)
+    """ASCII texts hold none but the last pairs."""
+    put = lambda v, pairs: reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, v)
+    return let(x, lambda v: F.when(is_ascii(v), put(v, [p for p in TYPOGRAPHY if p[0].isascii()])).otherwise(put(v, TYPOGRAPHY)))
 
 
 def ascii_lower(x: Column) -> Column:
-    return F.translate(x, UPPER, LOWER)
+    """Translation costs microseconds a text, so it is kept for texts with other letters."""
+    return F.when(is_ascii(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
 
 
 def words(x: Column) -> Column:
@@ -67,7 +84,8 @@ def detach_footnote(x: Column) -> Column:
 
 
 def fix_split_word(x: Column) -> Column:
-    return F.regexp_replace(collapse(x), r"(?i)\bprofes-\s*sional\b|\bprofes\s+sional\b", "professional")
+    split = lambda t: F.regexp_replace(t, r"(?i)\bprofes-\s*sional\b|\bprofes\s+sional\b", "professional")
+    return let(collapse(x), lambda t: F.when(F.lower(t).contains("profes"), split(t)).otherwise(t))
 
 
 def authors(x: Column) -> Column:

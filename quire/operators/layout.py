@@ -190,8 +190,8 @@ def classify(boxes: DataFrame, overrides: dict | None = None) -> DataFrame:
         boxes = boxes.withColumn("family", F.lit("generic"))
     overrides = overrides or {}
     page = Window.partitionBy(*PAGE)
-    low, y0, y1 = T.ascii_lower(F.col("text")), F.col("y0"), F.col("y1")
-    rows = boxes.withColumn("height", F.col("y1") - F.col("y0"))
+    low, y0, y1 = F.col("low"), F.col("y0"), F.col("y1")
+    rows = boxes.withColumn("height", F.col("y1") - F.col("y0")).withColumn("low", T.ascii_lower(F.col("text")))
     rows = middle_of(F.col("font_size"), page, "median_font", rows)
     rows = middle_of(F.col("height"), page, "median_height", rows)
     rows = rows.withColumn("note", is_note_number(F.col("median_height")))
@@ -225,7 +225,7 @@ def classify(boxes: DataFrame, overrides: dict | None = None) -> DataFrame:
         .when((y0 > HEIGHT * FOOTNOTE_ZONE) & (middle > 0) & (font > 0) & (font < middle * 0.82), "Footnote")
         .otherwise("Body")
     )
-    return rows.withColumn("region", region).drop("seed", "left", "note", "height", "start_left", "start_right", "median_font")
+    return rows.withColumn("region", region).drop("seed", "left", "note", "height", "low", "start_left", "start_right", "median_font")
 
 
 def float_islands(boxes: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ REGION_NAMES = {
 
 
 def _low(x: Column) -> Column:
-    return T.ascii_lower(T.trim(x))
+    return T.let(T.trim(x), T.ascii_lower)
 
 
 def is_running_head(x: Column, strip_page_numbers: bool = True) -> Column:
@@ -78,48 +78,61 @@ def is_chrome(cut: Column, strip_page_numbers: bool = True) -> Column:
 
 
 def is_boilerplate(x: Column) -> Column:
-    low = _low(x)
-    return low.isin(BOILERPLATE_EXACT) | low.rlike("^[a-z]$") | T.starts_any(low, BOILERPLATE_STARTS) | T.contains_any(low, BOILERPLATE_CONTAINS) | low.rlike(PUBLICATION_DATE)
+
+    def of(low: Column) -> Column:
+        return low.isin(BOILERPLATE_EXACT) | low.rlike("^[a-z]$") | T.starts_any(low, BOILERPLATE_STARTS) | T.contains_any(low, BOILERPLATE_CONTAINS) | low.rlike(PUBLICATION_DATE)
+
+    return T.let(_low(x), of)
 
 
 def is_ancillary(x: Column) -> Column:
-    low = _low(x)
-    return (low != "") & (
-        T.contains_any(low, ANCILLARY_CONTAINS)
-        | (low.startswith("american psychological") & (T.size(low) < 80))
-        | (low.contains("american psychological association") & low.contains("subscription"))
-    )
+
+    def of(low: Column) -> Column:
+        return (low != "") & (
+            T.contains_any(low, ANCILLARY_CONTAINS)
+            | (low.startswith("american psychological") & (T.size(low) < 80))
+            | (low.contains("american psychological association") & low.contains("subscription"))
+        )
+
+    return T.let(_low(x), of)
 
 
 def is_author_roster(x: Column) -> Column:
-    t = T.trim(x)
-    low = T.ascii_lower(t)
-    pairs = F.lit(False)
-    for a, b in ROSTER_PAIRS:
-        pairs |= low.contains(a) & low.contains(b)
-    capitals = F.regexp_count(t, F.lit("(?<![A-Za-z])[A-Z]"))
-    listed = (F.regexp_count(t, F.lit(",")) >= 3) & low.contains(" and ") & (capitals >= 6) & t.rlike("^[A-Z]") & (T.size(t) < 200)
-    return T.size(t).between(10, 280) & ~T.contains_any(low, PROSE) & (pairs | listed)
+
+    def of(t: Column, low: Column) -> Column:
+        pairs = F.lit(False)
+        for a, b in ROSTER_PAIRS:
+            pairs |= low.contains(a) & low.contains(b)
+        capitals = F.regexp_count(t, F.lit("(?<![A-Za-z])[A-Z]"))
+        listed = (F.regexp_count(t, F.lit(",")) >= 3) & low.contains(" and ") & (capitals >= 6) & t.rlike("^[A-Z]") & (T.size(t) < 200)
+        return T.size(t).between(10, 280) & ~T.contains_any(low, PROSE) & (pairs | listed)
+
+    return T.let(T.trim(x), lambda t: T.let(T.ascii_lower(t), lambda low: of(t, low)))
 
 
 def heading_level(x: Column, keywords_as_h2: bool = True, nest_numbers: bool = True) -> Column:
-    t = T.trim(x)
-    low = T.ascii_lower(t)
-    number = F.regexp_extract(t, NUMBERED, 1)
-    known = low.isin([*SECTIONS, "references"]) | T.starts_any(low, [f"{s} " for s in [*SECTIONS, "references"]])
-    alpha, capital = T.letters(t), T.letters(t, "A-Z")
-    short = (T.size(t) < 80) & ~t.contains(".") & (alpha >= 4) & (capital >= F.floor(alpha / 2))
-    level = F.when(low.isin(SECTIONS_EXACT) | low.startswith("appendix "), 1).when(low.isin("keywords", "key words"), 2 if keywords_as_h2 else 1)
-    level = level.when(low.isin("general terms", "categories and subject descriptors"), 1)
-    if nest_numbers:
-        level = level.when(number != "", F.least(F.lit(6), F.regexp_count(number, F.lit(r"\.")) + 1))
-    return level.when(known, 1).when(short, 1).otherwise(0)
+
+    def of(t: Column, low: Column) -> Column:
+        number = F.regexp_extract(t, NUMBERED, 1)
+        known = low.isin([*SECTIONS, "references"]) | T.starts_any(low, [f"{s} " for s in [*SECTIONS, "references"]])
+        alpha, capital = T.letters(t), T.letters(t, "A-Z")
+        short = (T.size(t) < 80) & ~t.contains(".") & (alpha >= 4) & (capital >= F.floor(alpha / 2))
+        level = F.when(low.isin(SECTIONS_EXACT) | low.startswith("appendix "), 1).when(low.isin("keywords", "key words"), 2 if keywords_as_h2 else 1)
+        level = level.when(low.isin("general terms", "categories and subject descriptors"), 1)
+        if nest_numbers:
+            level = level.when(number != "", F.least(F.lit(6), F.regexp_count(number, F.lit(r"\.")) + 1))
+        return level.when(known, 1).when(short, 1).otherwise(0)
+
+    return T.let(T.trim(x), lambda t: T.let(T.ascii_lower(t), lambda low: of(t, low)))
 
 
 def is_accepted_heading(x: Column) -> Column:
     """A heading by level that is short enough and numbered, of one word, under 90 bytes, or by name."""
-    t = T.trim(x)
-    return (heading_level(x) > 0) & (T.size(t) < 120) & (t.rlike(NUMBERED) | ~t.contains(" ") | (T.size(t) < 90) | _low(x).isin("abstract", "keywords", "references", "conclusion"))
+
+    def of(t: Column) -> Column:
+        return (T.size(t) < 120) & (t.rlike(NUMBERED) | ~t.contains(" ") | (T.size(t) < 90) | _low(t).isin("abstract", "keywords", "references", "conclusion")) & (heading_level(t) > 0)
+
+    return T.let(T.trim(x), of)
 
 
 def glued_heading(x: Column) -> Column:
@@ -133,9 +146,12 @@ def glued_heading(x: Column) -> Column:
 
 
 def is_title_like(x: Column, title: Column) -> Column:
-    a, b = T.ascii_lower(T.collapse(x)), T.ascii_lower(T.collapse(title))
-    mangled = b.contains("drudgery") & a.contains("rudgery") & a.contains("deep thought")
-    return (b != "") & (a.contains(b) | mangled)
+
+    def of(a: Column, b: Column) -> Column:
+        mangled = b.contains("drudgery") & a.contains("rudgery") & a.contains("deep thought")
+        return (b != "") & (a.contains(b) | mangled)
+
+    return T.let(T.let(T.collapse(x), T.ascii_lower), lambda a: T.let(T.let(T.collapse(title), T.ascii_lower), lambda b: of(a, b)))
 
 
 def without_title(x: Column, title: Column) -> Column:
@@ -144,8 +160,11 @@ def without_title(x: Column, title: Column) -> Column:
 
 
 def is_references_heading(x: Column) -> Column:
-    low = _low(x)
-    return low.isin("references", "bibliography", "works cited") | (low.startswith("references") & (T.size(low) <= 14))
+
+    def of(low: Column) -> Column:
+        return low.isin("references", "bibliography", "works cited") | (low.startswith("references") & (T.size(low) <= 14))
+
+    return T.let(_low(x), of)
 
 
 def layout_family(path: Column, title: Column) -> Column:
