@@ -141,8 +141,11 @@ def doc_quality(spark, sf_dir):
 @query(f"WITH {V.WORDS} SELECT doc_id, count(*) AS n, sum(strlen(word))::BIGINT AS n_bytes, count(DISTINCT word) AS n_distinct FROM words GROUP BY doc_id")
 def word_tokens(spark, sf_dir):
     """T5: words of each document."""
-    w = V.documents(spark, sf_dir).select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
-    return w.groupBy("doc_id").agg(F.count("w").alias("n"), F.sum(T.size(F.col("w"))).alias("n_bytes"), F.countDistinct("w").alias("n_distinct"))
+    w = V.documents(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    # words hold no blanks, so a document's distinct ones travel as one text; rows of one doc_id meet
+    rows = w.select("doc_id", F.size("w").alias("n"), T.size(F.array_join("w", "")).alias("b"), F.array_join(F.array_distinct("w"), " ").alias("d"))
+    found = rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("b").alias("n_bytes"), F.array_join(F.collect_list("d"), " ").alias("d"))
+    return found.select("doc_id", "n", "n_bytes", F.size(F.array_distinct(F.split("d", " "))).cast("long").alias("n_distinct"))
 
 
 RUN_SQL = """, r1 AS (SELECT *, coalesce(lag(text) OVER w LIKE '%-' AND regexp_matches(text, '^[a-z]'), false) AS can FROM {src} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import blocks, layout, lines, overleaf, streams
 from quire.plans import catalog
 
@@ -171,3 +172,37 @@ def test_row_bands_drift(spark):
     df = spark.createDataFrame([(rows,)], "b array<struct<y0:double,left:boolean,right:boolean>>")
     got = df.select(overleaf.row_bands(F.col("b")).alias("r")).first().r
     assert [tuple(x) for x in got] == [(102.75, True, True), (120.0, True, False)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_travel_by_document(spark):
+    # no row a word is dealt; a row of 20,000 letters is one word
+    assert "Generate" not in plan_of(catalog.queries()["word_tokens"](spark, SF))
+    got = spark.createDataFrame([("é" * 20_000 + " b",)], "t string").select(F.size(text.words(F.col("t"))).alias("n")).first()
+    assert got.n == 2
+
+
+def test_stream_select_reads_each_stream_once(spark):
+    assert plan_of(catalog.queries()["stream_select"](spark, SF)).count("parquet") == 2
+
+
+def test_rows_of_boxes_by_stretches():
+    import random
+
+    def plain(tops, sides):
+        bands = []
+        for y, side in zip(tops, sides):
+            at = next((i for i, b in enumerate(bands) if abs(b[0] - y) <= 3.0), None)
+            if at is None:
+                bands.append([y, side])
+            else:
+                bands[at] = [(bands[at][0] + y) * 0.5, bands[at][1] | side]
+        return bands
+
+    rng = random.Random(1)
+    for _ in range(50):
+        tops, sides = [rng.randrange(0, 400) / 4 for _ in range(200)], [rng.randrange(8) for _ in range(200)]
+        assert overleaf.rows_of(tops, sides) == plain(tops, sides)
