@@ -327,6 +327,36 @@ def test_exact_kept_rows_without_doc_ids(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("3", "c"), ("None", "None"), ("None", "a  b"), ("None", "only"), ("None", "twice")]
 
 
+def test_near_dedup_searches_no_set_pair_by_pair(monkeypatch):
+    # 240 sets around a common passage that lie under the bound, and chains of sets above it, light and heavy
+    rng = np.random.default_rng(5)
+    common, sets = rng.integers(0, 2**63, 90, dtype=np.uint64), []
+    for i in range(240):
+        own = np.concatenate([common, rng.integers(0, 2**63, 60, dtype=np.uint64)])
+        for _ in range(1 + (i % 8 == 0) * 3):
+            sets.append(np.unique(own))
+            own = np.concatenate([own[8:], rng.integers(0, 2**63, 8, dtype=np.uint64)])
+    n, heavy, asks = len(sets), [i % 5 == 0 for i in range(len(sets))], [i % 3 > 0 for i in range(len(sets))]
+    searched, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: searched.append(1) or real(*a, **b))
+    for coded in (near_dedup.CODED, 0):
+        monkeypatch.setattr(near_dedup, "CODED", coded, raising=False)
+        for asking in (None, asks):
+            links = near_dedup.link_group(list(range(n)), sets, 80, heavy, asking)
+            assert len(searched) < 10 * n
+            searched.clear()
+            want = list(range(n))
+            for i in range(n):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if abs(i - j) < 9 else 0
+                    if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and not (heavy[i] and heavy[j]) and (asking is None or asking[i] or asking[j]):
+                        want = [want[j] if x == want[i] else x for x in want]
+            got = list(range(n))
+            for i, j in links:
+                got = [got[j] if x == got[i] else x for x in got]
+            assert {tuple(k for k in range(n) if x[k] == c) for x in [want] for c in x} == {tuple(k for k in range(n) if x[k] == c) for x in [got] for c in x}
+
+
 def test_near_dedup_without_doc_ids(spark):
     # copies of one text, one of them without a doc_id, and a near copy of them
     text = " ".join(f"w{i}" for i in range(80))
