@@ -185,6 +185,20 @@ def test_words_travel_by_document(spark):
     assert got.n == 2
 
 
+def test_pages_are_sorted_once(spark):
+    # medians, note starts and seeds are windows over one order, and rules of regions are no part of a filter by region
+    for name, sorts in (("region_classify", 1), ("footnote_start", 1), ("visual_lines", 2)):
+        found = catalog.queries()[name](spark, SF)
+        assert found._jdf.queryExecution().executedPlan().toString().count(" Sort [") == sorts and plan_of(found).count("THEN Wrapper") <= 1, name
+
+
+def test_upper_medians(spark):
+    for sizes in ([], [None, 0.0, -1.0], [3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0], [2.0, None, 0.0, 7.0, 4.0, 4.0], [float(i * 7 % 11) for i in range(40)]):
+        found = layout.middle_of("x", "m", spark.createDataFrame([(1, 0, v) for v in sizes or [None]], "doc_id long, page int, x double")).select("m").distinct().collect()
+        some = sorted(v for v in sizes if v and v > 0)
+        assert [r.m for r in found] == [some[len(some) // 2] if some else 0.0], sizes
+
+
 def test_stream_select_reads_each_stream_once(spark):
     assert plan_of(catalog.queries()["stream_select"](spark, SF)).count("parquet") == 2
 
