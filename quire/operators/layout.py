@@ -45,19 +45,31 @@ def medians(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*PAGE).agg(upper_median(F.when(size > 0, size)).alias("median_font"), upper_median(F.when(height > 0, height)).alias("median_height"))
 
 
-def _covered(boxes: DataFrame) -> DataFrame:
-    """doc_id, page, held: first and last bin under each body box narrower than 0.6 of the page; pages of 30 such boxes or more."""
+def _spans(boxes: DataFrame) -> DataFrame:
+    """doc_id, page, span: first and last bin (lo, hi) under each body box narrower than 0.6 of the page."""
     last = F.lit(BINS - 1)
     bin_of = lambda x: F.least(last, F.greatest(F.lit(0), x)).cast("int")
     narrow = boxes.filter((F.col("region") == "Body") & (F.col("x1") - F.col("x0") <= WIDTH * 0.60))
-    span = F.struct(bin_of(F.floor(F.col("x0") / WIDTH * BINS)).alias("lo"), bin_of(F.ceil(F.col("x1") / WIDTH * BINS)).alias("hi"))
-    return narrow.groupBy(*PAGE).agg(F.collect_list(span).alias("held")).filter(F.size("held") >= 30)
+    return narrow.select(*PAGE, F.struct(bin_of(F.floor(F.col("x0") / WIDTH * BINS)).alias("lo"), bin_of(F.ceil(F.col("x1") / WIDTH * BINS)).alias("hi")).alias("span"))
+
+
+def _covered(boxes: DataFrame) -> DataFrame:
+    """doc_id, page, held: the spans of pages of 30 or more."""
+    return _spans(boxes).groupBy(*PAGE).agg(F.collect_list("span").alias("held")).filter(F.size("held") >= 30)
 
 
 def histogram(boxes: DataFrame) -> DataFrame:
-    """doc_id, page, bin, n: how many narrow body boxes cover each of BINS bins, of boxes with region."""
-    every = F.concat(F.flatten(F.transform("held", lambda x: F.sequence(x["lo"], x["hi"]))), F.sequence(F.lit(0), F.lit(BINS - 1)))
-    return _covered(boxes).select(*PAGE, F.explode(every).alias("bin")).groupBy(*PAGE, "bin").agg((F.count(F.lit(1)) - 1).alias("n"))
+    """doc_id, page, bin, n: how many narrow body boxes cover each of BINS bins, of boxes with region; pages of 30 such boxes or more.
+
+    A box counts at its two ends only; between two ends of a page the number is the same, so bins are written from runs."""
+    end = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    ends = _spans(boxes).select(*PAGE, F.explode(F.array(end(F.col("span.lo"), 1), end(F.col("span.hi") + 1, -1))).alias("x"))
+    steps = ends.groupBy(*PAGE, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"), F.count_if(F.col("x.d") > 0).alias("begun"))
+    held = steps.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("at", "d"))).alias("steps"), F.sum("begun").alias("boxes")).filter("boxes >= 30")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    run = lambda acc, at: F.concat(acc["out"], F.array_repeat(acc["n"], at - acc["at"]))
+    step = lambda acc, x: F.struct(x["at"].alias("at"), (acc["n"] + x["d"]).alias("n"), run(acc, x["at"]).alias("out"))
+    return held.select(*PAGE, F.posexplode(F.aggregate("steps", start, step, lambda acc: run(acc, F.lit(BINS)))).alias("bin", "n"))
 
 
 def widest_gap(held: Column) -> Column:
@@ -67,7 +79,7 @@ def widest_gap(held: Column) -> Column:
     lo, hi = int(BINS * 0.28), int(BINS * 0.72)
     clip = lambda x: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
     ends = F.flatten(F.transform(held, lambda x: F.array(F.struct(clip(x["lo"]).alias("at"), F.lit(1).alias("d")), F.struct(clip(x["hi"] + 1).alias("at"), F.lit(-1).alias("d")))))
-    order = F.array_sort(F.concat(ends, F.array(F.struct(F.lit(hi).alias("at"), F.lit(0).alias("d")))))
+    order = F.sort_array(F.concat(ends, F.array(F.struct(F.lit(hi).alias("at"), F.lit(0).alias("d")))))
     none = F.struct(F.lit(lo).alias("at"), F.lit(0).alias("n"), F.lit(lo).alias("start"), F.lit(0).alias("k"), F.lit(0).alias("a"))
 
     def step(acc: Column, x: Column) -> Column:
