@@ -1,5 +1,7 @@
 """Each query against DuckDB, and hand-made documents."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,19 @@ def test_pages_are_sorted_once(spark):
         assert found._jdf.queryExecution().executedPlan().toString().count(" Sort [") == sorts and plan_of(found).count("THEN Wrapper") <= 1, name
 
 
+def test_bins_and_rows_are_no_product(spark):
+    # no row a box and bin, no search through a column's rows for each box
+    plan = plan_of(catalog.queries()["column_histogram"](spark, SF))
+    assert "sequence(" not in plan[: plan.index("Window")]
+    for name in ("linearize", "merged_lines"):
+        assert " filter(" not in plan_of(catalog.queries()[name](spark, SF)) and "(filter(" not in plan_of(catalog.queries()[name](spark, SF))
+    # bins at the page's ends, a box of one bin, and 29 boxes
+    rows = [(1, 0, "Body", x, x + w) for x, w in [(0.0, 0.0), (-5.0, 3.0), (598.0, 9.0), (300.0, 360.0)] + [(10.0 * i, 25.0) for i in range(27)]] + [(2, 0, "Body", 0.0, 9.0)] * 29
+    found = {r.bin: r.n for r in layout.histogram(spark.createDataFrame(rows, "doc_id long, page int, region string, x0 double, x1 double")).collect() if r.doc_id == 1}
+    cut = lambda v: min(239, max(0, v))
+    assert found == {b: sum(cut(math.floor(x0 / 600 * 240)) <= b <= cut(math.ceil(x1 / 600 * 240)) for _, page, _, x0, x1 in rows[:31]) for b in range(240)}
+
+
 def test_upper_medians(spark):
     for sizes in ([], [None, 0.0, -1.0], [3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0], [2.0, None, 0.0, 7.0, 4.0, 4.0], [float(i * 7 % 11) for i in range(40)]):
         found = layout.middle_of("x", "m", spark.createDataFrame([(1, 0, v) for v in sizes or [None]], "doc_id long, page int, x double")).select("m").distinct().collect()
