@@ -2,97 +2,68 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from quire.functions import text as T
-from . import rules
-
-# What a document's body starts with, and phrases of the layout families.
-ANCHORS = ["1. introduction", "perseus and other", "what explains the"]
-SCAN_TITLE, SCAN_SUBTITLE, SCAN_BODY = "a national survey of practicing psychologists", "psychotherapy treatment manuals", "there has been considerable debate"
-PERMISSION, PERMISSION_END = "permission to make digital", "copyright 2002 acm"
-KEYWORDS, INTRODUCTION, SHORT_FIGURE = ["keywords", "key words", "keywords:"], r"(?i)^1\.?\s+introduction\b", r"(?i)^figure\s+\d+[a-z]?[\.,]?$"
-CLEARING = "managing the texts"
+from . import passes
+from .passes import ANCHORS, CLEARING, INTRODUCTION, KEYWORDS, PERMISSION, PERMISSION_END, SCAN_BODY, SHORT_FIGURE  # noqa: F401  the SQL names them here
+
+# Phrases of the layout families; those of lines' passes are in `passes`.
+SCAN_TITLE, SCAN_SUBTITLE = "a national survey of practicing psychologists", "psychotherapy treatment manuals"
 #: Fields of a document's head behind title and authors, in order.
 FIELDS = ["date-published", "date-received", "date-accepted", "publisher", "object-url", "source-format", "published-formats", "doi", "type", "pages", "date-accessed", "date-extracted"]
 
 
+LINE, PIECE = ["page", "line_no", "family", "title", "text"], ["page", "line_no", "part", "n", "kind", "level", "text", "cleared"]
+
+
+def _line_lists(lines: DataFrame) -> DataFrame:
+    for name, value in (("page", F.lit(0).cast("long")), ("family", F.lit("generic")), ("title", F.lit(""))):
+        lines = lines if name in lines.columns else lines.withColumn(name, value)
+    return passes.held(lines, ("doc_id",), LINE)
+
+
+def _made(lists: DataFrame, names: list[str]) -> StructType:
+    """The rows of a pass over lists: page and line_no as they are there."""
+    types = {"part": IntegerType(), "n": IntegerType(), "kind": StringType(), "level": IntegerType(), "text": StringType(), "cleared": BooleanType(), "block_no": IntegerType()}
+    given = {f.name: f.dataType for f in lists.schema["rows"].dataType.elementType}
+    return StructType([StructField(n, given[n] if n in ("page", "line_no") else types[n]) for n in names])
+
+
 def pieces_of(lines: DataFrame, keywords_as_h2: bool = True, nest_numbers: bool = True) -> DataFrame:
     """doc_id, page, line_no, part, n, kind, level, text, cleared of what each line gives to the blocks; Figure is a caption that is counted
     only. lines: doc_id, page, line_no, text, and, if known, family and title.
 
-    State that runs down the lines (body begun, references seen, dropping, waiting) is the last or largest event before; it is read over
-    the document, or its pages, from one exchange by doc_id. In rail pages a keywords line behind the references, in a part that goes, is
-    taken for one all the same."""
-    for name, value in (("page", F.lit(0).cast("long")), ("family", F.lit("generic")), ("title", F.lit(""))):
-        lines = lines if name in lines.columns else lines.withColumn(name, value)
-    doc, page = Window.partitionBy("doc_id").orderBy("page", "line_no"), Window.partitionBy("doc_id", "page").orderBy("line_no")
-    upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
-    last = lambda event, over: F.coalesce(F.last(event, ignorenulls=True).over(over.rowsBetween(*before)), F.lit(False))
-    t, low, family = F.col("t"), F.col("low"), F.col("family")
-    rows = lines.select("doc_id", "page", "line_no", "family", "title", T.fix_split_word(T.normalize_typography(F.col("text"))).alias("t")).filter("t <> ''")
-    rows = rows.withColumn("low", T.ascii_lower(t)).withColumn("n", F.row_number().over(page)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page")))
-    starts, ends = low.contains(PERMISSION), low.contains(PERMISSION_END)
-    rows = rows.withColumn("held", starts | last(F.when(starts, True).when(ends, False), page))
-    keyword, intro = low.isin(KEYWORDS), t.rlike(INTRODUCTION)
-    waits = last(F.when(keyword, True).when(intro, False), doc) & ~keyword & ~intro & ~F.coalesce(F.lag(low).over(page).isin(KEYWORDS), F.lit(False))
-    rail = (family == "frontiers") & (waits | (low.contains("in region") & low.contains("last 36 months")))
-    skip = ((family == "acm") & F.col("held")) | rail | rules.is_boilerplate(t) | ((family == "magazine") & rules.is_author_roster(t))
-    rows = rows.withColumn("skip", skip)
-    titled, rest = rules.is_title_like(t, F.col("title")), rules.without_title(t, F.col("title"))
-    usable = titled & (rest != "") & ~rules.is_title_like(rest, F.col("title"))
-    plain = low.isin("abstract", "keywords") | low.startswith(ANCHORS[0])
-    scan = family == "scan"
-    anchor = ~F.col("skip") & F.when(scan, low.startswith(SCAN_BODY)).otherwise(plain | F.when(titled, usable).otherwise(T.starts_any(low, ANCHORS[1:])))
-    rows = rows.withColumn("anchor", anchor).withColumn("was", F.coalesce(F.max("anchor").over(doc.rowsBetween(*before)), F.lit(False)))
-    rows = rows.withColumn("begun", F.col("was") | F.col("anchor")).withColumn("t", F.when(~F.col("was") & F.col("anchor") & ~plain & ~scan & titled, rest).otherwise(t))
-    rows = rows.withColumn("live", F.col("begun") & ~F.col("skip")).withColumn("caption", T.is_caption(t)).withColumn("glued", rules.glued_heading(t))
-    lower = T.ascii_lower(t)
-    heading = rules.is_accepted_heading(t) & (F.col("glued.heading") == "") & ~F.col("caption")
-    rows = rows.withColumn("seen", F.coalesce(F.max(F.col("live") & heading & lower.isin("references", "bibliography", "works cited")).over(doc.rowsBetween(*before)), F.lit(False)))
-    rows = rows.withColumn("dropped", F.max(F.col("seen") & rules.is_ancillary(t)).over(page.rowsBetween(*upto))).filter("live AND NOT dropped")
-    at_end = (F.col("n") > 1) & (F.col("n") + 2 > F.col("all"))
-    number = F.regexp_extract(t, r"(?i)^\s*(?:figure|fig\.)\s+(\d+)", 1)
-    kind = (
-        F.when(F.col("caption") & (family == "acm"), F.when(number.rlike("^0*6$"), "Sixth").otherwise("Caption"))
-        .when(F.col("caption") & (family == "frontiers") & t.rlike(SHORT_FIGURE), "Reference").when(F.col("caption"), "Figure")
-        .when(heading, "Heading").when(T.is_footnote(t) & at_end, "Footnote").otherwise("Paragraph")
-    )
-    rows = rows.withColumn("kind", kind)
-    none = F.lit(0)
-    both = F.array(
-        F.struct(none.alias("part"), F.lit("Heading").alias("kind"), F.lit(1).alias("level"), F.col("glued.heading").alias("text")),
-        F.struct(F.lit(1).alias("part"), F.when(T.is_footnote(F.col("glued.rest")) & at_end, "Footnote").otherwise("Paragraph").alias("kind"), none.alias("level"), F.col("glued.rest").alias("text")),
-    )
-    one = F.array(F.struct(none.alias("part"), F.col("kind"), F.when(F.col("kind") == "Heading", rules.heading_level(t, keywords_as_h2, nest_numbers)).otherwise(0).alias("level"), t.alias("text")))
-    parts = F.when((F.col("glued.heading") != "") & ~F.col("caption"), both).otherwise(one)
-    pieces = rows.select("doc_id", "page", "line_no", "n", "family", F.explode(parts).alias("b")).select("doc_id", "page", "line_no", "n", "family", "b.*").filter("text <> ''")
-    clears = F.when((family == "magazine") & (F.col("kind") == "Heading") & (T.ascii_lower(F.col("text")) == CLEARING), F.col("n"))
-    return pieces.withColumn("cleared", F.coalesce(F.col("n") < F.max(clears).over(Window.partitionBy("doc_id", "page")), F.lit(False))).drop("family")
+    State that runs down the lines (body begun, references seen, dropping, waiting) is kept by a pass over each document's lines, which
+    meet in one exchange by doc_id. In rail pages a keywords line behind the references, in a part that goes, is taken for one all the
+    same."""
+    lists = _line_lists(lines)
+    return passes.passed(lists, ("doc_id",), partial(passes.pieces, keywords_as_h2=keywords_as_h2, nest_numbers=nest_numbers), _made(lists, PIECE))
+
+
+BLOCK = ["page", "block_no", "line_no", "kind", "level", "text"]
 
 
 def blocks_of(pieces: DataFrame) -> DataFrame:
     """doc_id, page, block_no, line_no, kind, level, text of each block; block_no runs through the document. Paragraphs are islands: a line
     goes on unless the one before ends a sentence and lines between were left out."""
-    page = Window.partitionBy("doc_id", "page").orderBy("line_no", "part")
-    prose = F.col("kind").isin("Paragraph", "Reference")
-    rows = pieces.filter((F.col("kind") != "Figure") & ~F.col("cleared")).withColumn("prose", prose)
-    hole = (F.col("n") - F.lag("n").over(page) > 1) & T.ends_sentence(F.lag("text").over(page)) & (F.col("kind") == "Paragraph")
-    first = ~F.col("prose") | F.coalesce(~F.lag("prose").over(page), F.lit(True)) | hole
-    runs = rows.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(page)).filter("kind <> 'Sixth'")
-    held = runs.groupBy("doc_id", "page", "run").agg(F.sort_array(F.collect_list(F.struct("line_no", "part", "kind", "level", "text"))).alias("p"))
-    joined = F.aggregate("p", F.lit(""), lambda acc, x: F.when(acc == "", x["text"]).when(acc.endswith("-") & (x["kind"] != "Reference"), F.concat(acc, x["text"])).otherwise(F.concat(acc, F.lit(" "), x["text"])))
-    head = F.col("p")[0]
-    kind = F.when(head["kind"] == "Reference", "Paragraph").otherwise(head["kind"])
-    text = F.when(kind == "Paragraph", T.fix_split_word(joined)).otherwise(joined)
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "run"))
-    return held.select("doc_id", "page", number.alias("block_no"), head["line_no"].alias("line_no"), kind.alias("kind"), head["level"].alias("level"), text.alias("text"))
+    lists = passes.held(pieces, ("doc_id",), PIECE)
+    return passes.passed(lists, ("doc_id",), passes.blocks_of, _made(lists, BLOCK))
+
+
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """The blocks of lines' pieces, in one pass."""
+    lists = _line_lists(lines)
+    return passes.passed(lists, ("doc_id",), passes.line_blocks, _made(lists, BLOCK))
 
 
 def generic_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of lines (doc_id, line_no, text): the generic layout, one page a document, without a title."""
-    return blocks_of(pieces_of(lines)).drop("page")
+    return line_blocks(lines).drop("page")
 
 
 def scan_title(lines: DataFrame) -> DataFrame:
@@ -105,6 +76,28 @@ def scan_title(lines: DataFrame) -> DataFrame:
     return found.filter("a IS NOT NULL").select("doc_id", F.concat_ws(": ", "a", "b").alias("title"))
 
 
+def _one(name: str, kind: DataType) -> StructType:
+    return StructType([StructField(name, kind)])
+
+
+#: What a pass over each document's pieces can make, by name: the pass, and the columns of its rows.
+MADE = {
+    "blocks": (passes.blocks, StructType([StructField("page", LongType()), StructField("block_no", IntegerType()), StructField("line_no", LongType()), StructField("kind", StringType()), StructField("level", IntegerType()), StructField("text", StringType())])),
+    "title": (passes.of_blocks(passes.title), _one("title", StringType())),
+    "abstract": (passes.of_blocks(passes.abstract), _one("abstract", StringType())),
+    "keywords": (passes.of_blocks(passes.keywords), _one("keywords", ArrayType(StringType()))),
+    "markdown": (passes.of_blocks(passes.markdown_body), _one("markdown", StringType())),
+    "counts": (passes.counts, StructType([StructField(c, LongType()) for c in ("pages", "headings", "tables", "figures", "footnotes")])),
+}
+
+
+def of_streams(streams: DataFrame, what: str, per_page: int | None = None) -> DataFrame:
+    """doc_id and MADE[what] of raw streams (doc_id, family, title, rows: line_no and raw in order), with pages of so many lines if told:
+    lines, pieces and what follows from them in one pass over a document, so that no line is dealt."""
+    run, schema = MADE[what]
+    return passes.passed(streams, ("doc_id",), passes.of_streams(run, per_page), schema, ("family", "title"))
+
+
 def title_of(blocks: DataFrame) -> DataFrame:
     """doc_id, title: the first heading of eight bytes or more that isn't a section's name."""
     named = T.ascii_lower(F.col("text")).isin("abstract", "keywords", "references")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions import text as T
-from . import rules
+from . import passes, rules
 
 
 def physical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -14,17 +15,16 @@ def physical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "raw"))
 
 
-def cleaned(raw: Column) -> Column:
-    return T.detach_footnote(T.trim(T.normalize_typography(F.replace(raw, F.lit("\f"), F.lit("")))))
-
-
 def stream_lines(lines: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
     """key, line_no, text: blank lines go; a line that ends in a hyphen takes on the next if that starts in lower case and no
-    blank line stands between. Whether a line joins depends on the physical line before it alone, so runs are islands."""
-    order = Window.partitionBy(*key).orderBy("line_no")
-    rows = lines.select(*key, "line_no", cleaned(F.col("raw")).alias("t"))
-    rows = rows.withColumn("joins", F.coalesce(F.lag("t").over(order).endswith("-") & F.col("t").rlike("^[a-z]"), F.lit(False))).filter("t <> ''")
-    return join_runs(rows, "joins", "t", key)
+    blank line stands between. A key's lines are one list, over which a pass runs."""
+    return streamed(passes.held(lines, key, ["line_no", "raw"]), key)
+
+
+def streamed(lists: DataFrame, key: tuple = ("doc_id",)) -> DataFrame:
+    """The same of lists `rows` of (line_no, raw) in order."""
+    number = lists.schema["rows"].dataType.elementType["line_no"]
+    return passes.passed(lists, key, passes.stream, StructType([number, StructField("text", StringType())]))
 
 
 def join_runs(rows: DataFrame, joins: str, text: str, key: tuple = ("doc_id",)) -> DataFrame:

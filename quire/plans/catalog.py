@@ -223,25 +223,21 @@ BLOCK_SQL = f"{PAGED}, {block_sql('paged')}"
 GENERIC_SQL = f"{V.LINES}, plain_page AS (SELECT doc_id, 0::BIGINT AS page, line_no, text, 'generic' AS family, '' AS title FROM lines), {block_sql('plain_page')}"
 
 
-def _pieces(spark, sf_dir):
-    return B.pieces_of(V.paged(V.marked_lines(spark, sf_dir)))
-
-
-def _blocks(spark, sf_dir):
-    return B.blocks_of(_pieces(spark, sf_dir))
+def _made(spark, sf_dir, what):
+    return B.of_streams(V.titled_streams(spark, sf_dir), what, V.PER_PAGE)
 
 
 @query(f"WITH {GENERIC_SQL} SELECT doc_id, block_no, line_no, kind, level, text FROM blocks")
 def generic_blocks(spark, sf_dir):
     """Blocks of the generic layout."""
-    found = B.generic_blocks(V.marked_lines(spark, sf_dir))
-    return found.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.col("line_no").cast("long").alias("line_no"), "kind", F.col("level").cast("long").alias("level"), "text")
+    found = B.of_streams(V.marked_streams(spark, sf_dir).withColumn("family", F.lit("generic")).withColumn("title", F.lit("")), "blocks")
+    return found.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "line_no", "kind", F.col("level").cast("long").alias("level"), "text")
 
 
 @query(f"WITH {BLOCK_SQL} SELECT doc_id, page, block_no, line_no, kind, level, text FROM blocks")
 def family_blocks(spark, sf_dir):
     """Blocks of all layout families, page by page."""
-    return _blocks(spark, sf_dir).select("doc_id", "page", F.col("block_no").cast("long").alias("block_no"), "line_no", "kind", F.col("level").cast("long").alias("level"), "text")
+    return _made(spark, sf_dir, "blocks").select("doc_id", "page", F.col("block_no").cast("long").alias("block_no"), "line_no", "kind", F.col("level").cast("long").alias("level"), "text")
 
 
 def title_sql(source: str = "blocks") -> str:
@@ -262,19 +258,19 @@ def keywords_sql(source: str = "blocks") -> str:
 @query(f"WITH {BLOCK_SQL} {title_sql()}")
 def title_fallback(spark, sf_dir):
     """Titles from headings."""
-    return B.title_of(_blocks(spark, sf_dir))
+    return _made(spark, sf_dir, "title")
 
 
 @query(f"WITH {BLOCK_SQL} {abstract_sql()}")
 def abstract_extract(spark, sf_dir):
     """Abstracts."""
-    return B.abstract_of(_blocks(spark, sf_dir))
+    return _made(spark, sf_dir, "abstract")
 
 
 @query(f"WITH {BLOCK_SQL} SELECT doc_id, array_to_string(keywords, '|') AS keywords FROM ({keywords_sql()})")
 def keywords_split(spark, sf_dir):
     """Keywords."""
-    return B.keywords_of(_blocks(spark, sf_dir)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+    return _made(spark, sf_dir, "keywords").select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 COUNTS = "counted AS (SELECT doc_id, max(page) + 1 AS pages, count(*) FILTER (kind = 'Heading') AS headings, count(*) FILTER (kind = 'Table') AS tables, count(*) FILTER (kind IN ('Figure', 'Caption', 'Sixth')) AS figures, count(*) FILTER (kind = 'Footnote' AND NOT cleared) AS footnotes FROM pieces GROUP BY doc_id)"
@@ -283,7 +279,7 @@ COUNTS = "counted AS (SELECT doc_id, max(page) + 1 AS pages, count(*) FILTER (ki
 @query(f"WITH {BLOCK_SQL}, {COUNTS} SELECT * FROM counted")
 def doc_stats(spark, sf_dir):
     """A13 and SNK9: counts of each document."""
-    return B.counts(_pieces(spark, sf_dir))
+    return _made(spark, sf_dir, "counts")
 
 
 def body_sql(source: str, titles: str) -> str:
@@ -300,8 +296,7 @@ body AS (SELECT doc_id, body || CASE WHEN notes = '' THEN '' WHEN refs THEN chr(
 @query(f"WITH {BLOCK_SQL}, titles AS ({title_sql()}), {body_sql('blocks', 'titles')} SELECT * FROM body")
 def markdown_body(spark, sf_dir):
     """SNK1, SNK3, SNK5 to SNK7: Markdown of each document."""
-    found = _blocks(spark, sf_dir)
-    return B.markdown_of(found, B.title_of(found))
+    return _made(spark, sf_dir, "markdown")
 
 
 MERGE_SQL = f"""WITH {V.LINES}, k AS (SELECT doc_id, line_no, CASE WHEN {D_ACCEPT} THEN 'Heading' ELSE 'Paragraph' END AS kind, text FROM lines),

@@ -44,12 +44,20 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("line_no") * 8 + F.col("k")).alias("line_no"), "raw")
 
 
+def marked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, rows: each document's marked lines (line_no, raw) in order; documents travel whole, no line does."""
+    one = f"transform(split(coalesce(text, ''), '\\n', -1), (raw, line_no) -> transform({marked_case('array({})')}, (x, k) -> struct(line_no * 8 + k AS line_no, x AS raw)))"
+    lists = documents(spark, sf_dir).select("doc_id", F.flatten(F.expr(one)).alias("rows"))
+    return lists.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+
+
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.stream_lines(marked(spark, sf_dir))
+    return L.streamed(marked_streams(spark, sf_dir))
 
 
 #: Pages of marked lines, and titles that their documents are said to have.
-LINE_PAGE, TITLE = "CAST(floor(line_no / 24.0) AS BIGINT)", "CASE doc_id % 4 WHEN 1 THEN 'The End' WHEN 2 THEN 'THE END OF IT' ELSE '' END"
+PER_PAGE = 24
+LINE_PAGE, TITLE = f"CAST(floor(line_no / {PER_PAGE}.0) AS BIGINT)", "CASE doc_id % 4 WHEN 1 THEN 'The End' WHEN 2 THEN 'THE END OF IT' ELSE '' END"
 
 
 def paged(lines: DataFrame) -> DataFrame:
@@ -57,6 +65,11 @@ def paged(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.expr(LINE_PAGE).alias("page"), F.col("line_no").cast("long").alias("line_no"), "text", family().alias("family"), F.expr(TITLE).alias("title"))
 
 
+def titled_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked streams with family and title."""
+    return marked_streams(spark, sf_dir).select("doc_id", "rows", family().alias("family"), F.expr(TITLE).alias("title"))
+
+
 def family():
     """The layout family that a document of the view stands for."""
     return F.expr("CASE doc_id % 5 WHEN 0 THEN 'acm' WHEN 1 THEN 'magazine' WHEN 2 THEN 'scan' WHEN 3 THEN 'frontiers' ELSE 'generic' END")

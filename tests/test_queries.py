@@ -235,3 +235,36 @@ def test_rows_of_boxes_by_stretches():
     for _ in range(50):
         tops, sides = [rng.randrange(0, 400) / 4 for _ in range(200)], [rng.randrange(8) for _ in range(200)]
         assert overleaf.rows_of(tops, sides) == plain(tops, sides)
+
+
+def odd_texts():
+    """Documents of fragments that the rules of lines and blocks look for, drawn by chance."""
+    import random
+
+    parts = [
+        "Abstract", "Keywords", "Key words", "Keywords:", "one, two ,, three", "1. Introduction", "1 introduction", "References", "Works cited", "Figure 6", "Figure 06: x", "fig. 3b.", "Table 2 of it", "12 a note", "[3] noted",
+        "Conclusion and more", "conclusion", "Managing the texts", "space and time 4 rest", "the exam-", "ple goes on.", "-", "", "  two  runs ", "\ttab\x0b and\fform", "permission to make digital copies", "Copyright 2002 ACM", "profes- sional and profes sional",
+        "in region, last 36 months", "American Psychological Association subscription", "Subscription claims", "Adams, Baker, Crane, Chavez, Dole and Evans", "Ab, Cd, Ef, Gh, Ij and Kl", "The End", "the end of it all", "THE END OF IT", "Rudgery and deep thought", "rudgery and deep thought next",
+        "there has been considerable debate", "what explains the", "Perseus and other", "said so.\"')", "word " * 45, "x" * 130, "1.2.3 Of Things", "ÉTÉ Größe “quoted” — dash…", "\u00a0nb\u00a0", "İstanbul K\u2028", "fact3, a2b end9", "a", "é", "published 3 may 2020 by", "''x``", "Appendix A",
+    ]
+    rng = random.Random(3)
+    return [None, "", *["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 90))) for _ in range(120)]]
+
+
+@pytest.mark.parametrize("name", ["stream_lines", "keywords_split", "markdown_body", "generic_blocks", "abstract_extract", "doc_stats", "family_blocks", "title_fallback"])
+def test_passes_on_odd_lines(spark, tmp_path, name):
+    import duckdb
+
+    rows = [(i, t, "en", "web") for i, t in enumerate(odd_texts())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(catalog.oracle_sql()[name]).df()
+    assert len(want) and normal(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == normal(want)
+
+
+@pytest.mark.parametrize("name", ["keywords_split", "markdown_body", "generic_blocks", "abstract_extract", "doc_stats", "family_blocks", "title_fallback"])
+def test_documents_are_passed_once(spark, name):
+    # a document is dealt whole and once; no line, piece or block is, and none is ordered
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and " Sort [" not in plan
