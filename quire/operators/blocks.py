@@ -10,10 +10,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, Lon
 
 from quire.functions import text as T
 from . import passes
-from .passes import ANCHORS, CLEARING, INTRODUCTION, KEYWORDS, PERMISSION, PERMISSION_END, SCAN_BODY, SHORT_FIGURE  # noqa: F401  the SQL names them here
+from .passes import ANCHORS, CLEARING, INTRODUCTION, KEYWORDS, PERMISSION, PERMISSION_END, SCAN_BODY, SCAN_SUBTITLE, SCAN_TITLE, SHORT_FIGURE  # noqa: F401  the SQL names them here
 
-# Phrases of the layout families; those of lines' passes are in `passes`.
-SCAN_TITLE, SCAN_SUBTITLE = "a national survey of practicing psychologists", "psychotherapy treatment manuals"
 #: Fields of a document's head behind title and authors, in order.
 FIELDS = ["date-published", "date-received", "date-accepted", "publisher", "object-url", "source-format", "published-formats", "doi", "type", "pages", "date-accessed", "date-extracted"]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quire.functions import text as T
 from quire.sources.settings import Heuristics, overrides
@@ -13,10 +14,10 @@ from . import blocks as B
 from . import layout as G
 from . import lines as L
 from . import overleaf as O
-from . import rules
+from . import passes, rules
 from . import streams as S
 
-LINE = ("doc_id", "page", "family", "title")
+LINE, COUNTS = ("doc_id", "page", "family", "title"), ("headings", "tables", "figures", "footnotes")
 
 
 def page_lines(boxes: DataFrame, pages: DataFrame, settings: Heuristics = Heuristics(), unread: DataFrame | None = None) -> DataFrame:
@@ -75,26 +76,17 @@ def body_blocks(pieces: DataFrame, families: DataFrame) -> DataFrame:
 def markdown(documents: DataFrame, lines: DataFrame, extracted: str | None = None, settings: Heuristics = Heuristics(), pages: DataFrame | None = None) -> DataFrame:
     """doc_id, title, doi, markdown, pages, headings, tables, figures, footnotes of documents (doc_id, family, title, authors: text); lines as
     in body_lines. extracted: the date of extraction, today if not given. pages: doc_id, n, told by the lines if not given."""
-    own = documents.select("doc_id", "family", "title", "authors")
-    rows = settled(body_lines(lines, settings))
-    pieces = settled(B.pieces_of(rows, settings.keywords_as_h2, settings.nest_numeric_headings))
-    found = settled(body_blocks(pieces, own.select("doc_id", "family")))
-    heads = B.scan_title(rows).withColumnRenamed("title", "scanned")
-    named = B.title_of(found).withColumnRenamed("title", "named")
-    meta = own.join(heads, "doc_id", "left").join(named, "doc_id", "left")
-    title = F.coalesce("scanned", F.when(F.col("title") != "", F.col("title")), "named", F.lit(""))
-    meta = meta.select("doc_id", title.alias("title"), T.authors(F.coalesce("authors", F.lit(""))).alias("authors"))
-    doi = T.extract_doi(F.col("early"))
-    meta = meta.join(O.early_text(rows).select("doc_id", doi.alias("doi")), "doc_id", "left").withColumn("doi", F.coalesce("doi", F.lit("")))
-    meta = meta.join(B.abstract_of(found), "doc_id", "left").join(B.keywords_of(found), "doc_id", "left")
+    own = documents.select("doc_id", F.col("family").alias("own_family"), F.col("title").alias("own_title"), T.authors(F.coalesce("authors", F.lit(""))).alias("authors"))
+    lists = passes.held(lines, ("doc_id",), [*LINE[1:], "line_no", "text"])
+    lists = own.join(lists, "doc_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast(lists.schema["rows"].dataType)))
+    run = passes.whole(
+        settings.strip_page_numbers, settings.rejoin_hyphenation, settings.keywords_as_h2, settings.nest_numeric_headings, settings.dedupe_title_from_body, settings.abstract_as_h1, settings.footnotes_to_endnotes
+    )
+    text, number = StringType(), LongType()
+    made = StructType([StructField(n, t) for n, t in [("title", text), ("doi", text), ("keywords", ArrayType(text)), ("abstract", text), ("body", text), ("n", number), *[(c, number) for c in COUNTS]]])
+    out = passes.passed(lists, ("doc_id", "authors"), run, made, ("own_family", "own_title"))
     date = F.lit(extracted) if extracted else T.today()
-    head = B.front_matter({"title": F.col("title"), "object-url": B.object_url(F.col("doi")), "doi": F.col("doi"), "date-extracted": date}, F.col("authors"), F.coalesce("keywords", F.array().cast("array<string>")), F.col("abstract"))
-    titles = meta.select("doc_id", "title") if settings.dedupe_title_from_body else None
-    body = B.markdown_of(found, titles, settings.abstract_as_h1, settings.keywords_as_h2, settings.footnotes_to_endnotes).withColumnRenamed("markdown", "body")
-    counted = B.counts(pieces)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = meta.withColumn("head", head).join(body, "doc_id", "left").join(counted, "doc_id", "left")
-    pages = pages if pages is not None else lines.groupBy("doc_id").agg((F.max("page") + 1).alias("n"))
-    return out.join(pages, "doc_id", "left").select(
-        "doc_id", "title", "doi", F.concat("head", F.coalesce("body", F.lit(""))).alias("markdown"), F.coalesce("n", F.lit(0)).cast("long").alias("pages"), *[zero(c) for c in ("headings", "tables", "figures", "footnotes")]
-    )
+    head = B.front_matter({"title": F.col("title"), "object-url": B.object_url(F.col("doi")), "doi": F.col("doi"), "date-extracted": date}, F.col("authors"), F.col("keywords"), F.col("abstract"))
+    if pages is not None:
+        out = out.drop("n").join(pages, "doc_id", "left")
+    return out.select("doc_id", "title", "doi", F.concat(head, "body").alias("markdown"), F.coalesce("n", F.lit(0)).cast("long").alias("pages"), *COUNTS)

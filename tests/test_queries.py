@@ -268,3 +268,9 @@ def test_documents_are_passed_once(spark, name):
     # a document is dealt whole and once; no line, piece or block is, and none is ordered
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and " Sort [" not in plan
+
+
+def test_conversion_has_no_windows(spark):
+    # lines, blocks and what follows are one pass over a document
+    plan = catalog.queries()["document_markdown"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("ArrowEvalPython") == 2
