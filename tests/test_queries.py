@@ -251,7 +251,7 @@ def odd_texts():
     return [None, "", *["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 90))) for _ in range(120)]]
 
 
-@pytest.mark.parametrize("name", ["stream_lines", "keywords_split", "markdown_body", "generic_blocks", "abstract_extract", "doc_stats", "family_blocks", "title_fallback"])
+@pytest.mark.parametrize("name", ["stream_lines", "keywords_split", "markdown_body", "document_markdown", "generic_blocks", "abstract_extract", "doc_stats", "family_blocks", "title_fallback"])
 def test_passes_on_odd_lines(spark, tmp_path, name):
     import duckdb
 
